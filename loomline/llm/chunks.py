@@ -23,17 +23,21 @@ from .text import Pack, packs
 BUCKET_BYTES = 24_000_000
 
 
-def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base, i, z = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=1)
-    for p in packs(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([base + i]), pa.array([len(p.bytes)]), pa.array([p.ids.tobytes()]), pa.array([p.starts.tobytes()]), pa.array([z.compress(p.bytes.tobytes())])], names=["chunk", "size", "ids", "starts", "body"])
-        i += 1
+def _pack_rows(extra: Callable[[Pack], bytes] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, i, z = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=1)
+        for p in packs(batches):
+            more = z.compress(extra(p)) if extra else b""
+            yield pa.RecordBatch.from_arrays([pa.array([base + i]), pa.array([len(p.bytes)]), pa.array([p.ids.tobytes()]), pa.array([p.starts.tobytes()]), pa.array([z.compress(p.bytes.tobytes())]), pa.array([more])], names=["chunk", "size", "ids", "starts", "body", "extra"])
+            i += 1
+
+    return run
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Write (doc_id, text) as chunks: chunk, size, ids, starts, body."""
+def chunked(docs: DataFrame, extra: Callable[[Pack], bytes] | None = None) -> DataFrame:
+    """Write (doc_id, text) as chunks: chunk, size, ids, starts, body, and what extra makes of each."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return materialize(docs.mapInArrow(_pack_rows, "chunk long, size long, ids binary, starts binary, body binary"), "chunks")
+    return materialize(docs.mapInArrow(_pack_rows(extra), "chunk long, size long, ids binary, starts binary, body binary, extra binary"), "chunks")
 
 
 def buckets(chunks: DataFrame) -> int:
@@ -102,16 +106,17 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
 ANSWER = "chunk long, bucket int, bits binary"
 
 
-def answered(sent: DataFrame, answer: Callable[[list[np.ndarray], list[memoryview]], list[np.ndarray]]) -> DataFrame:
+def answered(sent: DataFrame, answer: Callable[[list, list], list[np.ndarray]], raw: bool = False) -> DataFrame:
     """Each chunk's answers as one list: chunk, answers array<struct<bucket, bits>>, sorted by bucket.
 
-    answer: from the key arrays and payloads of one bucket's rows, a boolean array for each row.
+    answer: from the key arrays and payloads of one bucket's rows, a boolean array for each row; with ``raw``, from the
+    keys and payloads as pairs of blobs, whatever they hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, rows in by_bucket(batches):
-            keys = [decode(memoryview(r[1].as_buffer())) for r in rows]
-            got = answer(keys, [memoryview(r[2].as_buffer()) for r in rows])
+            keys, payloads = ([memoryview(r[c].as_buffer()) for r in rows] for c in (1, 2))
+            got = answer([], list(zip(keys, payloads, strict=True))) if raw else answer([decode(k) for k in keys], payloads)
             yield pa.RecordBatch.from_arrays([pa.array([r[0].as_py() for r in rows], pa.int64()), pa.array([b] * len(rows), pa.int32()), pa.array([np.packbits(g).tobytes() for g in got], pa.binary())], names=["chunk", "bucket", "bits"])
 
     out = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWER)

@@ -156,3 +156,17 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
         out *= _M1
         out += h[i : i + n]
     return mix(out)
+
+
+_LARGE = 0xD1342543DE82EF95
+_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes (of any lengths), from prefix sums."""
+    global _powers
+    if len(_powers[0]) <= len(buf):
+        n = max(len(buf) + 1, PACK_BYTES + PACK_BYTES // 4)
+        _powers = tuple(np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n - 1, np.uint64(m)))), dtype=np.uint64) for m in (_LARGE, pow(_LARGE, -1, 1 << 64)))
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[buf] * _powers[0][: len(buf)], dtype=np.uint64)))
+    return mix(((sums[end] - sums[start]) * _powers[1][start]) ^ mix((end - start).astype(np.uint64)))
