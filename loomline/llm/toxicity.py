@@ -31,7 +31,7 @@ MAX_LABELLED = 20_000
 MAX_TERMS = 50_000
 #: Pseudo-documents of the Dirichlet prior, and the likelihood-ratio statistic that a term must reach (chi-squared, 1 degree).
 PRIOR = 10.0
-LEAST_RATIO = 30.0
+LEAST_RATIO = 20.0
 #: Log-odds below which a term tells of a topic or a language rather than of a passage.
 LEAST_ODDS = 3.0
 DRIFT = -0.02
