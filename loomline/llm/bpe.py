@@ -154,3 +154,22 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Encode, decode and compare: doc_id, ids, exact (whether the decoded bytes are the text's).
+
+    docs: doc_id, text; other columns are ignored; a null text is an empty one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path, pattern)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                rows = batch.slice(a, 1000)
+                texts = [t or "" for t in rows.column(1).to_pylist()]
+                ids = [v.encode(t) for t in texts]
+                exact = [v.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], names=["doc_id", "ids", "exact"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, exact boolean")
