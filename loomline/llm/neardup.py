@@ -5,10 +5,10 @@
    meet in a bucket.
 3. In each bucket of equal band keys every member is compared with the bucket's smallest member, on full sets.
    Links give components.
-4. Members of one bucket that are still in different components are paired, best sketch agreement first, in
-   rounds that double the number of partners, and verified on full sets, until no unverified pair is left whose
-   sketches agree on ``estimate`` of the coordinates. A group of n near-copies thus costs about n comparisons,
-   not n squared, and no pair is left out for a bucket's size.
+4. Members of one bucket that are still in different components are compared with each other, in blocks: pairs whose
+   sketches agree on ``estimate`` of the coordinates are verified on full sets, best agreement first, unless links
+   found on the way have joined their components. Only links leave a block, so no join makes rows for pairs, a group
+   of n near-copies costs about n comparisons, and no pair is left out for a bucket's size.
 
 A pair of similarity 0.75 shares none of the 32 bands of 4 coordinates with probability 5e-6, and falls below
 the estimate of 0.6 with probability below 1e-4.
@@ -28,7 +28,7 @@ from .sketch import band_keys, shingle_sets, sketches
 from .text import mix, packs
 
 #: Members of a bucket that one task compares at a time; larger buckets are compared block by block.
-BLOCK = 2000
+BLOCK = 500
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -64,16 +64,9 @@ def _verified(percent: int):
             a, b, x, y = (batch.column(i) for i in range(4))
             keep, last, right = np.zeros(batch.num_rows, dtype=bool), None, None
             for i in range(batch.num_rows):
-                left = np.frombuffer(x[i].as_buffer(), dtype=np.uint64)
                 if last is None or b[i].as_py() != last:
                     last, right = b[i].as_py(), np.frombuffer(y[i].as_buffer(), dtype=np.uint64)
-                small, large = (left, right) if len(left) <= len(right) else (right, left)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                keep[i] = 100 * both >= percent * (len(left) + len(right) - both)
+                keep[i] = _similar(np.frombuffer(x[i].as_buffer(), dtype=np.uint64), right, percent)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
 
     return run
@@ -108,55 +101,51 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _partners(high: int, estimate: float, percent: int):
-    """From groups (key, i, j) of members (block, component, rep, n, small): the partners ranked below high.
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-    For each member and each other component its partners are ranked by agreement of sketches; the members of the
-    component with fewer members in the group are those that seek partners. ``more``: there are further ones.
+
+def _across(estimate: float, percent: int):
+    """Links between components, from groups (key, i, j) of members (block, component, rep, n, small, elements).
+
+    The components of a group are merged as links are found, so a pair is verified only while its two ends are in
+    different ones; of a member's possible partners those whose sketches agree most come first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int, bool]] = []
         for g in _groups(batches, 3):
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             block, comp, rep, n = (g.column(c).to_numpy() for c in ("block", "component", "rep", "n"))
-            size = dict(zip(*(v.tolist() for v in np.unique(comp, return_counts=True)), strict=True))
-            if len(size) < 2:
+            names, own, size = np.unique(comp, return_inverse=True, return_counts=True)
+            if len(names) < 2:
                 continue
             small = np.frombuffer(b"".join(g.column("small").to_pylist()), dtype=np.uint8).reshape(len(rep), -1)
-            weight = np.array([size[c] for c in comp.tolist()])
-            for x in range(len(rep)):
-                other = (comp != comp[x]) & ((weight > weight[x]) | ((weight == weight[x]) & (comp > comp[x])))
+            sets = [np.frombuffer(e.as_buffer(), dtype=np.uint64) for e in g.column("elements")]
+            found: list[tuple[int, int]] = []
+            # members of small components look for partners first
+            for x in np.lexsort((rep, size[own])).tolist():
+                other = (own != own[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
                 if i != j:
                     other &= block != block[x]
-                other &= 100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])
                 at = np.flatnonzero(other)
-                if not len(at):
-                    continue
                 same = (small[at] == small[x]).mean(axis=1)
                 at, same = at[same >= estimate], same[same >= estimate]
-                order = np.lexsort((rep[at], -same, comp[at]))
-                at = at[order]
-                c = comp[at]
-                start = np.searchsorted(c, c)
-                rank = np.arange(len(at)) - start
-                for y in at[rank < high].tolist():
-                    u, v = int(rep[x]), int(rep[y])
-                    found.append((min(u, v), max(u, v), bool((rank >= high).any())))
-            if len(found) >= 10000:
-                yield _pairs(found)
-                found = []
-        if found:
-            yield _pairs(found)
+                for y in at[np.lexsort((rep[at], -same))].tolist():
+                    if own[y] != own[x] and _similar(sets[x], sets[y], percent):
+                        found.append((int(rep[x]), int(rep[y])))
+                        own[own == own[y]] = own[x]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
 
-def _pairs(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-    a, b, more = zip(*found, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, estimate: float = 0.6, block: int = BLOCK) -> DataFrame:
     """Group documents whose sets of k-word shingles have 100 * intersection >= percent * union.
 
@@ -178,28 +167,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
     stars = materialize(member.where("rep <> hub").where(near).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = materialize(_links(stars, sets, percent), "links")
     label = components(links)
-    tried, high = stars.select("a", "b"), 2
-    while True:
-        at = member.select("key", "rep", "n", "members").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-        at = at.join(mixed, "key").join(sets.select("rep", "small"), "rep")
-        blocks = F.ceil(F.col("members") / block)
-        at = at.withColumn("block", F.pmod(F.hash("rep"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
-        at = at.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "component", "rep", "n", "small")
-        sorted_ = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = sorted_.mapInArrow(_partners(high, estimate, percent), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-        pairs = materialize(pairs.join(tried.select("a", "b", F.lit(True).alias("old")), ["a", "b"], "left"), "partners")
-        new = pairs.where("old is null").select("a", "b")
-        n, more = pairs.agg(F.count_if(F.col("old").isNull()), F.max("more")).first()
-        if n:
-            tried = tried.union(new)
-            fresh = materialize(_links(new, sets, percent), "links")
-            if not fresh.isEmpty():
-                links = links.union(fresh)
-                label = components(links)
-        if not more:
-            break
-        high *= 4
+    at = materialize(member.select("key", "rep", "n", "members").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "at")
+    mixed = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.count("*").alias("many")).where("c0 <> c1")
+    # buckets with the same members are worked off once
+    mixed = mixed.groupBy("who", "many").agg(F.min("key").alias("key")).select("key")
+    at = at.join(mixed, "key").join(sets, "rep")
+    blocks = F.ceil(F.col("members") / block)
+    at = at.withColumn("block", F.pmod(F.hash("rep"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    at = at.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "component", "rep", "n", "small", "elements")
+    more = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(estimate, percent), "a long, b long")
+    more = materialize(more.distinct(), "links")
+    if not more.isEmpty():
+        label = components(links.union(more))
     found = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = rows_of.select("doc_id", "n_shingles", "k1", "k2").join(found, ["n_shingles", "k1", "k2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
