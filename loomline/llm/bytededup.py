@@ -28,19 +28,37 @@ from .text import Pack, _BYTE, mix, span_hashes
 GRAM = 32
 KEY_BITS = 40
 #: Text bytes that one index holds at most; a bucket with more has its index built for the pieces of some anchors at a time.
-INDEX_BYTES = 4_000_000
+INDEX_BYTES = 1_000_000
+STEP = 1 << 16
+_LAST = np.uint64(0xFFFFFFFF)
+#: Multipliers that join grams of 1, 2, 4, 8 and 16 bytes.
+_DOUBLING = [np.uint64(pow(0xD6E8FEB86659FD93, 1 << i, 1 << 64)) for i in range(5)]
 
 
 def gram_hashes(buf: np.ndarray) -> np.ndarray:
     """A hash of every GRAM consecutive bytes."""
-    h, width, m = _BYTE[buf], 1, np.uint64(0xD6E8FEB86659FD93)
-    while width < GRAM:
+    h = _BYTE[buf]
+    for i, m in enumerate(_DOUBLING):
+        width = 1 << i
         if len(h) <= width:
             return np.zeros(0, dtype=np.uint64)
         h = h[:-width] * m + h[width:]
-        m = m * m
-        width *= 2
-    return mix(h)
+    return _spread_bits(h)
+
+
+def _spread_bits(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _least_of(v: np.ndarray, w: int) -> np.ndarray:
+    """The least of every w consecutive values."""
+    have = 1
+    while have * 2 <= w:
+        v = np.minimum(v[:-have], v[have:])
+        have *= 2
+    return np.minimum(v[: len(v) - (w - have)], v[w - have :]) if have < w else v
 
 
 def anchors(p: Pack, length: int) -> np.ndarray:
@@ -48,19 +66,13 @@ def anchors(p: Pack, length: int) -> np.ndarray:
     n = len(p.bytes) - length + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    with np.errstate(over="ignore"):
-        h = gram_hashes(p.bytes)
-    last = np.uint64(0xFFFFFFFF)
-    v = (h & ~last) | (last - np.arange(len(h), dtype=np.uint64))  # the smallest hash; of equal ones the last
-    w, have = length - GRAM + 1, 1
-    while have * 2 <= w:
-        v = np.minimum(v[:-have], v[have:])
-        have *= 2
-    if have < w:
-        v = np.minimum(v[: len(v) - (w - have)], v[w - have :])
     inside = _inside(p, n, length)
-    mark = np.zeros(len(h), dtype=bool)
-    mark[(last - (v[:n][inside] & last)).astype(np.int64)] = True
+    mark = np.zeros(len(p.bytes), dtype=bool)
+    for a in range(0, n, STEP):  # in steps whose arrays stay in the processor's cache
+        b = min(n, a + STEP)
+        h = gram_hashes(p.bytes[a : b + length - 1])
+        v = (h & ~_LAST) | (_LAST - np.arange(len(h), dtype=np.uint64))  # the smallest hash; of equal ones the last
+        mark[a + (_LAST - (_least_of(v, length - GRAM + 1)[inside[a:b]] & _LAST)).astype(np.int64)] = True
     return np.flatnonzero(mark)
 
 
@@ -88,15 +100,10 @@ def _marked(row: dict, i: int) -> tuple[Pack, np.ndarray, np.ndarray]:
     at = np.cumsum(gaps, dtype=np.int64)
     if not len(at):
         return p, at, np.zeros(0, dtype=np.uint64)
-    h = np.zeros(len(at), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        grams = _BYTE[p.bytes[at[:, None] + np.arange(GRAM)]]
-        width, m = GRAM, np.uint64(0xD6E8FEB86659FD93)
-        while width > 1:
-            grams = grams[:, 0::2] * m + grams[:, 1::2]
-            m, width = m * m, width // 2
-        h = mix(grams[:, 0])
-    return p, at, h
+    grams = _BYTE[p.bytes[at[:, None] + np.arange(GRAM)]]
+    for m in _DOUBLING:
+        grams = grams[:, 0::2] * m + grams[:, 1::2]
+    return p, at, _spread_bits(grams[:, 0])
 
 
 def _send_anchors(n: int):
@@ -150,16 +157,13 @@ def _pieces(p: Pack, at: np.ndarray, h: np.ndarray, answers: list[dict], n: int,
 
 def _owners(at: np.ndarray, h: np.ndarray, total: int, w: int) -> np.ndarray:
     """For each string start the index of the anchor with the least hash (the last of equal ones) among the w grams from there."""
-    last = np.uint64(0xFFFFFFFF)
-    v = np.full(total + w - 1, np.uint64(0xFFFFFFFFFFFFFFFF))
-    v[at] = (h & ~last) | (last - np.arange(len(at), dtype=np.uint64))
-    have = 1
-    while have * 2 <= w:
-        v = np.minimum(v[:-have], v[have:])
-        have *= 2
-    if have < w:
-        v = np.minimum(v[: len(v) - (w - have)], v[w - have :])
-    own = (last - (v & last)).astype(np.int64)
+    own = np.empty(total, dtype=np.int64)
+    for a in range(0, total, STEP):
+        b = min(total, a + STEP)
+        x, y = np.searchsorted(at, (a, b + w - 1))
+        v = np.full(b - a + w - 1, np.uint64(0xFFFFFFFFFFFFFFFF))
+        v[at[x:y] - a] = (h[x:y] & ~_LAST) | (_LAST - np.arange(y - x, dtype=np.uint64))
+        own[a:b] = x + (_LAST - (_least_of(v, w) & _LAST)).astype(np.int64)
     return np.minimum(own, len(at) - 1)  # starts outside any document's strings may hold none
 
 
@@ -300,8 +304,8 @@ def byte_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
         raise ValueError(f"length must be at least {2 * GRAM}")
     chunks = chunked(docs, _extra(length))
     n = buckets(chunks)
-    shared = materialize(answered(chunks.mapInArrow(_send_anchors(n), SENT), _shared), "anchors")
+    shared = materialize(answered(chunks.mapInArrow(_send_anchors(n), SENT), n, _shared), "anchors")
     near = chunks.join(shared, "chunk")
-    later = materialize(answered(near.mapInArrow(_send_pieces(n, length), SENT), _first_places(length), raw=True).withColumnRenamed("answers", "later"), "places")
+    later = materialize(answered(near.mapInArrow(_send_pieces(n, length), SENT), n, _first_places(length), raw=True).withColumnRenamed("answers", "later"), "places")
     both = chunks.join(shared, "chunk", "left").join(later, "chunk", "left")
     return both.mapInArrow(_kept(n, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

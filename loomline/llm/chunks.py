@@ -106,10 +106,10 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
 ANSWER = "chunk long, bucket int, bits binary"
 
 
-def answered(sent: DataFrame, answer: Callable[[list, list], list[np.ndarray]], raw: bool = False) -> DataFrame:
+def answered(sent: DataFrame, n: int, answer: Callable[[list, list], list[np.ndarray]], raw: bool = False) -> DataFrame:
     """Each chunk's answers as one list: chunk, answers array<struct<bucket, bits>>, sorted by bucket.
 
-    answer: from the key arrays and payloads of one bucket's rows, a boolean array for each row; with ``raw``, from the
+    n: the number of buckets, which get a task each. answer: from the key arrays and payloads of one bucket's rows, a boolean array for each row; with ``raw``, from the
     keys and payloads as pairs of blobs, whatever they hold.
     """
 
@@ -119,7 +119,7 @@ def answered(sent: DataFrame, answer: Callable[[list, list], list[np.ndarray]],
             got = answer([], list(zip(keys, payloads, strict=True))) if raw else answer([decode(k) for k in keys], payloads)
             yield pa.RecordBatch.from_arrays([pa.array([r[0].as_py() for r in rows], pa.int64()), pa.array([b] * len(rows), pa.int32()), pa.array([np.packbits(g).tobytes() for g in got], pa.binary())], names=["chunk", "bucket", "bits"])
 
-    out = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWER)
+    out = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWER)
     # at most one entry a bucket and a bit a key: bounded by the chunk
     return out.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))
 

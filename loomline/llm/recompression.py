@@ -224,8 +224,8 @@ def substring_dedup(docs: DataFrame, window: int = LEAST_WINDOW, layout: bool =
         raise ValueError(f"window must be at least {LEAST_WINDOW}")
     chunks = chunked(docs)
     n = buckets(chunks)
-    shared = materialize(answered(chunks.mapInArrow(_send_symbols(n), SENT), _shared), "symbols")
+    shared = materialize(answered(chunks.mapInArrow(_send_symbols(n), SENT), n, _shared), "symbols")
     near = chunks.join(shared, "chunk", "left")
-    later = materialize(answered(near.mapInArrow(_send_windows(n, window), SENT), _earlier).withColumnRenamed("answers", "later"), "windows")
+    later = materialize(answered(near.mapInArrow(_send_windows(n, window), SENT), n, _earlier).withColumnRenamed("answers", "later"), "windows")
     both = chunks.join(shared, "chunk", "left").join(later, "chunk", "left")
     return both.mapInArrow(_kept(n, window, layout), "doc_id long, n_words long, n_removed long, text string")
