@@ -106,12 +106,17 @@ def _marked(row: dict, i: int) -> tuple[Pack, np.ndarray, np.ndarray]:
     return p, at, _spread_bits(grams[:, 0])
 
 
+def _keys(h: np.ndarray) -> np.ndarray:
+    """Keys of anchors; hashed anew, as anchors have small hashes and would all meet in the first buckets."""
+    return mix(h) >> np.uint64(64 - KEY_BITS)
+
+
 def _send_anchors(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 _, at, h = _marked(batch, i)
-                keys, inverse, _, _ = _least_most(h >> np.uint64(64 - KEY_BITS), at)
+                keys, inverse, _, _ = _least_most(_keys(h), at)
                 if len(keys):
                     several = np.bincount(inverse) > 1
                     yield send(batch["chunk"][i].as_py(), keys, n, KEY_BITS, lambda a, b, m=several: np.packbits(m[a:b]).tobytes())
@@ -124,7 +129,7 @@ def _pieces(p: Pack, at: np.ndarray, h: np.ndarray, answers: list[dict], n: int,
     none = np.zeros(0, dtype=np.int64)
     if not len(at):
         return none.astype(np.uint64), none, none, none
-    key = h >> np.uint64(64 - KEY_BITS)
+    key = _keys(h)
     keys, inverse, _, _ = _least_most(key, at)
     hit = read_bits(answers, keys, n, KEY_BITS)[inverse]
     # each string's anchor: the least of those in it, by the same value as in anchors()

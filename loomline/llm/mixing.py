@@ -33,7 +33,7 @@ from .text import Pack, mix, packs, word_hashes, words
 SLOT_BITS = 21
 SLICES = 32
 #: Distinct tokens whose occurrences the weights are learned from at most: the most frequent ones, and some others.
-SAMPLE_TOP, SAMPLE_REST = 4_000, 30_000
+SAMPLE_TOP, SAMPLE_REST = 3_000, 12_000
 ORDERS = (1, 2, 3, 5, 255)
 #: Classes of documents (such as languages), the documents they are found on at most, and the bins of their features.
 CLASSES, CLASS_SAMPLE, CLASS_BINS = 6, 4_000, 1024
@@ -239,7 +239,7 @@ class Mixer:
                     z, q, y, m, g = x[by[u:v]].astype(np.float64), p[u:v], bit[by[u:v]], w[by[u:v]], gate[by[u]]
                     curve[g] += (z * (m * np.maximum(q * (1 - q), 1e-4))[:, None]).T @ z
                     self.weights[g] += np.linalg.solve(curve[g], z.T @ (m * (y - q)))
-        t = self.mixed(x, gate)
+        t = np.concatenate([self.mixed(x[a : a + batch], gate[a : a + batch]) for a in range(0, len(bit), batch)])
         near = np.rint(np.clip((t + 8) * 2, 0, 32)).astype(np.int64)
         one, every = (np.bincount(node * 33 + near, weights=v, minlength=256 * 33).reshape(256, 33) for v in (w * bit, w))
         self.refine = (one + 20 * self.refine) / (every + 20)
@@ -359,7 +359,7 @@ def _add_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(spark, counted: DataFrame, tasks: int) -> Mixer:
     """Sum the table over all counted tokens and learn the mixer's weights on the bounded sample."""
-    slices = counted.mapInArrow(_part_tables, "slice int, n long, blob binary").repartition(min(SLICES, tasks), "slice").sortWithinPartitions("slice").mapInArrow(_add_tables, "slice int, zeros binary, ones binary")
+    slices = counted.repartition(tasks).mapInArrow(_part_tables, "slice int, n long, blob binary").repartition(min(SLICES, tasks), "slice").sortWithinPartitions("slice").mapInArrow(_add_tables, "slice int, zeros binary, ones binary")
     width = (1 << SLOT_BITS) // SLICES
     zeros, ones = np.zeros(1 << SLOT_BITS, dtype=np.float32), np.zeros(1 << SLOT_BITS, dtype=np.float32)
     for r in slices.collect():  # a fixed number of slots
