@@ -420,12 +420,12 @@ def _send_tokens(n: int, centres: np.ndarray):
                 blobs = [v.tobytes() for v in (u[x:y], k[x:y], held[x:y].astype(np.uint32))]
                 blobs += [doc[s:e].astype(np.uint32).tobytes() + times[s:e].astype(np.uint32).tobytes(), size[x:y].astype(np.uint32).tobytes(), _gather(p, start[first[x:y]], end[first[x:y]]), p.ids.tobytes() + kinds.astype(np.int64).tobytes()]
                 rows.append([z.compress(v) for v in blobs])
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], names=["bucket", "token", "kind", "held", "docs", "size", "text", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)), pa.array(np.full(len(full), p.ids[0]))], names=["bucket", "token", "kind", "held", "docs", "size", "text", "ids", "pack"])
 
     return run
 
 
-_SENT = "bucket int, token binary, kind binary, held binary, docs binary, size binary, text binary, ids binary"
+_SENT = "bucket int, token binary, kind binary, held binary, docs binary, size binary, text binary, ids binary, pack long"
 _SUMS = "doc_id long, n_tokens long, n_known long, coded long, base_score double, score double"
 
 
@@ -435,7 +435,7 @@ def _sums(spark, mixer: Mixer, total: int, distinct: int, prior: np.ndarray):
     end_bytes = _END
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
+        z, out = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         get = lambda x, t: np.frombuffer(z.decompress(x.as_buffer()), dtype=t)
         m = shared.value
         for _, rows in by_bucket(batches):
@@ -476,11 +476,32 @@ def _sums(spark, mixer: Mixer, total: int, distinct: int, prior: np.ndarray):
                 value = times * logs[tok] + np.where(u[tok] == end_bytes, prior[kind[doc]], 0.0)  # a document's class is coded with its end
                 sums = [np.bincount(doc, weights=v, minlength=len(ids)) for v in (times, times * (c[tok] > 0), times * (s[tok] + 1), times * base[tok], value)]
                 here = np.flatnonzero(sums[0])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[here]), *(pa.array(v[here].astype(np.int64)) for v in sums[:3]), *(pa.array(v[here]) for v in sums[3:])], names=["doc_id", "n_tokens", "n_known", "coded", "base_score", "score"])
+                blob = b"".join([here.astype(np.uint32).tobytes(), *(v[here].astype(np.uint32).tobytes() for v in sums[:3]), *(v[here].tobytes() for v in sums[3:])])
+                yield pa.RecordBatch.from_arrays([pa.array([r[7].as_py()]), pa.array([r[6].as_py()], pa.binary()), pa.array([out.compress(blob)], pa.binary())], names=["pack", "ids", "sums"])
 
     return run
 
 
+def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document from the blobs of all buckets for its pack (named by its first document)."""
+    z = zstandard.ZstdDecompressor()
+    for _, rows in by_bucket(batches):
+        for ids in {r[0].as_py() for r in rows}:  # packs may share a first document where doc_ids repeat
+            own = np.frombuffer(z.decompress(ids), dtype=np.int64)
+            own = own[: len(own) // 2]
+            total = np.zeros((5, len(own)))
+            for r in rows:
+                if r[0].as_py() == ids:
+                    raw = z.decompress(r[1].as_buffer())
+                    n = len(raw) // 32
+                    at = np.frombuffer(raw, dtype=np.uint32, count=n)
+                    for i in range(3):
+                        total[i, at] += np.frombuffer(raw, dtype=np.uint32, count=n, offset=4 * n * (i + 1))
+                    for i in range(2):
+                        total[3 + i, at] += np.frombuffer(raw, dtype=np.float64, count=n, offset=16 * n + 8 * n * i)
+            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(t.astype(np.int64)) for t in total[:3]), *(pa.array(t) for t in total[3:])], names=["doc_id", "n_tokens", "n_known", "coded", "base_score", "score"])
+
+
 def classes(training: DataFrame) -> np.ndarray:
     """Centres of the classes of at most CLASS_SAMPLE training documents (those with the smallest hash of doc_id)."""
 
@@ -517,9 +538,10 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
         per_class[r.pos] += r.n
     mixer = train(spark, counted, tasks)
     none = F.lit(None).cast("binary")
-    rows = docs.mapInArrow(_send_tokens(n, centres), _SENT).union(counted.select("bucket", "token", none, "count", none, none, none, none))
+    rows = docs.mapInArrow(_send_tokens(n, centres), _SENT).union(counted.select("bucket", "token", none, "count", none, none, none, none, none.cast("long")))
     prior = np.log10(per_class / per_class.sum())
-    parts_ = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sums(spark, mixer, int(total), int(distinct), prior), _SUMS)
+    parts_ = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sums(spark, mixer, int(total), int(distinct), prior), "pack long, ids binary, sums binary")
+    parts_ = parts_.repartition(n, "pack").sortWithinPartitions("pack").mapInArrow(_add_sums, _SUMS)
     sums = parts_.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "coded", "base_score", "score")))
     bits = -F.col("score") / F.log10(F.lit(2.0)) / F.col("coded")
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
