@@ -538,7 +538,7 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
         per_class[r.pos] += r.n
     mixer = train(spark, counted, tasks)
     none = F.lit(None).cast("binary")
-    rows = docs.mapInArrow(_send_tokens(n, centres), _SENT).union(counted.select("bucket", "token", none, "count", none, none, none, none, none.cast("long")))
+    rows = docs.mapInArrow(_send_tokens(n, centres), _SENT).union(counted.select("bucket", "token", none, "count", none, none, none, none, F.lit(None).cast("long")))
     prior = np.log10(per_class / per_class.sum())
     parts_ = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sums(spark, mixer, int(total), int(distinct), prior), "pack long, ids binary, sums binary")
     parts_ = parts_.repartition(n, "pack").sortWithinPartitions("pack").mapInArrow(_add_sums, _SUMS)
