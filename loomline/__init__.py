@@ -1,0 +1 @@
+"""Tables prepared by a graph of versioned modules on Spark."""
