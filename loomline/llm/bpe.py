@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Pieces whose ids a worker keeps; beyond, it starts anew.
-CACHE = 200_000
+CACHE = 500_000
 
 _NONE = 1 << 62
 
@@ -49,50 +49,49 @@ class Vocabulary:
         m = 1 << bits
         low = m - 1
         get, longest = ranks.get, self.longest
+        # leaves from m on; a parent is the lesser of its children
         tree = [_NONE] * (2 * m)
         for i in range(n - 1):
             if (r := get(piece[i : i + 2])) is not None:
                 tree[m + i] = r << bits | i
-        for i in range(m - 1, 0, -1):
+        for i in range(low, 0, -1):
             a, b = tree[2 * i], tree[2 * i + 1]
             tree[i] = a if a < b else b
         after, before = list(range(1, n + 2)), list(range(-1, n))
-
-        def put(i: int, value: int) -> None:
-            i += m
-            tree[i] = value
-            while i > 1:
-                i >>= 1
-                a, b = tree[2 * i], tree[2 * i + 1]
-                if b < a:
-                    a = b
-                if tree[i] == a:
-                    break
-                tree[i] = a
-
-        def rank(i: int) -> int:
-            j = after[i]
-            if j >= n:
-                return _NONE
-            k = after[j]
-            r = get(piece[i:k]) if k - i <= longest else None
-            return _NONE if r is None else r << bits | i
-
         while (top := tree[1]) != _NONE:
             i = top & low
             j = after[i]
-            k = after[j]
-            after[i] = k
-            if k <= n:
+            k = after[i] = after[j]
+            if k < n:
                 before[k] = i
-            put(j, _NONE)
-            put(i, rank(i))
-            if before[i] >= 0:
-                put(before[i], rank(before[i]))
+                end = after[k]
+                r = get(piece[i:end]) if end - i <= longest else None
+                own = _NONE if r is None else r << bits | i
+            else:
+                own = _NONE
+            updates = [(j, _NONE), (i, own)]
+            h = before[i]
+            if h >= 0:
+                r = get(piece[h:k]) if k - h <= longest else None
+                updates.append((h, _NONE if r is None else r << bits | h))
+            for at, value in updates:
+                at += m
+                if tree[at] == value:
+                    continue
+                tree[at] = value
+                while at > 1:
+                    b = tree[at ^ 1]
+                    if b < value:
+                        value = b
+                    at >>= 1
+                    if tree[at] == value:
+                        break
+                    tree[at] = value
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            j = after[i]
+            out.append(ranks[piece[i:j]])
+            i = j
         return tuple(out)
 
     def _miss(self, piece: str) -> tuple[int, ...]:
