@@ -1,4 +1,223 @@
-"""The query catalogue."""
+"""The query catalogue: Spark queries over the star schema, each with its equal in SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Sums of doubles are rounded, and ties broken by unique keys, so that results do not depend on the order of rows.
+"""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .operators import Module, SparkProfile, Workspace, select_as
+from .plans.order import layers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class _Tables:
+    """Serves driver tables as exported tables of one module each, so that modules can be built over them directly."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def resolve_contract(self, name, version):
+        from .plans.contracts import ModuleContract, TableContract
+
+        return ModuleContract(name, version, None, {name: TableContract(name, _t(self.spark, self.sf_dir, name).schema)})
+
+    def upstream_table(self, name, version, table, schema):
+        return _t(self.spark, self.sf_dir, table)
+
+
+def _module(spark: SparkSession, sf_dir: str, name: str, *sources: str) -> Module:
+    m = Module(name, "1.0.0", spark=spark)
+    m.attach(_Tables(spark, sf_dir))
+    m.source({s: "1.0.0" for s in sources})
+    return m
+
+
+@_query("""SELECT o_orderdate AS order_date, p_type AS product_category, r_name AS region_name, round(sum(l_extendedprice), 2) AS sales_amount_sum
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
+def star_join_daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales by day, category and region: facts joined with their dimensions, built and read back as a module's tables."""
+    m = _module(spark, sf_dir, "daily", "lineitem", "orders", "customer", "part", "nation", "region")
+    up = m.upstream
+    line = up["lineitem"].get("lineitem", {"order_id": "l_orderkey", "product_id": "l_partkey", "sales_amount": "l_extendedprice"})
+    order = up["orders"].get("orders", {"order_id": "o_orderkey", "customer_id": "o_custkey", "order_date": "o_orderdate"})
+    place = up["nation"].get("nation", {"nation_id": "n_nationkey", "region_id": "n_regionkey"}).join(up["region"].get("region", {"region_id": "r_regionkey", "region_name": "r_name"}), "region_id")
+    buyer = up["customer"].get("customer", {"customer_id": "c_custkey", "nation_id": "c_nationkey"}).join(place, "nation_id")
+    product = up["part"].get("part", {"product_id": "p_partkey", "product_category": "p_type"})
+    # which dimensions are broadcast is decided by their measured sizes
+    star = line.join(product, "product_id").join(order, "order_id").join(buyer, "customer_id")
+    m.sink_internal({"staging": star.groupBy("order_date", "product_category", "region_name").agg(F.round(F.sum("sales_amount"), 2).alias("sales_amount_sum"))})
+    m.flow()
+    m.sink({"daily": m.get("staging", {c: c for c in ("order_date", "product_category", "region_name", "sales_amount_sum")})})
+    m.build()
+    return m.tables["daily"].frame
+
+
+@_query("SELECT o_orderkey AS id, o_custkey AS buyer, o_custkey AS payer, o_orderstatus AS status FROM orders")
+def scan_select_alias(spark, sf_dir):
+    m = _module(spark, sf_dir, "scan", "orders")
+    return m.upstream["orders"].get("orders", {"id": "o_orderkey", "buyer": "o_custkey", "payer": "o_custkey", "status": "o_orderstatus"})
+
+
+@_query("SELECT r_regionkey AS region_id, r_name AS region_name FROM region")
+def passthrough_module(spark, sf_dir):
+    m = _module(spark, sf_dir, "regions", "region")
+    m.sink({"regions": m.upstream["region"].get("region", {"region_id": "r_regionkey", "region_name": "r_name"})})
+    m.build()
+    return m.tables["regions"].frame
+
+
+_BASE = """
+from loomline.operators import Module
+def module():
+    m = Module("base", "1.0.0")
+    m.sink({"t": m.spark.createDataFrame([(1, 10), (2, 20)], "id long, val long")})
+    return m
+"""
+_DERIVED = """
+from pyspark.sql import functions as F
+from loomline.operators import Module
+def module():
+    m = Module("derived", "1.0.0")
+    m.source({"base": "1.0.0"})
+    m.sink({"out": m.upstream["base"].get("t", {"val": "val"}).agg(F.sum("val").alias("total"))})
+    return m
+"""
+
+
+def _example(spark: SparkSession):
+    """A workspace of two modules in the session's shared folder, and its graph."""
+    root = Path((spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file:") or tempfile.gettempdir())
+    root.mkdir(parents=True, exist_ok=True)
+    home = Path(tempfile.mkdtemp(prefix="loomline-", dir=root))
+    w = Workspace(home / "ws")
+    for name, code in (("base", _BASE), ("derived", _DERIVED)):
+        (home / name / "1.0.0").mkdir(parents=True)
+        (home / name / "1.0.0" / "module.py").write_text(code)
+        w.set_module(f"{name}@1.0.0", home / name / "1.0.0")
+    w.set_profile("local", SparkProfile())
+    w.set_default_profile("local")
+    return w, w.graph({"derived": "1.0.0"})
+
+
+@_query("SELECT 30::BIGINT AS total")
+def literal_source_sum(spark, sf_dir):
+    """A run of two modules: literal rows, and their sum read back from the published view."""
+    _example(spark)[1].run()
+    return spark.sql("SELECT * FROM derived.out")
+
+
+@_query("SELECT 'base' AS module, 1 AS major, '1.0.0' AS version UNION ALL SELECT 'derived', 1, '1.0.0'")
+def run_ledger(spark, sf_dir):
+    graph = _example(spark)[1]
+    graph.run()
+    return graph.state.ledger(spark)
+
+
+@_query("SELECT 'derived' AS module, 'base' AS upstream, 't' AS table_name, 'val' AS column_name")
+def column_lineage(spark, sf_dir):
+    return spark.createDataFrame(_example(spark)[1].column_lineage(), "module string, upstream string, table_name string, column_name string")
+
+
+@_query("SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 1), ('d', 2)) v(module, level)")
+def graph_levels(spark, sf_dir):
+    rows = [(n, i) for i, level in enumerate(layers({"a": set(), "b": {"a"}, "c": {"a"}, "d": {"b", "c"}})) for n in level]
+    return spark.createDataFrame(rows, "module string, level int")
+
+
+@_query("SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) v(name, type)")
+def contract_columns(spark, sf_dir):
+    contract = _Tables(spark, sf_dir).resolve_contract("region", "1.0.0").require_table("region")
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in contract.schema], "name string, type string")
+
+
+@_query("SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY ALL")
+def published_view_sql(spark, sf_dir):
+    _t(spark, sf_dir, "customer").createOrReplaceTempView("loomline_customer")
+    return spark.sql("SELECT c_mktsegment AS segment, count(*) AS n FROM loomline_customer GROUP BY c_mktsegment")
+
+
+@_query("SELECT o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL")
+def staged_then_exported(spark, sf_dir):
+    m = _module(spark, sf_dir, "staged", "orders")
+    m.sink_internal({"staged": m.upstream["orders"].get("orders", {"priority": "o_orderpriority"}).groupBy("priority").agg(F.count("*").alias("n"))})
+    m.flow()
+    m.sink({"out": m.get("staged", {"priority": "priority", "n": "n"})})
+    m.build()
+    return m.tables["out"].frame
+
+
+def _simple(name: str, spark_query: Callable[[Callable[[str], DataFrame]], DataFrame], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark_query(lambda t: _t(spark, sf_dir, t))
+
+    run.__name__ = name
+    _query(sql)(run)
+
+
+_c = F.col
+_simple("global_sum", lambda t: t("lineitem").agg(F.round(F.sum("l_quantity"), 2).alias("total")), "SELECT round(sum(l_quantity), 2) AS total FROM lineitem")
+_simple("global_count", lambda t: t("lineitem").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM lineitem")
+_simple("infer_select_sample", lambda t: select_as(t("orders").orderBy("o_orderkey").limit(100), {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey"}), "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100")
+_simple("filter_predicates", lambda t: t("orders").where((_c("o_orderstatus") == "F") & (_c("o_totalprice") > 1000) & _c("o_custkey").isNotNull()).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 AND o_custkey IS NOT NULL")
+_simple("case_in_between_like", lambda t: t("part").where(_c("p_size").between(5, 20) & _c("p_brand").like("Brand%")).select("p_partkey", F.when(_c("p_size") < 10, "small").otherwise("large").alias("kind"), _c("p_size").isin(5, 6).alias("least")), "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' ELSE 'large' END AS kind, p_size IN (5, 6) AS least FROM part WHERE p_size BETWEEN 5 AND 20 AND p_brand LIKE 'Brand%'")
+_urgent = "SELECT * FROM orders WHERE o_orderpriority LIKE '1%'"
+_first = lambda t: t("orders").where(_c("o_orderpriority").like("1%"))
+_simple("left_join_counts", lambda t: t("customer").join(_first(t), _c("c_custkey") == _c("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n")), f"SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN ({_urgent}) o ON c_custkey = o_custkey GROUP BY ALL")
+_simple("full_join", lambda t: t("nation").where("n_nationkey < 15").join(t("supplier").where("s_nationkey >= 10"), _c("n_nationkey") == _c("s_nationkey"), "full").select("n_nationkey", "s_suppkey"), "SELECT n_nationkey, s_suppkey FROM (SELECT * FROM nation WHERE n_nationkey < 15) n FULL JOIN (SELECT * FROM supplier WHERE s_nationkey >= 10) s ON n_nationkey = s_nationkey")
+_simple("semi_join", lambda t: t("customer").join(_first(t), _c("c_custkey") == _c("o_custkey"), "left_semi").select("c_custkey"), f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM ({_urgent}) o WHERE o_custkey = c_custkey)")
+_simple("anti_join", lambda t: t("customer").join(_first(t), _c("c_custkey") == _c("o_custkey"), "left_anti").select("c_custkey"), f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM ({_urgent}) o WHERE o_custkey = c_custkey)")
+_simple("range_join", lambda t: t("part").join(F.broadcast(t("region")), (_c("p_size") >= _c("r_regionkey") * 10) & (_c("p_size") < _c("r_regionkey") * 10 + 10)).groupBy("r_name").agg(F.count("*").alias("n")), "SELECT r_name, count(*) AS n FROM part JOIN region ON p_size >= r_regionkey * 10 AND p_size < r_regionkey * 10 + 10 GROUP BY ALL")
+
+
+def _asof(t):
+    """Each view's last purchase of the same user before it: one shuffle by user, no pairs."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = t("events").withColumn("last_purchase", F.max(F.when(_c("event_type") == "purchase", _c("ts"))).over(w))
+    return e.where("event_type = 'view'").select("event_id", "last_purchase")
+
+
+_simple("asof_last_event", _asof, "SELECT event_id, last_purchase FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events) WHERE event_type = 'view'")
+_simple("agg_stats", lambda t: t("lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 4).alias("mean"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.round(F.stddev("l_quantity"), 4).alias("sd"), F.count_if(_c("l_discount") > 0.05).alias("discounted")), "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 4) AS mean, min(l_quantity) AS least, max(l_quantity) AS most, round(stddev_samp(l_quantity), 4) AS sd, count(*) FILTER (l_discount > 0.05) AS discounted FROM lineitem GROUP BY ALL")
+_simple("count_distinct", lambda t: t("lineitem").groupBy("l_linestatus").agg(F.countDistinct("l_partkey").alias("parts")), "SELECT l_linestatus, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY ALL")
+_simple("having", lambda t: t("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 12"), "SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 12")
+for _kind in ("rollup", "cube"):
+    _simple(_kind, lambda t, k=_kind: getattr(t("orders"), k)("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")), f"SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY {_kind.upper()} (o_orderstatus, o_orderpriority)")
+_simple("grouping_sets", lambda t: t("orders").groupingSets([["o_orderstatus"], ["o_orderpriority"]], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")), "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
+_w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+_over = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
+_simple("rank_per_group", lambda t: t("orders").select("o_orderkey", F.row_number().over(_w).alias("rn"), F.ntile(4).over(_w).alias("quarter")), f"SELECT o_orderkey, (row_number() {_over}))::INTEGER AS rn, (ntile(4) {_over}))::INTEGER AS quarter FROM orders")
+_simple("lag_lead", lambda t: t("orders").select("o_orderkey", F.lag("o_orderkey").over(_w).alias("before"), F.lead("o_orderkey").over(_w).alias("after")), f"SELECT o_orderkey, lag(o_orderkey) {_over}) AS before, lead(o_orderkey) {_over}) AS after FROM orders")
+_simple("running_sum", lambda t: t("orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(_w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running")), f"SELECT o_orderkey, round(sum(o_totalprice) {_over} ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")
+_simple("rows_frame_avg", lambda t: t("orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(_w.rowsBetween(-2, 0)), 3).alias("mean3")), f"SELECT o_orderkey, round(avg(o_totalprice) {_over} ROWS 2 PRECEDING), 3) AS mean3 FROM orders")
+_simple("topk", lambda t: t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+_simple("topk_per_group", lambda t: t("orders").withColumn("rn", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("rn <= 3").select("o_orderpriority", "o_orderkey", "rn"), "SELECT o_orderpriority, o_orderkey, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey))::INTEGER AS rn FROM orders QUALIFY rn <= 3")
+for _name, _f, _op in (("union_all", "unionAll", "UNION ALL"), ("union_distinct", "union", "UNION"), ("intersect", "intersect", "INTERSECT"), ("except", "subtract", "EXCEPT")):
+    _simple(_name, lambda t, f=_f, d=_name == "union_distinct": (lambda x: x.distinct() if d else x)(getattr(t("customer").select(_c("c_nationkey").alias("k")), f)(t("supplier").where("s_suppkey < 40").select(_c("s_nationkey").alias("k")))), f"SELECT c_nationkey AS k FROM customer {_op} SELECT s_nationkey FROM supplier WHERE s_suppkey < 40")
+_simple("string_fns", lambda t: t("customer").select("c_custkey", F.upper("c_mktsegment").alias("up"), F.substring("c_name", 1, 4).alias("head"), F.concat_ws("-", "c_name", "c_mktsegment").alias("both"), F.length("c_name").alias("size"), F.regexp_extract("c_name", "([0-9]+)", 1).alias("digits")), "SELECT c_custkey, upper(c_mktsegment) AS up, c_name[1:4] AS head, concat_ws('-', c_name, c_mktsegment) AS both, length(c_name)::INTEGER AS size, regexp_extract(c_name, '([0-9]+)', 1) AS digits FROM customer")
+_simple("date_trunc_month", lambda t: t("orders").groupBy(F.trunc(_c("o_orderdate").cast("date"), "month").alias("month")).agg(F.count("*").alias("n")), "SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders GROUP BY ALL")
+_simple("math_fns", lambda t: t("lineitem").groupBy(F.floor("l_quantity").alias("q")).agg(F.round(F.sum(F.sqrt("l_extendedprice")), 1).alias("roots"), F.sum(F.pmod(_c("l_orderkey"), F.lit(7))).alias("rest")), "SELECT floor(l_quantity)::BIGINT AS q, round(sum(sqrt(l_extendedprice)), 1) AS roots, sum(l_orderkey % 7)::BIGINT AS rest FROM lineitem GROUP BY ALL")
+_simple("array_fns", lambda t: t("embeddings").select("vec_id", F.size("embedding").alias("n"), F.element_at("embedding", 1).alias("first"), F.size(F.filter("embedding", lambda x: x > 0)).alias("positive")), "SELECT vec_id, len(embedding)::INTEGER AS n, embedding[1] AS first, len(list_filter(embedding, lambda x: x > 0))::INTEGER AS positive FROM embeddings")
+_simple("json_extract", lambda t: t("events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n")), "SELECT (props::JSON->>'k')::INTEGER AS k, count(*) AS n FROM events GROUP BY ALL")
