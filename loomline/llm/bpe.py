@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ class Vocabulary:
             self.bytes[i] = b
         self.longest = max(map(len, ranks), default=0)
         self.findall = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as int32
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -94,17 +93,21 @@ class Vocabulary:
             i = j
         return tuple(out)
 
-    def _miss(self, piece: str) -> tuple[int, ...]:
+    def _miss(self, piece: str) -> bytes:
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        ids = self.piece(piece.encode())
+        ids = np.array(self.piece(piece.encode()), dtype=np.int32).tobytes()
         if len(piece) <= 64:
             self.cache[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as int32 end to end."""
         get, miss = self.cache.get, self._miss
-        return list(chain.from_iterable([get(x) or miss(x) for x in self.findall(text)]))
+        return b"".join([get(x) or miss(x) for x in self.findall(text)])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), dtype=np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -133,9 +136,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 rows = batch.slice(a, 1000)
-                ids = [v.encode(t) if t else [] for t in rows.column(1).to_pylist()]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
+                ids = [v.packed(t) if t else b"" for t in rows.column(1).to_pylist()]
+                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -149,7 +152,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 rows = batch.slice(a, 1000)
-                out = [v.decode(x.values.to_pylist()) if x.is_valid else b"" for x in rows.column(1)]
+                out = [v.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in rows.column(1)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
