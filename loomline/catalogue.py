@@ -206,12 +206,17 @@ _simple("having", lambda t: t("orders").groupBy("o_custkey").agg(F.count("*").al
 for _kind in ("rollup", "cube"):
     _simple(_kind, lambda t, k=_kind: getattr(t("orders"), k)("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")), f"SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY {_kind.upper()} (o_orderstatus, o_orderpriority)")
 _simple("grouping_sets", lambda t: t("orders").groupingSets([["o_orderstatus"], ["o_orderpriority"]], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")), "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
-_w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
+def _w():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
 _over = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
-_simple("rank_per_group", lambda t: t("orders").select("o_orderkey", F.row_number().over(_w).alias("rn"), F.ntile(4).over(_w).alias("quarter")), f"SELECT o_orderkey, (row_number() {_over}))::INTEGER AS rn, (ntile(4) {_over}))::INTEGER AS quarter FROM orders")
-_simple("lag_lead", lambda t: t("orders").select("o_orderkey", F.lag("o_orderkey").over(_w).alias("before"), F.lead("o_orderkey").over(_w).alias("after")), f"SELECT o_orderkey, lag(o_orderkey) {_over}) AS before, lead(o_orderkey) {_over}) AS after FROM orders")
-_simple("running_sum", lambda t: t("orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(_w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running")), f"SELECT o_orderkey, round(sum(o_totalprice) {_over} ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")
-_simple("rows_frame_avg", lambda t: t("orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(_w.rowsBetween(-2, 0)), 3).alias("mean3")), f"SELECT o_orderkey, round(avg(o_totalprice) {_over} ROWS 2 PRECEDING), 3) AS mean3 FROM orders")
+_simple("rank_per_group", lambda t: t("orders").select("o_orderkey", F.row_number().over(_w()).alias("rn"), F.ntile(4).over(_w()).alias("quarter")), f"SELECT o_orderkey, (row_number() {_over}))::INTEGER AS rn, (ntile(4) {_over}))::INTEGER AS quarter FROM orders")
+_simple("lag_lead", lambda t: t("orders").select("o_orderkey", F.lag("o_orderkey").over(_w()).alias("before"), F.lead("o_orderkey").over(_w()).alias("after")), f"SELECT o_orderkey, lag(o_orderkey) {_over}) AS before, lead(o_orderkey) {_over}) AS after FROM orders")
+_simple("running_sum", lambda t: t("orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(_w().rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running")), f"SELECT o_orderkey, round(sum(o_totalprice) {_over} ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")
+_simple("rows_frame_avg", lambda t: t("orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(_w().rowsBetween(-2, 0)), 3).alias("mean3")), f"SELECT o_orderkey, round(avg(o_totalprice) {_over} ROWS 2 PRECEDING), 3) AS mean3 FROM orders")
 _simple("topk", lambda t: t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 _simple("topk_per_group", lambda t: t("orders").withColumn("rn", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("rn <= 3").select("o_orderpriority", "o_orderkey", "rn"), "SELECT o_orderpriority, o_orderkey, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey))::INTEGER AS rn FROM orders QUALIFY rn <= 3")
 for _name, _f, _op in (("union_all", "unionAll", "UNION ALL"), ("union_distinct", "union", "UNION"), ("intersect", "intersect", "INTERSECT"), ("except", "subtract", "EXCEPT")):
