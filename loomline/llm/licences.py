@@ -159,7 +159,9 @@ def fit(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, copies: int = 24) -> Mo
     of = [h[group == k] for k in range(len(plain))]
     pairs = [(plain[k][0], np.unique(windows(t, 2)) if len(t) > 1 else np.unique(t)) for k, t in enumerate(of)]
     model = Model(families, vocabulary, np.zeros((len(vocabulary), len(families)), dtype=np.float32), np.zeros(len(families), dtype=np.float32), 1.0, pairs)
-    sample = docs.select("doc_id", "text").where("doc_id is not null and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unknown).collect()
+    usable = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    wanted = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unknown)
+    sample = usable.join(wanted, "doc_id", "left_semi").collect()  # of each partition only ids meet at the driver
     sample.sort(key=lambda r: (r.doc_id, r.text))
     h, group, doc, *_ = paragraphs(_pack([r.text for r in sample]))
     edge = np.searchsorted(group, np.arange(len(doc) + 1))

@@ -171,7 +171,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total, scale = first.dim, first.n, float(np.sqrt(first.longest))
     vectors, queries = (t.where(F.size("embedding") == dim) for t in (vectors, queries))
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    wanted = vectors.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    sample = sorted(vectors.join(wanted, "vec_id", "left_semi").collect())
     codes = learn(np.array([r.embedding for r in sample], dtype=np.float64), scale, k, total)
     blocks = -(-total // INDEX_BLOCK)
     put = lambda t, n, size: t.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), "vec_id", "embedding").mapInArrow(_blobs(dim, size), "block int, ids binary, vectors binary")
