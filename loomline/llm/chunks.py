@@ -2,7 +2,7 @@
 
 A corpus of many small rows is costly to shuffle key by key. Here the documents are written once as chunks of
 about two megabytes of text, and each chunk sends every bucket one blob: its distinct keys in that bucket, sorted
-and difference coded, with an optional payload. A bucket answers each chunk with one blob of bits in the order of
+and packed, with an optional payload. A bucket answers each chunk with one blob of bits in the order of
 the chunk's own keys, so an answer costs a bit a key. A key that is hot in the corpus is sent once by each chunk.
 """
 
@@ -52,22 +52,32 @@ def unpack(ids: pa.Scalar, starts: pa.Scalar, body: pa.Scalar) -> Pack:
 
 
 def encode(keys: np.ndarray) -> bytes:
-    """Sorted uint64 keys by their differences: one byte of width, the first key, then the differences."""
-    if not len(keys):
+    """Sorted distinct uint64 keys in Elias and Fano's form: their number, the width of low parts, the first key, the
+    low bits of the differences from it, and a map of the high ones; about two bits a key more than the least possible.
+    """
+    n = len(keys)
+    if not n:
         return b""
-    gaps = np.diff(keys)
-    width = 4 if not len(gaps) or gaps.max() < 2**32 else 8
-    return bytes([width]) + keys[:1].tobytes() + gaps.astype(f"u{width}").tobytes()
+    d = keys - keys[0]
+    low = max(0, (int(d[-1]) // n).bit_length() - 1)
+    lows = np.unpackbits(d.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - low :]
+    at = (d >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    high = np.zeros(at[-1] + 1, dtype=np.uint8)
+    high[at] = 1
+    return n.to_bytes(4, "little") + bytes([low]) + keys[:1].tobytes() + np.packbits(lows).tobytes() + np.packbits(high).tobytes()
 
 
 def decode(blob: memoryview) -> np.ndarray:
     if not len(blob):
         return np.zeros(0, dtype=np.uint64)
-    gaps = np.frombuffer(blob, dtype=f"u{blob[0]}", offset=9)
-    out = np.empty(len(gaps) + 1, dtype=np.uint64)
-    out[0] = np.frombuffer(blob, dtype=np.uint64, count=1, offset=1)[0]
-    out[1:] = gaps
-    return np.cumsum(out, dtype=np.uint64)
+    n, low = int.from_bytes(blob[:4], "little"), blob[4]
+    first = np.frombuffer(blob, dtype=np.uint64, count=1, offset=5)
+    end = 13 + (n * low + 7) // 8
+    bits = np.zeros((n, 64), dtype=np.uint8)
+    bits[:, 64 - low :] = np.unpackbits(np.frombuffer(blob[13:end], dtype=np.uint8), count=n * low).reshape(n, low)
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(blob[end:], dtype=np.uint8)))
+    high = (at - np.arange(n)).astype(np.uint64) << np.uint64(low)
+    return first + (high | np.packbits(bits, axis=1).view(">u8").reshape(n).astype(np.uint64))
 
 
 def cuts(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
