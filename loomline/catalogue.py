@@ -226,3 +226,28 @@ _simple("date_trunc_month", lambda t: t("orders").groupBy(F.trunc(_c("o_orderdat
 _simple("math_fns", lambda t: t("lineitem").groupBy(F.floor("l_quantity").alias("q")).agg(F.round(F.sum(F.sqrt("l_extendedprice")), 1).alias("roots"), F.sum(F.pmod(_c("l_orderkey"), F.lit(7))).alias("rest")), "SELECT floor(l_quantity)::BIGINT AS q, round(sum(sqrt(l_extendedprice)), 1) AS roots, sum(l_orderkey % 7)::BIGINT AS rest FROM lineitem GROUP BY ALL")
 _simple("array_fns", lambda t: t("embeddings").select("vec_id", F.size("embedding").alias("n"), F.element_at("embedding", 1).alias("first"), F.size(F.filter("embedding", lambda x: x > 0)).alias("positive")), "SELECT vec_id, len(embedding)::INTEGER AS n, embedding[1] AS first, len(list_filter(embedding, lambda x: x > 0))::INTEGER AS positive FROM embeddings")
 _simple("json_extract", lambda t: t("events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n")), "SELECT (props::JSON->>'k')::INTEGER AS k, count(*) AS n FROM events GROUP BY ALL")
+
+
+def _events(t):
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+_user = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
+_simple("distinct", lambda t: t("part").select("p_brand", "p_type").distinct(), "SELECT DISTINCT p_brand, p_type FROM part")
+_simple("quantiles", lambda t: t("orders").groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", 0.5), 3).alias("median"), F.round(F.percentile("o_totalprice", 0.9), 3).alias("p90"), F.round(F.var_samp("o_custkey"), 2).alias("spread")), "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 3) AS median, round(quantile_cont(o_totalprice, 0.9), 3) AS p90, round(var_samp(o_custkey), 2) AS spread FROM orders GROUP BY ALL")
+_simple("string_agg", lambda t: t("nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names")), "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY ALL")
+_simple("filtered_agg", lambda t: t("events").groupBy("event_type").agg(F.count_if(_c("value") > 50).alias("large"), F.max_by("event_id", F.struct("value", "event_id")).alias("greatest")), "SELECT event_type, count(*) FILTER (value > 50) AS large, (max({'v': value, 'i': event_id})).i AS greatest FROM events GROUP BY ALL")
+_simple("pivot", lambda t: t("orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey")).select("o_orderpriority", *(F.coalesce(s, F.lit(0)).alias(f"n_{s.lower()}") for s in "FOP")), "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS n_{s.lower()}" for s in "FOP") + " FROM orders GROUP BY ALL")
+_simple("rank_kinds", lambda t: t("events").select("event_id", *(f().over(Window.partitionBy("user_id").orderBy("event_type")).alias(n) for n, f in (("r", F.rank), ("dr", F.dense_rank))), *(F.round(f().over(Window.partitionBy("user_id").orderBy("event_type")), 6).alias(n) for n, f in (("pr", F.percent_rank), ("cd", F.cume_dist)))), "SELECT event_id, (rank() OVER w)::INTEGER AS r, (dense_rank() OVER w)::INTEGER AS dr, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_type)")
+_simple("first_last_nth", lambda t: t("events").select("event_id", F.first("event_id").over(_events(t)).alias("first"), F.last("event_id").over(_events(t)).alias("last"), F.nth_value("event_id", 2).over(_events(t)).alias("second")), f"SELECT event_id, first_value(event_id) {_user}) AS first, last_value(event_id) {_user}) AS last, nth_value(event_id, 2) {_user}) AS second FROM events")
+_simple("range_frame_count", lambda t: t("orders").select("o_orderkey", F.count("*").over(Window.partitionBy("o_custkey").orderBy(F.unix_date(_c("o_orderdate").cast("date"))).rangeBetween(-90, 0)).alias("recent")), "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE - DATE '1970-01-01' RANGE BETWEEN 90 PRECEDING AND CURRENT ROW) AS recent FROM orders")
+_simple("order_offset", lambda t: t("supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").offset(10).limit(20).select("s_suppkey", "s_acctbal"), "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 20 OFFSET 10")
+for _name, _f, _op in (("intersect_all", "intersectAll", "INTERSECT ALL"), ("except_all", "exceptAll", "EXCEPT ALL")):
+    _simple(_name, lambda t, f=_f: getattr(t("customer").select(_c("c_nationkey").alias("k")), f)(t("supplier").select(_c("s_nationkey").alias("k"))), f"SELECT c_nationkey AS k FROM customer {_op} SELECT s_nationkey FROM supplier")
+_simple("pattern_fns", lambda t: t("part").select("p_partkey", F.regexp_replace("p_brand", "[0-9]+", "#").alias("masked"), _c("p_type").rlike("^[A-M]").alias("early"), F.instr("p_name", "a").alias("at"), F.reverse("p_brand").alias("back"), F.lpad("p_brand", 12, "*").alias("padded"), F.split("p_brand", "#")[0].alias("head")), "SELECT p_partkey, regexp_replace(p_brand, '[0-9]+', '#', 'g') AS masked, regexp_matches(p_type, '^[A-M]') AS early, instr(p_name, 'a')::INTEGER AS at, reverse(p_brand) AS back, lpad(p_brand, 12, '*') AS padded, split(p_brand, '#')[1] AS head FROM part")
+_simple("date_fns", lambda t: t("orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.date_add(_c("o_orderdate").cast("date"), 30).alias("due"), F.datediff(F.lit("2002-01-01").cast("date"), _c("o_orderdate").cast("date")).alias("age"), (_c("o_orderdate") + F.expr("INTERVAL 1 DAY 2 HOURS")).alias("later")), "SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, o_orderdate::DATE + 30 AS due, (DATE '2002-01-01' - o_orderdate::DATE)::INTEGER AS age, o_orderdate + INTERVAL 26 HOUR AS later FROM orders")
+_simple("casts_and_conditions", lambda t: t("customer").select("c_custkey", F.substring("c_mktsegment", 1, 1).try_cast("int").alias("none"), F.regexp_extract("c_name", "([0-9]+)", 1).try_cast("int").alias("number"), F.nullif("c_nationkey", F.lit(3)).alias("nation"), F.greatest("c_acctbal", F.lit(0.0)).alias("credit"), F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("none")).alias("segment")), "SELECT c_custkey, TRY_CAST(c_mktsegment[1:1] AS INTEGER) AS none, TRY_CAST(regexp_extract(c_name, '([0-9]+)', 1) AS INTEGER) AS number, nullif(c_nationkey, 3) AS nation, greatest(c_acctbal, 0.0) AS credit, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment FROM customer")
+_simple("map_struct_explode", lambda t: t("nation").select("n_nationkey", F.explode(F.create_map(F.lit("name"), "n_name", F.lit("region"), _c("n_regionkey").cast("string")))).select("n_nationkey", F.struct(_c("key").alias("k"), _c("value").alias("v")).alias("s")).select("n_nationkey", _c("s.k").alias("k"), _c("s.v").alias("v")), "SELECT n_nationkey, 'name' AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'region', n_regionkey::VARCHAR FROM nation")
+_simple("hash_fns", lambda t: t("customer").select("c_custkey", F.md5(_c("c_name").cast("binary")).alias("md5"), F.sha2(_c("c_name").cast("binary"), 256).alias("sha256"), F.base64(_c("c_name").cast("binary")).alias("b64"), F.hex(_c("c_name").cast("binary")).alias("hex")), "SELECT c_custkey, md5(c_name) AS md5, sha256(c_name) AS sha256, base64(c_name::BLOB) AS b64, hex(c_name::BLOB) AS hex FROM customer")
+_simple("bits_and_trig", lambda t: t("part").select("p_partkey", _c("p_size").bitwiseAND(7).alias("low"), F.shiftleft("p_size", 2).alias("shifted"), F.signum(_c("p_size") - 25.0).alias("sign"), F.round(F.log(_c("p_retailprice")), 6).alias("ln"), F.round(F.sin("p_size"), 6).alias("sine"), F.ceil(_c("p_retailprice") / 100).alias("hundreds")), "SELECT p_partkey, p_size & 7 AS low, p_size << 2 AS shifted, sign(p_size - 25.0)::DOUBLE AS sign, round(ln(p_retailprice), 6) AS ln, round(sin(p_size), 6) AS sine, ceil(p_retailprice / 100)::BIGINT AS hundreds FROM part")
+_simple("tumbling_windows", lambda t: t("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(_c("w.start").alias("hour"), "event_type", "n"), "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
