@@ -129,7 +129,7 @@ def answered(sent: DataFrame, n: int, answer: Callable[[list, list], list[np.nda
             got = answer([], list(zip(keys, payloads, strict=True))) if raw else answer([decode(k) for k in keys], payloads)
             yield pa.RecordBatch.from_arrays([pa.array([r[0].as_py() for r in rows], pa.int64()), pa.array([b] * len(rows), pa.int32()), pa.array([np.packbits(g).tobytes() for g in got], pa.binary())], names=["chunk", "bucket", "bits"])
 
-    out = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWER)
+    out = sent.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, ANSWER)
     # at most one entry a bucket and a bit a key: bounded by the chunk
     return out.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))
 

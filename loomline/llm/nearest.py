@@ -183,7 +183,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     items = items.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     asked = asked.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
     both = items.union(asked.select(*items.columns)).select((F.col("block") * shares + F.col("share")).alias("task"), "query", "ids", "vectors")
-    found = both.repartition("task").sortWithinPartitions("task").mapInArrow(_search(codes, k, dim), "query_id long, vec_id long, score double")
+    found = both.repartitionById(blocks * shares, F.col("task")).sortWithinPartitions("task").mapInArrow(_search(codes, k, dim), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import SENT, answered, buckets, chunked, encode, read_bits, send, unpack
+from .chunks import BUCKET_BYTES, SENT, answered, buckets, chunked, read_bits, send, unpack
 from .scratch import materialize
 from .text import Pack, Words, mix, windows, word_hashes, words
 
@@ -33,7 +33,8 @@ from .text import Pack, Words, mix, windows, word_hashes, words
 LEAST_WINDOW = 13
 ROUNDS = 2
 RUN = 3
-#: Bits of a symbol's name that are sent: chance agreement only adds windows to compare.
+#: Bits of a symbol's name that are sent at least; in a large corpus their number grows with the text, so that few
+#: names agree by chance. Chance agreement only adds windows to compare.
 SYMBOL_BITS = 40
 
 
@@ -74,11 +75,11 @@ def symbols(h: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.nd
     return tuple(np.concatenate(x) for x in zip((name, at, size, size), runs, strict=True))
 
 
-def _named(pack: Pack) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _named(pack: Pack, bits: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     w = words(pack)
     h = word_hashes(pack.bytes, w)
     name, at, size, need = symbols(h, w.doc)
-    return w, h, name >> np.uint64(64 - SYMBOL_BITS), at, size, need
+    return w, h, name >> np.uint64(64 - bits), at, size, need
 
 
 def _least_most(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,16 +96,16 @@ def _least_most(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndar
     return k[start], inverse, np.minimum.reduceat(v, start), np.maximum.reduceat(v, start)
 
 
-def _send_symbols(n: int):
+def _send_symbols(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 p = unpack(batch["ids"][i], batch["starts"][i], batch["body"][i])
-                w, _, name, at, _, _ = _named(p)
+                w, _, name, at, _, _ = _named(p, bits)
                 keys, _, least, most = _least_most(name, p.ids[w.doc[at]])
                 if len(keys):
                     several = least != most
-                    yield send(batch["chunk"][i].as_py(), keys, n, SYMBOL_BITS, lambda a, b, m=several: np.packbits(m[a:b]).tobytes())
+                    yield send(batch["chunk"][i].as_py(), keys, n, bits, lambda a, b, m=several: np.packbits(m[a:b]).tobytes())
 
     return run
 
@@ -125,11 +126,11 @@ def _shared(keys: list[np.ndarray], payloads: list[memoryview]) -> list[np.ndarr
     return np.split(out, np.cumsum([len(k) for k in keys])[:-1])
 
 
-def _candidates(p: Pack, answers: list[dict], n: int, width: int) -> tuple[Words, np.ndarray, np.ndarray]:
+def _candidates(p: Pack, answers: list[dict], n: int, bits: int, width: int) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words, the first words of the windows that hold a shared symbol, and these windows' names."""
-    w, h, name, at, size, need = _named(p)
+    w, h, name, at, size, need = _named(p, bits)
     keys, inverse, _, _ = _least_most(name, name)
-    hit = read_bits(answers, keys, n, SYMBOL_BITS)[inverse]
+    hit = read_bits(answers, keys, n, bits)[inverse]
     at, size, need = at[hit], size[hit], need[hit]
     limit = len(w) - width + 1
     if limit <= 0 or not len(at):
@@ -145,13 +146,13 @@ def _candidates(p: Pack, answers: list[dict], n: int, width: int) -> tuple[Words
     return w, start, x
 
 
-def _send_windows(n: int, width: int):
+def _send_windows(n: int, bits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
                 p = unpack(batch["ids"][i], batch["starts"][i], batch["body"][i])
-                w, start, x = _candidates(p, batch["answers"][i].as_py(), n, width)
+                w, start, x = _candidates(p, batch["answers"][i].as_py(), n, bits, width)
                 keys, _, least, _ = _least_most(x, p.ids[w.doc[start]])
                 if len(keys):
                     yield send(batch["chunk"][i].as_py(), keys, n, 64, lambda a, b, v=least: z.compress(v[a:b].tobytes()))
@@ -192,12 +193,12 @@ def _without(p: Pack, i: int, w: Words, drop: np.ndarray, layout: bool) -> bytes
     return np.frombuffer(text, dtype=np.uint8)[keep == 1].tobytes()
 
 
-def _kept(n: int, width: int, layout: bool):
+def _kept(n: int, bits: int, width: int, layout: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 p = unpack(batch["ids"][i], batch["starts"][i], batch["body"][i])
-                w, start, x = _candidates(p, batch["answers"][i].as_py(), n, width)
+                w, start, x = _candidates(p, batch["answers"][i].as_py(), n, bits, width)
                 keys, inverse, least, _ = _least_most(x, p.ids[w.doc[start]])
                 before = read_bits(batch["later"][i].as_py(), keys, n, 64)[inverse] if len(keys) else np.zeros(0, dtype=bool)
                 before |= p.ids[w.doc[start]] > least[inverse]
@@ -224,8 +225,9 @@ def substring_dedup(docs: DataFrame, window: int = LEAST_WINDOW, layout: bool =
         raise ValueError(f"window must be at least {LEAST_WINDOW}")
     chunks = chunked(docs)
     n = buckets(chunks)
-    shared = materialize(answered(chunks.mapInArrow(_send_symbols(n), SENT), n, _shared), "symbols")
+    bits = min(64, max(SYMBOL_BITS, (n * BUCKET_BYTES).bit_length() + 3))
+    shared = materialize(answered(chunks.mapInArrow(_send_symbols(n, bits), SENT), n, _shared), "symbols")
     near = chunks.join(shared, "chunk", "left")
-    later = materialize(answered(near.mapInArrow(_send_windows(n, window), SENT), n, _earlier).withColumnRenamed("answers", "later"), "windows")
+    later = materialize(answered(near.mapInArrow(_send_windows(n, bits, window), SENT), n, _earlier).withColumnRenamed("answers", "later"), "windows")
     both = chunks.join(shared, "chunk", "left").join(later, "chunk", "left")
-    return both.mapInArrow(_kept(n, window, layout), "doc_id long, n_words long, n_removed long, text string")
+    return both.mapInArrow(_kept(n, bits, window, layout), "doc_id long, n_words long, n_removed long, text string")
