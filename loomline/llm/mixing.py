@@ -3,8 +3,9 @@
 A text is a sequence of tokens: its words, A-Z lower-cased, then one end token. A token is coded as its bytes and a
 closing byte (the end token as the closing byte alone), and each byte as eight binary decisions. For every decision,
 each of six contexts (the last one, two, three and five bytes of the token and all of it so far, together with the
-document's class, and all of it in any class) has a slot in one hashed table of counts of zeros and ones, gathered from
-all training tokens. Classes are found without labels, by k-means over the short words of a bounded sample of training
+document's class, and all of it in any class) has its counts of zeros and ones among all training tokens. They are exact
+but for equal 56-bit hashes: buckets of tokens send each context with the bytes that follow it to buckets of contexts,
+which add up and answer, so no table is shared and none is of a fixed size. Classes are found without labels, by k-means over the short words of a bounded sample of training
 documents; a document's class is coded before its tokens, and its cost is part of the score. The predictors' logits are combined by weights
 that are chosen by how much two of the contexts have been seen (the gate) and are learned online, one mini-batch after another, on
 a bounded sample of tokens, whose own occurrence is first taken out of the counts. A last stage refines the mixed
@@ -12,26 +13,25 @@ probability by an adaptive map over the byte decided so far. A token's probabili
 
 A token's probability depends on the corpus and on nothing else in its text, so it is computed once for each distinct
 token and not once for each occurrence: chunks of documents send their distinct tokens to buckets, which count them,
-add up the table, and later return sums of scores for each document.
+ask for the counts of their contexts, and later return sums of scores for each document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import BUCKET_BYTES, by_bucket
+from .chunks import BUCKET_BYTES, by_bucket, cuts, decode, encode
 from .scratch import materialize
 from .text import Pack, mix, packs, word_hashes, words
 
-#: log2 of the table's slots; the table and so the broadcast are of this size whatever the corpus.
+#: log2 of the slots of a mixer's table that is made without keys; scores() always has keys.
 SLOT_BITS = 21
-SLICES = 32
 #: Distinct tokens whose occurrences the weights are learned from at most: the most frequent ones, and some others.
 SAMPLE_TOP, SAMPLE_REST = 3_000, 12_000
 ORDERS = (1, 2, 3, 5, 255)
@@ -54,8 +54,11 @@ class Bits:
     slots: list[np.ndarray]
 
 
-def decisions(text: np.ndarray, starts: np.ndarray, kind: np.ndarray, slot_bits: int = SLOT_BITS) -> Bits:
-    """The binary decisions of tokens given as bytes end to end, each followed by the closing byte; kind: the class of each."""
+def coded(text: np.ndarray, starts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token and value of each byte to code, and for each context its key: 56 bits of the context's hash, then the byte.
+
+    Tokens are given as bytes end to end, each followed by the closing byte; kind: the class of each.
+    """
     sizes = np.diff(starts)
     n = len(sizes)
     at = starts[1:] + np.arange(n)
@@ -66,21 +69,30 @@ def decisions(text: np.ndarray, starts: np.ndarray, kind: np.ndarray, slot_bits:
     first = starts[:-1] + np.arange(n)
     token = np.repeat(np.arange(n), sizes + 1)
     place = np.arange(len(byte)) - first[token]
-    contexts = []
+    keys = np.empty((INPUTS, len(byte)), dtype=np.uint64)
     symbol = mix(byte.astype(np.uint64) + np.uint64(1))
     total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(symbol * _power(len(byte)), dtype=np.uint64)))
-    for order in ORDERS:
+    for i, order in enumerate(ORDERS):
         back = np.minimum(place, order)
         begin = np.arange(len(byte)) - back
         h = (total[begin + back] - total[begin]) * _inverse(len(byte))[begin]
         h = mix(h ^ mix(np.uint64(order) * np.uint64(1 << 32) + back.astype(np.uint64)))
-        contexts.append(mix(h + kind.astype(np.uint64)[token] + np.uint64(1)))
-    contexts.append(h)  # all of the token so far, in any class
+        keys[i] = mix(h + kind.astype(np.uint64)[token] + np.uint64(1))
+    keys[-1] = h  # all of the token so far, in any class
+    return token, byte, keys & ~np.uint64(255) | byte.astype(np.uint64)
+
+
+def decisions(text: np.ndarray, starts: np.ndarray, kind: np.ndarray, keys: np.ndarray | None = None) -> Bits:
+    """The binary decisions of tokens; their slots are eight for each of the sorted ``keys``, or hashed ones."""
+    token, byte, own = coded(text, starts, kind)
     shift = np.arange(7, -1, -1, dtype=np.uint8)
     bit = ((byte[:, None] >> shift) & 1).astype(np.uint8).reshape(-1)
     node = ((1 << np.arange(8, dtype=np.int64)) | (byte[:, None].astype(np.int64) >> (8 - np.arange(8)))).reshape(-1)
-    spread = mix(np.arange(256, dtype=np.uint64))[node]
-    slots = [(mix_light(np.repeat(c, 8) ^ spread) >> np.uint64(64 - slot_bits)).astype(np.int64) for c in contexts]
+    if keys is None:
+        spread = mix(np.arange(256, dtype=np.uint64))[node]
+        slots = [(mix_light(np.repeat(k & ~np.uint64(255), 8) ^ spread) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for k in own]
+    else:
+        slots = [(np.searchsorted(keys, k)[:, None] * 8 + np.arange(8)).reshape(-1) for k in own]
     return Bits(np.repeat(token, 8), bit, node, slots)
 
 
@@ -152,14 +164,33 @@ def parts(text: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, np.n
         a = b
 
 
-def add_counts(zeros: np.ndarray, ones: np.ndarray, text: np.ndarray, starts: np.ndarray, kind: np.ndarray, weight: np.ndarray) -> None:
+def _summed(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sum of each one's weights."""
+    if not len(keys):
+        return keys, weight
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(weight[order], first)
+
+
+def tally(text: np.ndarray, starts: np.ndarray, kind: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all contexts of tokens, sorted, with the weights of the tokens that have them."""
+    found = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))]
     for a, b, t, s in parts(text, starts):
-        d = decisions(t, s, kind[a:b])
-        w = weight[a:b][d.token].astype(np.float64)
-        for slots in d.slots:
-            one = d.bit == 1
-            np.add.at(ones, slots[one], w[one])
-            np.add.at(zeros, slots[~one], w[~one])
+        token, _, own = coded(t, s, kind[a:b])
+        found.append(_summed(own.reshape(-1), np.tile(weight[a:b][token], INPUTS)))
+    return _summed(*(np.concatenate(v) for v in zip(*found, strict=True)))
+
+
+def under(keys: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(9, keys) for all keys of some contexts, sorted: the counts of a context's bytes that share 0 to 8 bits with the key's."""
+    out = np.zeros((9, len(keys)), dtype=np.int64)
+    for k in range(9 if len(keys) else 0):
+        top = keys >> np.uint64(8 - k)
+        first = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
+        out[k] = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(keys))))
+    return out
 
 
 def _gate(seen: list[np.ndarray]) -> np.ndarray:
@@ -171,12 +202,22 @@ def _gate(seen: list[np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Mixer:
-    """zeros, ones: the table; weights: a row for each gate, with a bias; refine: the last stage's map."""
+    """zeros, ones: the table; weights: a row for each gate, with a bias; refine: the last stage's map; keys: the table's."""
 
     zeros: np.ndarray
     ones: np.ndarray
     weights: np.ndarray = field(default_factory=lambda: np.concatenate((np.full((15, INPUTS), 0.3), np.zeros((15, 1))), axis=1))
     refine: np.ndarray = field(default_factory=lambda: np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, 33))), (256, 1)))
+    keys: np.ndarray | None = None
+
+    def over(self, keys: np.ndarray, below: np.ndarray) -> Mixer:
+        """This mixer with the exact counts of sorted keys, given as by under()."""
+        zeros, ones = np.empty((len(keys), 8), dtype=np.float32), np.empty((len(keys), 8), dtype=np.float32)
+        for k in range(8):
+            bit = (keys >> np.uint64(7 - k)) & np.uint64(1) == 1
+            same, other = below[k + 1], below[k] - below[k + 1]
+            zeros[:, k], ones[:, k] = np.where(bit, other, same), np.where(bit, same, other)
+        return replace(self, zeros=zeros.reshape(-1), ones=ones.reshape(-1), keys=keys)
 
     def inputs(self, d: Bits, less: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the predictors with a bias of one, and the gate; ``less``: occurrences to take out of the counts."""
@@ -204,7 +245,7 @@ class Mixer:
         """log10 probability of each token."""
         out = np.zeros(len(starts) - 1)
         for a, b, t, s in parts(text, starts):
-            d = decisions(t, s, kind[a:b])
+            d = decisions(t, s, kind[a:b], self.keys)
             x, gate = self.inputs(d)
             p = self.refined(self.mixed(x, gate), d.node)
             out[a:b] = np.bincount(d.token, weights=np.log(np.where(d.bit == 1, p, 1 - p)), minlength=b - a) / LN10
@@ -214,7 +255,7 @@ class Mixer:
         """Learn weights, then the map, online over the decisions of sampled tokens in a fixed shuffled order."""
         xs, gates, bits, nodes, ws = [], [], [], [], []
         for a, b, t, s in parts(text, starts):
-            d = decisions(t, s, kind[a:b])
+            d = decisions(t, s, kind[a:b], self.keys)
             x, g = self.inputs(d, 1.0)
             xs.append(x.astype(np.float32))
             gates.append(g)
@@ -267,8 +308,8 @@ def _bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _send_counts(n: int, centres: np.ndarray):
-    """Distinct training tokens of each pack and class with their bytes and counts, by bucket."""
+def _send_counts(n: int, centres: np.ndarray, times: int):
+    """Distinct tokens of each pack and class with their bytes and counts, by bucket; times: 1 to count them, 0 for texts to be scored only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -278,14 +319,14 @@ def _send_counts(n: int, centres: np.ndarray):
             order = np.lexsort((kinds[doc], h))
             h, kind = h[order], kinds[doc][order]
             at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])))
-            count = np.diff(np.append(at, len(h)))
+            count = np.diff(np.append(at, len(h))) * times
             u, kind, at = h[at], kind[at], order[at]
             bucket = _bucket_of(u, n)
             full, a = np.unique(bucket, return_index=True)
             b = np.append(a[1:], len(u))
             size = (end - start)[at]
             rows = [[z.compress(v.tobytes()) for v in (u[x:y], kind[x:y].astype(np.uint8), count[x:y].astype(np.uint32), size[x:y].astype(np.uint32))] + [z.compress(_gather(p, start[at[x:y]], end[at[x:y]]))] for x, y in zip(a, b, strict=True)]
-            docs = np.bincount(kinds, minlength=len(centres)).astype(np.int64).tobytes()
+            docs = (np.bincount(kinds, minlength=len(centres)) * times).astype(np.int64).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)), pa.array([docs] + [None] * (len(full) - 1), pa.binary())], names=["bucket", "token", "kind", "count", "size", "text", "docs"])
 
     return run
@@ -312,8 +353,9 @@ def _count(classes: int):
             u, s = token[at], size[at].astype(np.int64)
             pick = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(s)[:-1])), s) + np.arange(s.sum())
             blobs = [out.compress(v.tobytes()) for v in (u, kind[at], c, s.astype(np.uint32), text[pick])]
-            distinct = int((u[1:] != u[:-1]).sum()) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([docs.tolist()], pa.list_(pa.int64())), pa.array([len(u)]), pa.array([distinct]), pa.array([int(c.sum())])], names=["bucket", "token", "kind", "count", "size", "text", "docs", "tokens", "words", "total"])
+            seen = u[c > 0]
+            distinct = len(np.unique(seen))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([docs.tolist()], pa.list_(pa.int64())), pa.array([len(seen)]), pa.array([distinct]), pa.array([int(c.sum())])], names=["bucket", "token", "kind", "count", "size", "text", "docs", "tokens", "words", "total"])
 
     return run
 
@@ -325,73 +367,132 @@ def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return get("token", np.uint64), get("kind", np.uint8), get("count", np.int64), np.concatenate(([0], np.cumsum(get("size", np.uint32), dtype=np.int64))), get("text", np.uint8)
 
 
-def _part_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The table of counts of a partition's tokens, in slices of non-empty slots."""
-    zeros, ones = np.zeros(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS)
-    for batch in batches:
-        for i in range(batch.num_rows):
-            _, kind, count, starts, text = _read(batch, i)
-            add_counts(zeros, ones, text, starts, kind, count)
-    z, width = zstandard.ZstdCompressor(level=1), (1 << SLOT_BITS) // SLICES
-    for k in range(SLICES):
-        part = slice(k * width, (k + 1) * width)
-        at = np.flatnonzero(zeros[part] + ones[part])
-        if len(at):
-            blob = np.diff(at, prepend=0).astype(np.uint32).tobytes() + zeros[part][at].astype(np.uint64).tobytes() + ones[part][at].astype(np.uint64).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(at)]), pa.array([z.compress(blob)], pa.binary())], names=["slice", "n", "blob"])
-
-
-def _unpack_slice(n: int, blob: bytes, zeros: np.ndarray, ones: np.ndarray) -> None:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    at = np.cumsum(np.frombuffer(raw, dtype=np.uint32, count=n), dtype=np.int64)
-    zeros[at] += np.frombuffer(raw, dtype=np.uint64, count=n, offset=4 * n)
-    ones[at] += np.frombuffer(raw, dtype=np.uint64, count=n, offset=12 * n)
-
-
-def _add_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    width = (1 << SLOT_BITS) // SLICES
-    for k, rows in by_bucket(batches):
-        zeros, ones = np.zeros(width), np.zeros(width)
-        for n, blob in rows:
-            _unpack_slice(n.as_py(), blob.as_buffer(), zeros, ones)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zeros.astype(np.float32).tobytes()], pa.binary()), pa.array([ones.astype(np.float32).tobytes()], pa.binary())], names=["slice", "zeros", "ones"])
-
-
-def train(spark, counted: DataFrame, tasks: int) -> Mixer:
-    """Sum the table over all counted tokens and learn the mixer's weights on the bounded sample."""
-    slices = counted.repartition(tasks).mapInArrow(_part_tables, "slice int, n long, blob binary").repartition(min(SLICES, tasks), "slice").sortWithinPartitions("slice").mapInArrow(_add_tables, "slice int, zeros binary, ones binary")
-    width = (1 << SLOT_BITS) // SLICES
-    zeros, ones = np.zeros(1 << SLOT_BITS, dtype=np.float32), np.zeros(1 << SLOT_BITS, dtype=np.float32)
-    for r in slices.collect():  # a fixed number of slots
-        zeros[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.zeros, dtype=np.float32)
-        ones[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.ones, dtype=np.float32)
-    mixer = Mixer(zeros, ones)
+def _ask(n: int):
+    """Each bucket's keys and counts for the n buckets of contexts; a context's keys go to one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, kind, count, starts, text = _read(batch, i)
+                keys, times = tally(text, starts, kind, count)
+                at = cuts(keys >> np.uint64(8), n, 56)
+                full = np.flatnonzero(np.diff(at))
+                blobs = [[f(v[at[k] : at[k + 1]]) for k in full] for f, v in ((encode, keys), (lambda v: z.compress(v.tobytes()), times))]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([batch["bucket"][i].as_py()] * len(full), pa.int32()), *(pa.array(v, pa.binary()) for v in blobs)], names=["part", "bucket", "keys", "times"])
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bucket that asked, the counts below its keys: the first row of under(), then what each bit takes away."""
+    z, out = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    for part, rows in by_bucket(batches):
+        keys = [decode(memoryview(r[1].as_buffer())) for r in rows]
+        every, count = _summed(np.concatenate(keys), np.concatenate([np.frombuffer(z.decompress(r[2].as_buffer()), dtype=np.int64) for r in rows]))
+        below = under(every, count)
+        below[1:] = below[:-1] - below[1:]
+        for r, k in zip(rows, keys, strict=True):
+            x = below[:, np.searchsorted(every, k)]
+            x = x.astype(np.uint32) if x.max() < 1 << 32 else x
+            blob = bytes([x.itemsize]) + out.compress(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([r[0].as_py()], pa.int32()), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "part", "blob"])
+
+
+_TABLED = "bucket int, token binary, kind binary, count binary, size binary, text binary, table array<binary>"
+
+
+def _with_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a bucket: its tokens (the row of part -1, which comes first), and its answers in the order of its keys."""
+    for b, rows in by_bucket(batches):
+        blobs = [r[6].as_py() for r in rows[1:]]
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([rows[0][c].as_py()], pa.binary()) for c in range(1, 6)), pa.array([blobs], pa.list_(pa.binary()))], names=["bucket", "token", "kind", "count", "size", "text", "table"])
+
+
+def tabled(counted: DataFrame, n: int) -> DataFrame:
+    """The buckets' tokens with the exact counts of all their contexts in the whole corpus."""
+    asked = counted.repartition(n, "bucket").mapInArrow(_ask(n), "part int, bucket int, keys binary, times binary")
+    answers = asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_answer, "bucket int, part int, blob binary")
+    kept, none = ("token", "kind", "count", "size", "text"), F.lit(None).cast("binary")
+    rows = counted.select("bucket", F.lit(-1).alias("part"), *kept, none.alias("blob")).union(answers.select("bucket", "part", *(none.alias(c) for c in kept), "blob"))
+    rows = rows.select("bucket", *kept, "blob", "part").repartition(n, "bucket").sortWithinPartitions("bucket", "part").select("bucket", "part", *kept, "blob")
+    return materialize(rows.mapInArrow(_with_answers, _TABLED), "tables")
+
+
+def read_table(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a bucket's tokens and the counts below them, as by under()."""
+    _, kind, count, starts, text = _read(batch, i)
+    z = zstandard.ZstdDecompressor()
+    blobs = [memoryview(v.as_buffer()) for v in batch["table"][i]]
+    keys = tally(text, starts, kind, count)[0]
+    below, at = np.empty((9, len(keys)), dtype=np.uint32 if all(v[0] == 4 for v in blobs) else np.int64), 0
+    for v in blobs:
+        x = np.frombuffer(z.decompress(v[1:]), dtype=np.uint32 if v[0] == 4 else np.int64).reshape(9, -1)
+        below[0, at : at + x.shape[1]], below[1:, at : at + x.shape[1]] = x[0], x[0] - np.cumsum(x[1:], axis=0, dtype=x.dtype)
+        at += x.shape[1]
+    return keys, below
+
+
+def train(spark, tables: DataFrame, n: int) -> Mixer:
+    """Learn the mixer's weights on the bounded sample of the n counted tokens, with their exact counts."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
                 token, kind, count, starts, text = _read(batch, i)
                 token = token + mix(kind.astype(np.uint64))
-                top = np.argsort(-count, kind="stable")[:SAMPLE_TOP]
-                rest = np.argsort(mix(token), kind="stable")[:SAMPLE_REST]
+                counted = np.flatnonzero(count)
+                top = counted[np.argsort(-count[counted], kind="stable")[:SAMPLE_TOP]]
+                rest = counted[np.argsort(mix(token[counted]), kind="stable")[:SAMPLE_REST]]
                 at = np.unique(np.concatenate((top, rest)))
+                if not len(at):
+                    continue
                 raw = text.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(mix(token[at]).view(np.int64)), pa.array(kind[at].astype(np.int32)), pa.array(count[at]), pa.array([raw[starts[x] : starts[x + 1]] for x in at.tolist()], pa.binary())], names=["h", "kind", "count", "text"])
-
-    pool = counted.mapInArrow(candidates, "h long, kind int, count long, text binary")
+                keys, below = read_table(batch, i)
+                size = np.diff(starts)[at]
+                first = np.concatenate(([0], np.cumsum(size)))
+                own = coded(text[np.repeat(starts[at] - first[:-1], size) + np.arange(first[-1])], first, kind[at])[2]
+                own, first = np.searchsorted(keys, own), first + np.arange(len(first))
+                counts = [z.compress(below[:, own[:, x:y].reshape(-1)].astype(np.int64).tobytes()) for x, y in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(mix(token[at]).view(np.int64)), pa.array(kind[at].astype(np.int32)), pa.array(count[at]), pa.array([raw[starts[x] : starts[x + 1]] for x in at.tolist()], pa.binary()), pa.array(counts, pa.binary())], names=["h", "kind", "count", "text", "below"])
+
+    pool = tables.mapInArrow(candidates, "h long, kind int, count long, text binary, below binary")
     pool = materialize(pool, "pool")
-    n = counted.agg(F.sum("tokens")).first()[0] or 0
     top = pool.orderBy(F.desc("count"), "h").limit(SAMPLE_TOP).collect()
     unsigned = F.col("h").bitwiseXOR(F.lit(-(2**63)))  # in the order of unsigned hashes
     rest = pool.orderBy(unsigned).limit(SAMPLE_REST).collect()
     known = {r.h for r in top}
     rest = [r for r in rest if r.h not in known]
     scale = max(1.0, (n - len(top)) / max(1, len(rest)))
-    sample = [(bytes(r.text), r.kind, float(r["count"])) for r in top] + [(bytes(r.text), r.kind, r["count"] * scale) for r in rest]
+    sample = [(bytes(r.text), r.kind, float(r["count"]), r.below) for r in top] + [(bytes(r.text), r.kind, r["count"] * scale, r.below) for r in rest]
     sample.sort()
-    starts = np.concatenate(([0], np.cumsum([len(t) for t, _, _ in sample]))).astype(np.int64)
-    mixer.learn(np.frombuffer(b"".join(t for t, _, _ in sample), dtype=np.uint8), starts, np.array([k for _, k, _ in sample], dtype=np.int64), np.array([w for _, _, w in sample]))
-    return mixer
+    if not sample:
+        return Mixer(np.zeros(0), np.zeros(0))
+    texts, kinds, weight, blobs = zip(*sample, strict=True)
+    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    text, kind = np.frombuffer(b"".join(texts), dtype=np.uint8), np.array(kinds, dtype=np.int64)
+    z = zstandard.ZstdDecompressor()
+    own = np.concatenate([coded(text[a:b], np.array([0, b - a]), kind[i : i + 1])[2].reshape(-1) for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True))])
+    keys, at = np.unique(own, return_index=True)
+    mixer = Mixer(np.zeros(0), np.zeros(0)).over(keys, np.concatenate([np.frombuffer(z.decompress(v), dtype=np.int64).reshape(9, -1) for v in blobs], axis=1)[:, at])
+    mixer.learn(text, starts, kind, np.array(weight))
+    return replace(mixer, zeros=np.zeros(0), ones=np.zeros(0), keys=None)
+
+
+def _logs(spark, mixer: Mixer):
+    """log10 probabilities of each bucket's tokens."""
+    shared = spark.sparkContext.broadcast(mixer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, kind, _, starts, text = _read(batch, i)
+                logs = shared.value.over(*read_table(batch, i)).log10(text, starts, kind.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(5)), pa.array([out.compress(logs.tobytes())], pa.binary())], names=["bucket", "token", "kind", "count", "size", "logs"])
+
+    return run
 
 
 def _send_tokens(n: int, centres: np.ndarray):
@@ -418,66 +519,54 @@ def _send_tokens(n: int, centres: np.ndarray):
             for x, y in zip(a, np.append(a[1:], len(u)), strict=True):
                 s, e = edge[x], edge[y]
                 blobs = [v.tobytes() for v in (u[x:y], k[x:y], held[x:y].astype(np.uint32))]
-                blobs += [doc[s:e].astype(np.uint32).tobytes() + times[s:e].astype(np.uint32).tobytes(), size[x:y].astype(np.uint32).tobytes(), _gather(p, start[first[x:y]], end[first[x:y]]), p.ids.tobytes() + kinds.astype(np.int64).tobytes()]
+                blobs += [doc[s:e].astype(np.uint32).tobytes() + times[s:e].astype(np.uint32).tobytes(), size[x:y].astype(np.uint32).tobytes(), p.ids.tobytes() + kinds.astype(np.int64).tobytes()]
                 rows.append([z.compress(v) for v in blobs])
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)), pa.array(np.full(len(full), p.ids[0]))], names=["bucket", "token", "kind", "held", "docs", "size", "text", "ids", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)), pa.array(np.full(len(full), p.ids[0]))], names=["bucket", "token", "kind", "held", "docs", "size", "ids", "pack"])
 
     return run
 
 
-_SENT = "bucket int, token binary, kind binary, held binary, docs binary, size binary, text binary, ids binary, pack long"
+_SENT = "bucket int, token binary, kind binary, held binary, docs binary, size binary, ids binary, pack long"
 _SUMS = "doc_id long, n_tokens long, n_known long, coded long, base_score double, score double"
 
 
-def _sums(spark, mixer: Mixer, total: int, distinct: int, prior: np.ndarray):
-    """Sums for each document of a bucket's tokens; the bucket's counts come as the row without ids."""
-    shared = spark.sparkContext.broadcast(mixer)
+def _sums(total: int, distinct: int, prior: np.ndarray):
+    """Sums for each document of a bucket's tokens; the bucket's counts and log10 probabilities (as docs) come as the row without ids."""
     end_bytes = _END
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, out = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         get = lambda x, t: np.frombuffer(z.decompress(x.as_buffer()), dtype=t)
-        m = shared.value
         for _, rows in by_bucket(batches):
-            known, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-            sent = [r for r in rows if r[6].is_valid]
-            for r in rows:
-                if not r[6].is_valid:  # classes of a token together
-                    known, of = np.unique(get(r[0], np.uint64), return_inverse=True)
-                    counts = np.bincount(of, weights=get(r[2], np.int64)).astype(np.int64)
+            sent = [r for r in rows if r[5].is_valid]
             if not sent:
                 continue
-            tokens, kinds = np.concatenate([get(r[0], np.uint64) for r in sent]), np.concatenate([get(r[1], np.uint8) for r in sent])
+            (own_row,) = (r for r in rows if not r[5].is_valid)
+            u, s, logs = get(own_row[0], np.uint64), get(own_row[4], np.uint32).astype(np.int64), get(own_row[3], np.float64)
+            _, of = np.unique(u, return_inverse=True)  # classes of a token together
+            c = np.bincount(of, weights=get(own_row[2], np.int64)).astype(np.int64)[of]
+            name = u + mix(get(own_row[1], np.uint8).astype(np.uint64))
+            by = np.argsort(name)
+            name = name[by]
             lengths = [len(get(r[1], np.uint8)) for r in sent]
-            size = np.concatenate([get(r[4], np.uint32) for r in sent]).astype(np.int64)
-            order = np.lexsort((kinds, tokens))
-            new = np.append(True, (tokens[order][1:] != tokens[order][:-1]) | (kinds[order][1:] != kinds[order][:-1]))
-            first = order[new]
-            inverse = np.empty(len(order), dtype=np.int64)
-            inverse[order] = np.cumsum(new) - 1
-            begin = np.concatenate(([0], np.cumsum(size)))
-            text = np.frombuffer(b"".join(z.decompress(r[5].as_buffer()) for r in sent), dtype=np.uint8)
-            u, s = tokens[first], size[first]
-            pick = np.repeat(begin[first] - np.concatenate(([0], np.cumsum(s)[:-1])), s) + np.arange(s.sum())
-            logs = m.log10(text[pick], np.concatenate(([0], np.cumsum(s))), kinds[first].astype(np.int64))
-            c = np.zeros(len(u), dtype=np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, u), len(known) - 1)
-                hit = known[at] == u
-                c[hit] = counts[at[hit]]
+            asked = np.concatenate([get(r[0], np.uint64) + mix(get(r[1], np.uint8).astype(np.uint64)) for r in sent])
+            at = np.minimum(np.searchsorted(name, asked), len(name) - 1)
+            if (name[at] != asked).any():
+                raise RuntimeError("a token to be scored was not among those counted")
+            inverse = by[at]
             base = np.log10((c + 1) / (total + distinct + 1))
             done = 0
             for r, k in zip(sent, lengths, strict=True):
                 own = inverse[done : done + k]
                 done += k
-                held, (ids, kind) = get(r[2], np.uint32), np.split(get(r[6], np.int64), 2)
+                held, (ids, kind) = get(r[2], np.uint32), np.split(get(r[5], np.int64), 2)
                 doc, times = np.split(get(r[3], np.uint32).astype(np.int64), 2)
                 tok = np.repeat(own, held)
                 value = times * logs[tok] + np.where(u[tok] == end_bytes, prior[kind[doc]], 0.0)  # a document's class is coded with its end
                 sums = [np.bincount(doc, weights=v, minlength=len(ids)) for v in (times, times * (c[tok] > 0), times * (s[tok] + 1), times * base[tok], value)]
                 here = np.flatnonzero(sums[0])
                 blob = b"".join([here.astype(np.uint32).tobytes(), *(v[here].astype(np.uint32).tobytes() for v in sums[:3]), *(v[here].tobytes() for v in sums[3:])])
-                yield pa.RecordBatch.from_arrays([pa.array([r[7].as_py()]), pa.array([r[6].as_py()], pa.binary()), pa.array([out.compress(blob)], pa.binary())], names=["pack", "ids", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[6].as_py()]), pa.array([r[5].as_py()], pa.binary()), pa.array([out.compress(blob)], pa.binary())], names=["pack", "ids", "sums"])
 
     return run
 
@@ -530,17 +619,18 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(tasks, -(-bytes_ // BUCKET_BYTES))
     centres = classes(training)
-    sent = training.mapInArrow(_send_counts(n, centres), _COUNTS)
+    sent = training.mapInArrow(_send_counts(n, centres, 1), _COUNTS).union(docs.mapInArrow(_send_counts(n, centres, 0), _COUNTS))
     counted = materialize(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(len(centres)), _WORDS), "counts")
-    distinct, total = counted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    distinct, total, types = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "total", "tokens"))).first()
     per_class = np.ones(len(centres))
     for r in counted.select(F.posexplode("docs")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         per_class[r.pos] += r.n
-    mixer = train(spark, counted, tasks)
+    tables = tabled(counted, n)
+    logs = tables.mapInArrow(_logs(spark, train(spark, tables, int(types))), "bucket int, token binary, kind binary, count binary, size binary, logs binary")
     none = F.lit(None).cast("binary")
-    rows = docs.mapInArrow(_send_tokens(n, centres), _SENT).union(counted.select("bucket", "token", none, "count", none, none, none, none, F.lit(None).cast("long")))
+    rows = docs.mapInArrow(_send_tokens(n, centres), _SENT).union(logs.select("bucket", "token", "kind", "count", "logs", "size", none, F.lit(None).cast("long")))
     prior = np.log10(per_class / per_class.sum())
-    parts_ = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sums(spark, mixer, int(total), int(distinct), prior), "pack long, ids binary, sums binary")
+    parts_ = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sums(int(total), int(distinct), prior), "pack long, ids binary, sums binary")
     parts_ = parts_.repartition(n, "pack").sortWithinPartitions("pack").mapInArrow(_add_sums, _SUMS)
     sums = parts_.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "coded", "base_score", "score")))
     bits = -F.col("score") / F.log10(F.lit(2.0)) / F.col("coded")

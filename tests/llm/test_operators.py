@@ -206,6 +206,31 @@ def test_lm_scores(spark, texts):
     assert mixing.scores(docs(spark, []), docs(spark, [])).count() == 0
 
 
+def test_lm_counts_are_exact(spark, texts):
+    d = docs(spark, texts).select("doc_id", "text")
+    counted = d.mapInArrow(mixing._send_counts(3, np.zeros((1, mixing.CLASS_BINS)), 1), mixing._COUNTS)
+    counted = counted.repartition(3, "bucket").sortWithinPartitions("bucket").mapInArrow(mixing._count(1), mixing._WORDS)
+    tokens = [w + b" " for t in texts for w in (bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() + [b""])]
+    seen = set()
+    for batch in mixing.tabled(counted, 3).toArrow().to_batches():
+        for i in range(batch.num_rows):
+            _, kind, count, starts, text = mixing._read(batch, i)
+            keys, below = mixing.read_table(batch, i)
+            byte = mixing.coded(text, starts, kind)[1].tobytes()
+            own = mixing.coded(text, starts, kind)[2]
+            got = [below[:, np.searchsorted(keys, own[c])].T.tolist() for c in (1, 5)]
+            at = 0
+            for k in range(len(count)):
+                token = byte[at : at + int(starts[k + 1] - starts[k]) + 1]
+                seen.add(token)
+                for p in range(len(token)) if k % 9 == 0 else ():
+                    for c, back in ((0, min(p, 2)), (1, p)):
+                        after = [t[q] for t in tokens for q in range(len(t)) if t[q - back : q] == token[p - back : p] and (back == 2 if c == 0 and p >= 2 else q == p)]
+                        assert got[c][at + p] == [sum(x >> (8 - n) == token[p] >> (8 - n) for x in after) for n in range(9)]
+                at += len(token)
+    assert seen == set(tokens)
+
+
 def test_lm_probabilities_sum_to_one():
     z, o = np.zeros(1 << mixing.SLOT_BITS), np.zeros(1 << mixing.SLOT_BITS)
     m = mixing.Mixer(z, o)
