@@ -1,6 +1,7 @@
 """Licence notices in paragraphs: a trained classifier with a calibrated unknown class, confirmed by templates.
 
-Paragraphs are the lines of a text that hold words. Features are the word 1-, 2- and 3-grams that occur in the
+Paragraphs are the lines of a text that hold words; long lines are scored by overlapping windows of words, so that a
+notice is found wherever it stands. Features are the word 1-, 2- and 3-grams that occur in the
 licence templates, weighted by how much of the paragraph they make up. A multinomial logistic regression over the families and an
 unknown class is trained on templates with words dropped or put around them, and on paragraphs of a bounded sample of
 the corpus that resemble no template; its temperature is fitted on a part that training leaves out. A prediction holds
@@ -78,6 +79,8 @@ UNKNOWN = "unknown"
 MAX_UNKNOWN = 500
 #: A paragraph is confirmed by a template when they share this part of the word pairs of the shorter one.
 CONFIRM = 0.6
+#: Words of a window and from one to the next in lines that are longer: any 12 words in a row are in a window of 16, any 32 in one of 40.
+WINDOWS = ((16, 4), (40, 8))
 
 
 def _pack(texts: list[str]) -> Pack:
@@ -123,6 +126,30 @@ class Model:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def spans(self, group: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Line, first token and number of tokens of what is scored: lines, and windows that hold enough of the templates' word pairs to be confirmed."""
+        n = np.bincount(group)
+        edge = np.concatenate(([0], np.cumsum(n)))
+        lines = np.flatnonzero(n <= WINDOWS[-1][0])
+        out = [(lines, edge[lines], n[lines])]
+        pair = np.isin(windows(h, 2), np.concatenate([v for _, v in self.pairs])) & (group[1:] == group[:-1])
+        seen = np.concatenate(([0], np.cumsum(pair)))
+        need = CONFIRM * min(len(v) for _, v in self.pairs)
+        for w, step in WINDOWS:
+            long = np.flatnonzero(n > w)
+            k = 1 - (w - n[long]) // step  # the last one ends with the line
+            of = np.repeat(long, k)
+            a = edge[of] + np.minimum((np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)) * step, n[of] - w)
+            # min(): the agreement's bound is of the shorter of the two
+            keep = seen[a + w - 1] - seen[a] >= min(need, CONFIRM * (w - 1))
+            out.append((of[keep], a[keep], np.full(keep.sum(), w)))
+        return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+    def shared(self, h: np.ndarray, family: int) -> int:
+        """The most word pairs in common with a template of the family."""
+        own = np.unique(windows(h, 2)) if len(h) > 1 else np.unique(h)
+        return max(len(np.intersect1d(own, pairs, assume_unique=True)) for f, pairs in self.pairs if f == family)
+
     def agreement(self, h: np.ndarray, family: int) -> float:
         """The largest share of word pairs in common with a template of the family, over the shorter of the two."""
         own = np.unique(windows(h, 2)) if len(h) > 1 else np.unique(h)
@@ -134,7 +161,7 @@ class Model:
 
 
 def paragraphs(p: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes and their paragraph, and each paragraph's document, number, and byte span in the document."""
+    """Token hashes and their paragraph, each paragraph's document and number, and each token's byte span in the document."""
     w, h = tokens(p)
     line = np.cumsum(p.bytes == 0x0A)
     if not len(w):
@@ -143,10 +170,9 @@ def paragraphs(p: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     new = np.ones(len(w), dtype=bool)
     new[1:] = (line[w.start[1:]] != line[w.start[:-1]]) | (w.doc[1:] != w.doc[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(w)) - 1
     doc = w.doc[first]
     number = np.arange(len(first)) - np.searchsorted(doc, doc)
-    return h, np.cumsum(new) - 1, doc, number, w.start[first] - p.starts[doc], w.end[last] - p.starts[doc]
+    return h, np.cumsum(new) - 1, doc, number, w.start - p.starts[w.doc], w.end - p.starts[w.doc]
 
 
 def fit(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, copies: int = 24) -> Model:
@@ -215,18 +241,23 @@ def licences(docs: DataFrame, model: Model) -> DataFrame:
     """Licence notices: doc_id, paragraph (its number in the text), start, end (byte span), family, probability, agreement.
 
     docs: doc_id, text; other columns are ignored. Whole texts are scanned. Null and empty texts have no notices; rows
-    with a null doc_id are left out; rows that share one are scanned one by one.
+    with a null doc_id are left out; rows that share one are scanned one by one. Of predictions that overlap in a line,
+    the one that shares the most word pairs with a template holds.
     """
     none = len(model.families) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in packs(batches):
-            h, group, doc, number, start, end = paragraphs(p)
+            words_, of, doc, number, start, end = paragraphs(p)
+            if not len(words_):
+                continue
+            line, begin, size = model.spans(of, words_)
+            group = np.repeat(np.arange(len(line)), size)
+            h = words_[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(group))]
             at, own = model.hits(*_grams(h, group))
             likely = np.unique(own)  # others have no feature, and are unknown by the bias
             if not len(likely):
                 continue
-            size = np.bincount(group, minlength=len(doc))
             key = np.unique(own * len(model.vocabulary) + at)
             own, at = key // len(model.vocabulary), key % len(model.vocabulary)
             first = np.searchsorted(own, likely)
@@ -235,13 +266,18 @@ def licences(docs: DataFrame, model: Model) -> DataFrame:
             z = np.exp(z - z.max(axis=1, keepdims=True))
             z /= z.sum(axis=1, keepdims=True)
             family = z.argmax(axis=1)
-            edge = np.searchsorted(group, np.arange(len(doc) + 1))
-            rows = []
+            found, rows = [], []
             for k in np.flatnonzero((family != none) & (z.max(axis=1) >= model.threshold)).tolist():
                 g = int(likely[k])
-                agreement = model.agreement(h[edge[g] : edge[g + 1]], int(family[k]))
+                own_words = words_[begin[g] : begin[g] + size[g]]
+                agreement = model.agreement(own_words, int(family[k]))
                 if agreement >= CONFIRM:
-                    rows.append((int(p.ids[doc[g]]), int(number[g]), int(start[g]), int(end[g]), model.families[family[k]], float(z[k].max()), agreement))
+                    found.append((-model.shared(own_words, int(family[k])), -float(z[k].max()), int(size[g]), int(begin[g]), int(line[g]), int(family[k]), agreement))
+            taken: dict[int, list[tuple[int, int]]] = {}
+            for _, p_, n, a, g, f, agreement in sorted(found):
+                if all(a >= y or a + n <= x for x, y in taken.setdefault(g, [])):
+                    taken[g].append((a, a + n))
+                    rows.append((int(p.ids[doc[g]]), int(number[g]), int(start[a]), int(end[a + n - 1]), model.families[f], -p_, agreement))
             if rows:
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "paragraph", "start", "end", "family", "probability", "agreement"])

@@ -294,6 +294,17 @@ def test_licences(spark):
     assert got == {(0, "MIT"), (1, "CC-BY-NC"), (2, "GPL")}
 
 
+def test_licences_in_long_lines(spark):
+    r = random.Random(6)
+    prose = lambda n: " ".join(r.choice(["sun", "tree", "road", "sea", "of", "the", "this", "is"]) for _ in range(n))
+    notices = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", licences.TEMPLATES["MIT"][3], licences.TEMPLATES["GPL"][1]]
+    t = [f"{prose(2000 + i)} {n} {prose(1500)}" for i, n in enumerate(notices)]
+    t += [f"{prose(900)} {notices[0]} {prose(300)} {notices[1]} {prose(60)}", f"{prose(20)} {notices[0]} {prose(20)}"] + [prose(3000) for _ in range(30)]
+    d = docs(spark, t)
+    got = sorted((x.doc_id, x.family) for x in licences.licences(d, licences.fit(d)).collect())
+    assert got == [(0, "MIT"), (1, "GPL"), (2, "MIT"), (3, "GPL"), (4, "GPL"), (4, "MIT"), (5, "MIT")]
+
+
 def test_pipeline(spark):
     import duckdb
 
