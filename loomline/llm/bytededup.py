@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .chunks import SENT, answered, buckets, chunked, read_bits, send, unpack
 from .recompression import _least_most, _shared
 from .runindex import build, first_matches
-from .scratch import materialize
+from .scratch import materialize_by
 from .text import Pack, _BYTE, mix, span_hashes
 
 GRAM = 32
@@ -309,8 +309,8 @@ def byte_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
         raise ValueError(f"length must be at least {2 * GRAM}")
     chunks = chunked(docs, _extra(length))
     n = buckets(chunks)
-    shared = materialize(answered(chunks.mapInArrow(_send_anchors(n), SENT), n, _shared), "anchors")
+    shared = materialize_by(answered(chunks.mapInArrow(_send_anchors(n), SENT), n, _shared), "anchors", "chunk")
     near = chunks.join(shared, "chunk")
-    later = materialize(answered(near.mapInArrow(_send_pieces(n, length), SENT), n, _first_places(length), raw=True).withColumnRenamed("answers", "later"), "places")
+    later = materialize_by(answered(near.mapInArrow(_send_pieces(n, length), SENT), n, _first_places(length), raw=True).withColumnRenamed("answers", "later"), "places", "chunk")
     both = chunks.join(shared, "chunk", "left").join(later, "chunk", "left")
     return both.mapInArrow(_kept(n, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

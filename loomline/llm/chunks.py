@@ -1,49 +1,72 @@
 """Exchange of per-chunk keys between packed chunks of documents and buckets of the key space.
 
 A corpus of many small rows is costly to shuffle key by key. Here the documents are written once as chunks of
-about two megabytes of text, and each chunk sends every bucket one blob: its distinct keys in that bucket, sorted
+two megabytes of text or more, and each chunk sends every bucket one blob: its distinct keys in that bucket, sorted
 and packed, with an optional payload. A bucket answers each chunk with one blob of bits in the order of
-the chunk's own keys, so an answer costs a bit a key. A key that is hot in the corpus is sent once by each chunk.
+the chunk's own keys, so an answer costs a bit a key. A key that is hot in the corpus is sent once by each chunk, so
+buckets get equal shares of the keys however hot some are.
+
+There is a blob for each pair of a chunk and a bucket. Beyond about 200 GB both grow with the root of the corpus, so
+that a pair holds 64 keys or more and the number of blobs grows as the corpus does, not as its square: at 100 TB a
+chunk has 73 MB of text and a bucket answers for 290 MB (about 3 GB of a worker's memory).
+
+Chunks and answers are stored in Spark buckets by chunk, so joining them shuffles neither.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import materialize
-from .text import Pack, packs
+from .scratch import materialize_by
+from .text import PACK_BYTES, Pack, packs
 
-#: Raw text bytes a bucket answers for, so that its keys fit in a Python worker.
+#: Raw text bytes a bucket answers for at least, so that its keys fit in a Python worker.
 BUCKET_BYTES = 24_000_000
 
 
-def _pack_rows(extra: Callable[[Pack], bytes] | None):
+def chunk_bytes(total: int) -> int:
+    """Text bytes of a chunk, for so many in all."""
+    return max(PACK_BYTES, math.isqrt(53 * total))
+
+
+def bucket_bytes(total: int) -> int:
+    """Text bytes a bucket answers for: so that a chunk has 64 keys or more for each (a key for about three bytes)."""
+    return max(BUCKET_BYTES, 213 * total // chunk_bytes(total))
+
+
+def _pack_rows(extra: Callable[[Pack], bytes] | None, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, i, z = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=1)
-        for p in packs(batches):
-            more = z.compress(extra(p)) if extra else b""
-            yield pa.RecordBatch.from_arrays([pa.array([base + i]), pa.array([len(p.bytes)]), pa.array([p.ids.tobytes()]), pa.array([p.starts.tobytes()]), pa.array([z.compress(p.bytes.tobytes())]), pa.array([more])], names=["chunk", "size", "ids", "starts", "body", "extra"])
-            i += 1
+        base, i, z = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            flags, done = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8), 0
+            for p in packs([batch], limit):
+                more = z.compress(extra(p)) if extra else b""
+                own, done = flags[done : done + len(p)], done + len(p)
+                yield pa.RecordBatch.from_arrays([pa.array([base + i]), pa.array([len(p.bytes)]), pa.array([p.ids.tobytes()]), pa.array([own.tobytes()]), pa.array([p.starts.tobytes()]), pa.array([z.compress(p.bytes.tobytes())]), pa.array([more])], names=["chunk", "size", "ids", "flags", "starts", "body", "extra"])
+                i += 1
 
     return run
 
 
-def chunked(docs: DataFrame, extra: Callable[[Pack], bytes] | None = None) -> DataFrame:
-    """Write (doc_id, text) as chunks: chunk, size, ids, starts, body, and what extra makes of each."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return materialize(docs.mapInArrow(_pack_rows(extra), "chunk long, size long, ids binary, starts binary, body binary, extra binary"), "chunks")
+def chunked(docs: DataFrame, extra: Callable[[Pack], bytes] | None = None, flag: Column | None = None) -> DataFrame:
+    """Write (doc_id, text) as chunks: chunk, size, ids, flags (a byte a document), starts, body, and what extra makes of each."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    flag = F.lit(0) if flag is None else F.coalesce(flag.cast("int"), F.lit(0))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), flag.alias("flag")).where("doc_id is not null")
+    return materialize_by(docs.mapInArrow(_pack_rows(extra, chunk_bytes(total)), "chunk long, size long, ids binary, flags binary, starts binary, body binary, extra binary"), "chunks", "chunk")
 
 
 def buckets(chunks: DataFrame) -> int:
     """How many buckets the keys of these chunks go to: in proportion to the text, one a shuffle partition at least."""
     total = chunks.agg(F.sum("size")).first()[0] or 0
-    return max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    return max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes(total)))
 
 
 def unpack(ids: pa.Scalar, starts: pa.Scalar, body: pa.Scalar) -> Pack:
@@ -82,7 +105,9 @@ def decode(blob: memoryview) -> np.ndarray:
 
 def cuts(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Where each of n buckets begins in sorted keys of so many bits; n + 1 entries."""
-    edges = np.array([min((b << bits) // n, 2**64 - 1) for b in range(n)], dtype=np.uint64)
+    whole, rest = divmod(1 << bits, n)
+    b = np.arange(n, dtype=np.uint64)
+    edges = b * np.uint64(whole % (1 << 64)) + b * np.uint64(rest) // np.uint64(n)  # b * 2^bits // n
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
@@ -119,7 +144,7 @@ ANSWER = "chunk long, bucket int, bits binary"
 def answered(sent: DataFrame, n: int, answer: Callable[[list, list], list[np.ndarray]], raw: bool = False) -> DataFrame:
     """Each chunk's answers as one list: chunk, answers array<struct<bucket, bits>>, sorted by bucket.
 
-    n: the number of buckets, which get a task each. answer: from the key arrays and payloads of one bucket's rows, a boolean array for each row; with ``raw``, from the
+    n: the number of buckets, dealt over as many tasks by hash. answer: from the key arrays and payloads of one bucket's rows, a boolean array for each row; with ``raw``, from the
     keys and payloads as pairs of blobs, whatever they hold.
     """
 

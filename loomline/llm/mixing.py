@@ -1,637 +1,727 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
-
-A text is a sequence of tokens: its words, A-Z lower-cased, then one end token. A token is coded as its bytes and a
-closing byte (the end token as the closing byte alone), and each byte as eight binary decisions. For every decision,
-each of six contexts (the last one, two, three and five bytes of the token and all of it so far, together with the
-document's class, and all of it in any class) has its counts of zeros and ones among all training tokens. They are exact
-but for equal 56-bit hashes: buckets of tokens send each context with the bytes that follow it to buckets of contexts,
-which add up and answer, so no table is shared and none is of a fixed size. Classes are found without labels, by k-means over the short words of a bounded sample of training
-documents; a document's class is coded before its tokens, and its cost is part of the score. The predictors' logits are combined by weights
-that are chosen by how much two of the contexts have been seen (the gate) and are learned online, one mini-batch after another, on
-a bounded sample of tokens, whose own occurrence is first taken out of the counts. A last stage refines the mixed
-probability by an adaptive map over the byte decided so far. A token's probability is the product of its decisions'.
-
-A token's probability depends on the corpus and on nothing else in its text, so it is computed once for each distinct
-token and not once for each occurrence: chunks of documents send their distinct tokens to buckets, which count them,
-ask for the counts of their contexts, and later return sums of scores for each document.
+"""Language-model scores by online logistic mixing of hashed-context bit predictors over whole texts.
+
+A text is a sequence of tokens: its words, A-Z lower-cased, then one end token. It is coded token by token, in order:
+
+1. Novelty: whether the token stands in another training text. Predicted by an adaptive map over the document's class
+   and the novelty of the two tokens before.
+2. A token that does is coded by the bits of its name (a hash), down to where names are as good as unique. Each bit has
+   four predictors with counts of how the training tokens went on from here: none but the bits so far; the document's
+   class (a hash of its most frequent short word; coded first, its cost is part of the score); the word before; and
+   the whole words before that make up ``REACH`` bytes or more.
+3. A new token is spelled: each bit of its bytes and of a closing byte is predicted by its last 1, 2, 3 and 5 bytes,
+   with counts over the rare words of the corpus.
+
+The predictors' logits are combined by weights chosen by a gate (how often two of the contexts have been seen, and how
+deep the bit is). The weights are learned online, in document order, by every chunk of training texts, and averaged over the
+chunks by how many decisions each saw; a last stage refines the mixed probability by an adaptive map of how often a
+probability of that size was right. The score is the sum of log10 probabilities of all decisions.
+
+A training text is scored by what the other training texts say: its own occurrences are taken out of its tokens' counts,
+so that texts which were learned from and texts which were not can be compared, and a text with a copy stands out.
+
+Counts of words, of long contexts and of spellings are exact but for hash collisions, kept by hash in buckets that
+answer the chunks which ask, and grow with the corpus; nothing is capped. The counts of classes and of words before are
+tables of a fixed size (CLASSES * 2^CELL_BITS and BEFORE * 2^BEFORE_BITS), as they are of hashed contexts and few bits.
+Counts above 15 are sent in steps of an eighth of a binary order, so probabilities are right to a few hundredths of a bit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
-
-from .chunks import BUCKET_BYTES, by_bucket, cuts, decode, encode
-from .scratch import materialize
-from .text import Pack, mix, packs, word_hashes, words
-
-#: log2 of the slots of a mixer's table that is made without keys; scores() always has keys.
-SLOT_BITS = 21
-#: Distinct tokens whose occurrences the weights are learned from at most: the most frequent ones, and some others.
-SAMPLE_TOP, SAMPLE_REST = 3_000, 12_000
-ORDERS = (1, 2, 3, 5, 255)
-#: Classes of documents (such as languages), the documents they are found on at most, and the bins of their features.
-CLASSES, CLASS_SAMPLE, CLASS_BINS = 6, 4_000, 1024
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .chunks import buckets, by_bucket, chunked, decode, encode, unpack
+from .scratch import materialize_by
+from .text import Pack, _LOWER, mix, word_hashes, words
+
+#: Bytes that the long context reaches back over at least, in whole words.
+REACH = 10
+#: Bits of a token's name that a long context tells apart; tokens that share them are one to it.
+NAME_BITS = 16
+#: Classes of documents and bits of names that they predict; words before (hashed) and bits that these predict.
+CLASSES, CELL_BITS = 256, 12
+BEFORE, BEFORE_BITS = 1024, 8
+#: Letters of the longest word that can name a class.
+SHORT = 4
+#: Orders of the spelling contexts.
+ORDERS = (1, 2, 3, 5)
 CLOSING = 0x20
-INPUTS = len(ORDERS) + 1
-PACK = 4_000_000
+#: What is added to both counts of a bit.
+PRIOR = np.float32(0.05)
+INPUTS, WORD_GATES, SPELL_GATES = 4, 40, 9
+GATES = WORD_GATES + SPELL_GATES
+#: Mixed logits are taken in steps of 1/32 from -16 to 16; the last stage's map joins a quarter's steps of either sign.
+FINE, BINS = 1024, 64
+#: Tokens worked on at a time.
+STEP = 8192
+SLICES = 64
 LN10 = float(np.log(10))
 _END = np.uint64(0x0E0D0E0D0E0D0E0D)
 
 
-@dataclass
-class Bits:
-    """Decisions of a list of tokens: token index, 0/1, and the slot of each context."""
+# counts as bytes: exact up to 15, then eight steps to an octave
+_VALUE = np.concatenate((np.arange(16), 16 * 2 ** ((np.arange(240) + 0.5) / 8))).astype(np.float32)
 
-    token: np.ndarray
-    bit: np.ndarray
-    node: np.ndarray
-    slots: list[np.ndarray]
 
+def _quantised(x: np.ndarray) -> np.ndarray:
+    large = 16 + np.floor(8 * np.log2(np.maximum(x, 16).astype(np.float32) / 16))
+    return np.where(x < 16, x, np.minimum(large, 255)).astype(np.uint8)
 
-def coded(text: np.ndarray, starts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token and value of each byte to code, and for each context its key: 56 bits of the context's hash, then the byte.
 
-    Tokens are given as bytes end to end, each followed by the closing byte; kind: the class of each.
-    """
-    sizes = np.diff(starts)
-    n = len(sizes)
-    at = starts[1:] + np.arange(n)
-    byte = np.empty(len(text) + n, dtype=np.uint8)
-    closing = np.zeros(len(byte), dtype=bool)
-    closing[at] = True
-    byte[closing], byte[~closing] = CLOSING, text
-    first = starts[:-1] + np.arange(n)
-    token = np.repeat(np.arange(n), sizes + 1)
-    place = np.arange(len(byte)) - first[token]
-    keys = np.empty((INPUTS, len(byte)), dtype=np.uint64)
-    symbol = mix(byte.astype(np.uint64) + np.uint64(1))
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(symbol * _power(len(byte)), dtype=np.uint64)))
-    for i, order in enumerate(ORDERS):
-        back = np.minimum(place, order)
-        begin = np.arange(len(byte)) - back
-        h = (total[begin + back] - total[begin]) * _inverse(len(byte))[begin]
-        h = mix(h ^ mix(np.uint64(order) * np.uint64(1 << 32) + back.astype(np.uint64)))
-        keys[i] = mix(h + kind.astype(np.uint64)[token] + np.uint64(1))
-    keys[-1] = h  # all of the token so far, in any class
-    return token, byte, keys & ~np.uint64(255) | byte.astype(np.uint64)
-
-
-def decisions(text: np.ndarray, starts: np.ndarray, kind: np.ndarray, keys: np.ndarray | None = None) -> Bits:
-    """The binary decisions of tokens; their slots are eight for each of the sorted ``keys``, or hashed ones."""
-    token, byte, own = coded(text, starts, kind)
-    shift = np.arange(7, -1, -1, dtype=np.uint8)
-    bit = ((byte[:, None] >> shift) & 1).astype(np.uint8).reshape(-1)
-    node = ((1 << np.arange(8, dtype=np.int64)) | (byte[:, None].astype(np.int64) >> (8 - np.arange(8)))).reshape(-1)
-    if keys is None:
-        spread = mix(np.arange(256, dtype=np.uint64))[node]
-        slots = [(mix_light(np.repeat(k & ~np.uint64(255), 8) ^ spread) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for k in own]
-    else:
-        slots = [(np.searchsorted(keys, k)[:, None] * 8 + np.arange(8)).reshape(-1) for k in own]
-    return Bits(np.repeat(token, 8), bit, node, slots)
-
-
-def mix_light(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    return x * np.uint64(0xD6E8FEB86659FD93)
-
-
-def features(p: Pack) -> np.ndarray:
-    """(documents, CLASS_BINS) square roots of the shares of hashed words of at most four bytes, scaled to length 1."""
-    w = words(p)
-    h = word_hashes(p.bytes, w, lower=True)
-    short = w.end - w.start <= 4
-    at = w.doc[short] * CLASS_BINS + (h[short] % np.uint64(CLASS_BINS)).astype(np.int64)
-    f = np.sqrt(np.bincount(at, minlength=len(p) * CLASS_BINS).reshape(len(p), CLASS_BINS).astype(np.float32))
-    return f / np.maximum(np.sqrt((f**2).sum(axis=1, keepdims=True)), 1e-9)
-
-
-def find_classes(f: np.ndarray, k: int = CLASSES, rounds: int = 20) -> np.ndarray:
-    """Centres of k classes by spherical k-means from far-apart first centres."""
-    f = f[(f > 0).any(axis=1)]
-    if not len(f):
-        return np.zeros((1, CLASS_BINS), dtype=np.float32)
-    centres = [f.mean(axis=0)]
-    near = np.full(len(f), -1.0, dtype=np.float32)
-    for _ in range(k):
-        near = np.maximum(near, f @ (centres[-1] / max(1e-9, float(np.linalg.norm(centres[-1])))))
-        centres.append(f[int(np.argmin(near))])
-    c = np.stack(centres[1:])
-    for _ in range(rounds):
-        own = np.argmax(f @ c.T, axis=1)
-        c = np.stack([f[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    return c
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the inverse, and how many entries each has."""
+    order = np.argsort(key)
+    k = key[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    inverse = np.empty(len(k), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return k[first], inverse, np.diff(np.append(first, len(k)))
 
 
 _tables: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 _BASE = 0xD1342543DE82EF95
 
 
-def _grow(n: int) -> None:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables[0]) < n:
         size = max(n, 1 << 20)
         for i, m in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             _tables[i] = np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(size - 1, np.uint64(m)))), dtype=np.uint64)
+    return _tables[0][:n], _tables[1][:n]
 
 
-def _power(n: int) -> np.ndarray:
-    _grow(n)
-    return _tables[0][:n]
-
-
-def _inverse(n: int) -> np.ndarray:
-    _grow(n)
-    return _tables[1][:n]
-
-
-#: Tokens worked on at a time, so that their decisions fit in little memory.
-STEP = 4_000
-
-
-def parts(text: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of tokens a to b with at most about STEP * 16 bytes (or one token), their bytes and starts."""
-    a, n = 0, len(starts) - 1
-    while a < n:
-        b = min(n, a + STEP, max(a + 1, int(np.searchsorted(starts, starts[a] + 16 * STEP, side="right")) - 1))
-        yield a, b, text[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
-        a = b
-
-
-def _summed(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sum of each one's weights."""
-    if not len(keys):
-        return keys, weight
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(weight[order], first)
-
-
-def tally(text: np.ndarray, starts: np.ndarray, kind: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all contexts of tokens, sorted, with the weights of the tokens that have them."""
-    found = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))]
-    for a, b, t, s in parts(text, starts):
-        token, _, own = coded(t, s, kind[a:b])
-        found.append(_summed(own.reshape(-1), np.tile(weight[a:b][token], INPUTS)))
-    return _summed(*(np.concatenate(v) for v in zip(*found, strict=True)))
-
-
-def under(keys: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """(9, keys) for all keys of some contexts, sorted: the counts of a context's bytes that share 0 to 8 bits with the key's."""
-    out = np.zeros((9, len(keys)), dtype=np.int64)
-    for k in range(9 if len(keys) else 0):
-        top = keys >> np.uint64(8 - k)
-        first = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
-        out[k] = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(keys))))
-    return out
-
-
-def _gate(seen: list[np.ndarray]) -> np.ndarray:
-    """One of 15 weight sets: by the counts under all of the token so far, and under its last three bytes."""
-    own = np.searchsorted(np.array([0.5, 2.5, 16.5, 256.5]), seen[5])
-    near = np.searchsorted(np.array([0.5, 8.5]), seen[2])
-    return own * 3 + near
+def _ranges(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of h[begin:end] for each pair of the two, from prefix sums."""
+    power, inverse = _powers(len(h) + 1)
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)))
+    return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
 @dataclass
-class Mixer:
-    """zeros, ones: the table; weights: a row for each gate, with a bias; refine: the last stage's map; keys: the table's."""
-
-    zeros: np.ndarray
-    ones: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.concatenate((np.full((15, INPUTS), 0.3), np.zeros((15, 1))), axis=1))
-    refine: np.ndarray = field(default_factory=lambda: np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, 33))), (256, 1)))
-    keys: np.ndarray | None = None
-
-    def over(self, keys: np.ndarray, below: np.ndarray) -> Mixer:
-        """This mixer with the exact counts of sorted keys, given as by under()."""
-        zeros, ones = np.empty((len(keys), 8), dtype=np.float32), np.empty((len(keys), 8), dtype=np.float32)
-        for k in range(8):
-            bit = (keys >> np.uint64(7 - k)) & np.uint64(1) == 1
-            same, other = below[k + 1], below[k] - below[k + 1]
-            zeros[:, k], ones[:, k] = np.where(bit, other, same), np.where(bit, same, other)
-        return replace(self, zeros=zeros.reshape(-1), ones=ones.reshape(-1), keys=keys)
-
-    def inputs(self, d: Bits, less: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the predictors with a bias of one, and the gate; ``less``: occurrences to take out of the counts."""
-        logits, seen = np.empty((len(d.bit), INPUTS + 1), dtype=np.float64), []
-        for i, s in enumerate(d.slots):
-            n1 = np.maximum(self.ones[s] - np.where(d.bit == 1, less, 0.0), 0)
-            n0 = np.maximum(self.zeros[s] - np.where(d.bit == 0, less, 0.0), 0)
-            logits[:, i] = np.log((n1 + 0.02) / (n0 + 0.02))
-            seen.append(n0 + n1)
-        logits[:, -1] = 0.3
-        return logits, _gate(seen)
-
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -16, 16)
-
-    def refined(self, t: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Probability of a one: the mean of the mixed one and of the map's, interpolated between its 33 columns."""
-        u = np.clip((t + 8) * 2, 0, 32)
-        low = np.minimum(u.astype(np.int64), 31)
-        part = u - low
-        mapped = self.refine[node, low] * (1 - part) + self.refine[node, low + 1] * part
-        return np.clip((1 / (1 + np.exp(-t)) + mapped) / 2, 1e-7, 1 - 1e-7)
-
-    def log10(self, text: np.ndarray, starts: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """log10 probability of each token."""
-        out = np.zeros(len(starts) - 1)
-        for a, b, t, s in parts(text, starts):
-            d = decisions(t, s, kind[a:b], self.keys)
-            x, gate = self.inputs(d)
-            p = self.refined(self.mixed(x, gate), d.node)
-            out[a:b] = np.bincount(d.token, weights=np.log(np.where(d.bit == 1, p, 1 - p)), minlength=b - a) / LN10
+class Layout:
+    """What all chunks and buckets agree on: the number of buckets, the bits of an order-0 cell, of a token's code and of a context's group."""
+
+    n: int
+    cell_bits: int
+    code_bits: int
+    group_bits: int
+
+    @classmethod
+    def of(cls, total: int, n: int) -> Layout:
+        cell = max(CELL_BITS, (n - 1).bit_length())
+        # about twice a token in 64 bytes is a new one; two bits more make most names unique
+        code = min(40, max(cell + 1, NAME_BITS, (total // 64).bit_length() + 2))
+        return cls(n, cell, code, min(47, (max(1, total // n)).bit_length() + 9))
+
+    def word_bucket(self, h: np.ndarray) -> np.ndarray:
+        """Words of one cell are in one bucket."""
+        return ((h >> np.uint64(64 - self.cell_bits)) * np.uint64(self.n) >> np.uint64(self.cell_bits)).astype(np.int64)
+
+    def context_key(self, group: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket, and the key in it: some bits of the group, then the name."""
+        bucket = ((group >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
+        return bucket, (group & np.uint64((1 << self.group_bits) - 1)) << np.uint64(NAME_BITS) | name.astype(np.uint64)
+
+
+class Tokens:
+    """The tokens of a chunk in coding order, with what is counted of them."""
+
+    def __init__(self, p: Pack, learns: np.ndarray, lay: Layout) -> None:
+        w = words(p)
+        n = len(p)
+        self.n_docs, self.learns, self.lay = n, learns, lay
+        at, ends = np.arange(len(w)) + w.doc, w.first[1:] + np.arange(n)
+        size = len(w) + n
+        self.h, self.doc = np.empty(size, dtype=np.uint64), np.empty(size, dtype=np.int64)
+        self.h[at], self.h[ends] = word_hashes(p.bytes, w, lower=True), _END
+        self.doc[at], self.doc[ends] = w.doc, np.arange(n)
+        self.start, self.size = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        self.start[at], self.size[at] = w.start, w.end - w.start
+        self.first = np.append(0, ends + 1)
+        self.bytes = p.bytes
+        # words: distinct, with the occurrences in training texts; and of each token's word in its own text
+        self.word, self.of, _ = _groups(self.h)
+        trained = learns[self.doc]
+        self.count = np.bincount(self.of[trained], minlength=len(self.word))
+        pair = self.of * n + self.doc
+        self.pair, self.pair_of, held = _groups(pair)
+        self.held = held[self.pair_of]
+        self.own = np.where(trained, self.held, 0)
+        doc_of = self.pair % n if n else self.pair
+        self.docs = np.bincount((self.pair // max(n, 1))[learns[doc_of]], minlength=len(self.word))
+        # the class: the most frequent short word, of equal ones the one with the smallest hash
+        where = np.empty(len(self.word), dtype=np.int64)
+        where[self.of] = np.arange(size)
+        self.where = where
+        word_of = self.pair // max(n, 1)
+        short = (self.size[where[word_of]] <= SHORT) & (self.word[word_of] != _END)
+        word_of, doc_of, held = word_of[short], doc_of[short], held[short]
+        best = np.lexsort((word_of, -held, doc_of))
+        lead = np.ones(len(best), dtype=bool)
+        lead[1:] = doc_of[best][1:] != doc_of[best][:-1]
+        self.kind = np.zeros(n, dtype=np.int64)
+        self.kind[doc_of[best[lead]]] = 1 + (mix(self.word[word_of[best[lead]]]) % np.uint64(CLASSES - 1)).astype(np.int64)
+        before = np.zeros(size, dtype=np.uint64)
+        before[1:] = self.h[:-1]
+        before[self.first[:-1]] = np.uint64(0)
+        self.before = (mix(before) >> np.uint64(54)).astype(np.int64)
+        self._join()
+
+    def _contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens that have a long context (those near the start of a text have none), and their pairs' buckets and keys."""
+        reach = np.concatenate(([0], np.cumsum(self.size + 1)))
+        j = np.searchsorted(reach, reach[:-1] - REACH, side="right") - 1
+        has = np.flatnonzero(j >= self.first[self.doc])
+        return has, *self.lay.context_key(_ranges(self.h, j[has], has), self.h[has] >> np.uint64(64 - NAME_BITS))
+
+    def _spellings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs of a spelling context and a byte of the rare words (those that may be new somewhere: in one
+        training text of the chunk at most): their buckets, keys and weights."""
+        rare = np.flatnonzero((self.docs <= 1) & (self.word != _END))
+        self.rare, self.rare_learned = rare, self.docs[rare] == 1
+        self.rare_size = self.size[self.where[rare]] + 1
+        raw = self._raw(np.arange(len(rare)))
+        learned = np.repeat(self.rare_learned, self.rare_size)
+        self.raw, buckets_, keys, weights = [], [], [], []
+        for order, v in zip(ORDERS, raw, strict=True):
+            v.sort()
+            v = v[np.append(True, v[1:] != v[:-1])] if len(v) else v
+            own = np.sort(self._raw_one[order][learned])
+            self.raw.append(v)
+            group = mix((v >> np.uint64(8)) + np.uint64(order << 56))
+            bucket, key = self.lay.context_key(mix(group), (v & np.uint64(255)) << np.uint64(NAME_BITS - 8))
+            buckets_.append(bucket)
+            keys.append(key)
+            weights.append(np.searchsorted(own, v, side="right") - np.searchsorted(own, v))
+        del self._raw_one
+        return tuple(np.concatenate(v) for v in (buckets_, keys, weights))
+
+    def _raw(self, rare: np.ndarray) -> list[np.ndarray]:
+        """For each order and each byte of rare words: the bytes before it in the word (zeros before its start), then the byte."""
+        size = self.rare_size[rare]
+        n = int(size.sum())
+        edge = np.cumsum(size)
+        byte = np.full(n, CLOSING, dtype=np.uint8)
+        inner = np.ones(n, dtype=bool)
+        inner[edge - 1] = False
+        take = np.repeat(self.start[self.where[self.rare[rare]]] - (edge - size), size) + np.arange(n)
+        byte[inner] = _LOWER[self.bytes[take[inner]]]
+        place = np.arange(n) - np.repeat(edge - size, size)
+        v, out = byte.astype(np.uint64), []
+        for back in range(1, max(ORDERS) + 1):
+            before = np.zeros(n, dtype=np.uint64)
+            before[back:] = byte[:-back] if back < n else 0
+            before[place < back] = 0
+            v = v + (before << np.uint64(8 * back))
+            if back in ORDERS:
+                out.append(v)
+        self._raw_one = dict(zip(ORDERS, (v.copy() for v in out), strict=True))
         return out
 
-    def learn(self, text: np.ndarray, starts: np.ndarray, kind: np.ndarray, weight: np.ndarray, batch: int = 8192, passes: int = 3) -> None:
-        """Learn weights, then the map, online over the decisions of sampled tokens in a fixed shuffled order."""
-        xs, gates, bits, nodes, ws = [], [], [], [], []
-        for a, b, t, s in parts(text, starts):
-            d = decisions(t, s, kind[a:b], self.keys)
-            x, g = self.inputs(d, 1.0)
-            xs.append(x.astype(np.float32))
-            gates.append(g)
-            bits.append(d.bit)
-            nodes.append(d.node)
-            ws.append(weight[a:b][d.token])
-        if not xs:
-            return
-        x, gate, bit, node, w = (np.concatenate(v) for v in (xs, gates, bits, nodes, ws))
-        w = w / w.mean()
-        rng = np.random.default_rng(1)
-        k = x.shape[1]
-        curve = np.tile(np.eye(k) * 50.0, (len(self.weights), 1, 1))
-        for _ in range(passes):
-            order = rng.permutation(len(bit))
-            for a in range(0, len(order), batch):
-                at = order[a : a + batch]
-                by = at[np.argsort(gate[at], kind="stable")]
-                p = 1 / (1 + np.exp(-self.mixed(x[by], gate[by])))
-                first = np.flatnonzero(np.append(True, gate[by][1:] != gate[by][:-1]))
-                for u, v in zip(first, np.append(first[1:], len(by)), strict=True):
-                    z, q, y, m, g = x[by[u:v]].astype(np.float64), p[u:v], bit[by[u:v]], w[by[u:v]], gate[by[u]]
-                    curve[g] += (z * (m * np.maximum(q * (1 - q), 1e-4))[:, None]).T @ z
-                    self.weights[g] += np.linalg.solve(curve[g], z.T @ (m * (y - q)))
-        t = np.concatenate([self.mixed(x[a : a + batch], gate[a : a + batch]) for a in range(0, len(bit), batch)])
-        near = np.rint(np.clip((t + 8) * 2, 0, 32)).astype(np.int64)
-        one, every = (np.bincount(node * 33 + near, weights=v, minlength=256 * 33).reshape(256, 33) for v in (w * bit, w))
-        self.refine = (one + 20 * self.refine) / (every + 20)
-
-
-def _tokens(p: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and document of every token, with its byte span; an end token for each document."""
-    w = words(p)
-    h = word_hashes(p.bytes, w, lower=True)
-    ends = np.arange(len(p))
-    zero = np.zeros(len(p), dtype=np.int64)
-    return np.concatenate((h, np.full(len(p), _END))), np.concatenate((w.doc, ends)), np.concatenate((w.start, zero)), np.concatenate((w.end, zero))
-
-
-def _gather(p: Pack, start: np.ndarray, end: np.ndarray) -> bytes:
-    """The bytes of spans end to end, A-Z lower-cased."""
-    from .text import _LOWER
-
-    size = end - start
-    at = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-    return _LOWER[p.bytes[at]].tobytes() if len(at) else b""
-
-
-def _bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def _send_counts(n: int, centres: np.ndarray, times: int):
-    """Distinct tokens of each pack and class with their bytes and counts, by bucket; times: 1 to count them, 0 for texts to be scored only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for p in packs(batches, PACK):
-            kinds = np.argmax(features(p) @ centres.T, axis=1)
-            h, doc, start, end = _tokens(p)
-            order = np.lexsort((kinds[doc], h))
-            h, kind = h[order], kinds[doc][order]
-            at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])))
-            count = np.diff(np.append(at, len(h))) * times
-            u, kind, at = h[at], kind[at], order[at]
-            bucket = _bucket_of(u, n)
-            full, a = np.unique(bucket, return_index=True)
-            b = np.append(a[1:], len(u))
-            size = (end - start)[at]
-            rows = [[z.compress(v.tobytes()) for v in (u[x:y], kind[x:y].astype(np.uint8), count[x:y].astype(np.uint32), size[x:y].astype(np.uint32))] + [z.compress(_gather(p, start[at[x:y]], end[at[x:y]]))] for x, y in zip(a, b, strict=True)]
-            docs = (np.bincount(kinds, minlength=len(centres)) * times).astype(np.int64).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)), pa.array([docs] + [None] * (len(full) - 1), pa.binary())], names=["bucket", "token", "kind", "count", "size", "text", "docs"])
-
-    return run
-
-
-_COUNTS = "bucket int, token binary, kind binary, count binary, size binary, text binary, docs binary"
-_WORDS = "bucket int, token binary, kind binary, count binary, size binary, text binary, docs array<long>, tokens long, words long, total long"
-
+    def _join(self) -> None:
+        """All distinct pairs in the order of their buckets and keys; where each token's and each spelling's is."""
+        has, bucket, key = self._contexts()
+        own = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        bits = np.uint64(NAME_BITS + self.lay.group_bits)
+        packed = int(bits) + self.lay.n.bit_length() <= 64
+        if packed:
+            both, inverse, _ = _groups(bucket.astype(np.uint64) << bits | key)
+            own = (both >> bits).astype(np.int64), both & ((np.uint64(1) << bits) - np.uint64(1))
+        elif len(key):
+            order = np.lexsort((key, bucket))
+            new = np.append(True, (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))
+            inverse = np.empty(len(order), dtype=np.int64)
+            inverse[order] = np.cumsum(new) - 1
+            own = bucket[order][new], key[order][new]
+        else:
+            inverse = np.zeros(0, dtype=np.int64)
+        weight = np.bincount(inverse[self.learns[self.doc[has]]], minlength=len(own[0]))
+        b, k, w = self._spellings()
+        bucket, key, weight = np.append(own[0], b), np.append(own[1], k), np.append(weight, w)
+        order = np.argsort(bucket.astype(np.uint64) << bits | key) if packed else np.lexsort((key, bucket))
+        # pairs that collide (a few of 2^64) stand side by side and are one
+        bucket, key = bucket[order], key[order]
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=bool)
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = np.cumsum(new) - 1
+        self.bucket, self.key = bucket[new], key[new]
+        self.weight = np.bincount(at, weights=weight, minlength=len(self.key)).astype(np.int64)
+        self.context = np.full(len(self.h), -1, dtype=np.int64)
+        self.context[has] = at[inverse]
+        self.raw_at = np.split(at[len(own[0]) :], np.cumsum([len(v) for v in self.raw])[:-1])
+
+    def spelled(self, rare: np.ndarray) -> list[np.ndarray]:
+        """For each order the pair of each byte of rare words."""
+        out = self._raw(rare)
+        del self._raw_one
+        return [at[np.searchsorted(known, v)] for at, known, v in zip(self.raw_at, self.raw, out, strict=True)]
+
+    def context_own(self) -> np.ndarray:
+        """How often each token's context goes on with its name in its own text, if that was learned from."""
+        out = np.zeros(len(self.h), dtype=np.int64)
+        has = np.flatnonzero((self.context >= 0) & self.learns[self.doc])
+        _, inverse, count = _groups(self.context[has] * self.n_docs + self.doc[has])
+        out[has] = count[inverse]
+        return out
 
-def _count(classes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a bucket: its distinct tokens by class, sorted by hash, with their counts and bytes."""
-        z, out = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        for b, rows in by_bucket(batches):
-            token, kind, count, size = (np.concatenate([np.frombuffer(z.decompress(r[c].as_buffer()), dtype=t) for r in rows]) for c, t in ((0, np.uint64), (1, np.uint8), (2, np.uint32), (3, np.uint32)))
-            text = np.frombuffer(b"".join(z.decompress(r[4].as_buffer()) for r in rows), dtype=np.uint8)
-            docs = sum((np.frombuffer(r[5].as_buffer(), dtype=np.int64) for r in rows if r[5].is_valid), np.zeros(classes, dtype=np.int64))
-            starts = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-            order = np.lexsort((kind, token))
-            new = np.append(True, (token[order][1:] != token[order][:-1]) | (kind[order][1:] != kind[order][:-1]))
-            edge = np.flatnonzero(new)
-            at = order[edge]
-            c = np.add.reduceat(count[order].astype(np.int64), edge)
-            u, s = token[at], size[at].astype(np.int64)
-            pick = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(s)[:-1])), s) + np.arange(s.sum())
-            blobs = [out.compress(v.tobytes()) for v in (u, kind[at], c, s.astype(np.uint32), text[pick])]
-            seen = u[c > 0]
-            distinct = len(np.unique(seen))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([docs.tolist()], pa.list_(pa.int64())), pa.array([len(seen)]), pa.array([distinct]), pa.array([int(c.sum())])], names=["bucket", "token", "kind", "count", "size", "text", "docs", "tokens", "words", "total"])
 
-    return run
+def _read(batch: pa.RecordBatch, i: int, lay: Layout) -> tuple[np.ndarray, Tokens]:
+    p = unpack(batch["ids"][i], batch["starts"][i], batch["body"][i])
+    return p.ids, Tokens(p, np.frombuffer(batch["flags"][i].as_buffer(), dtype=np.uint8) == 1, lay)
 
 
-def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, classes, counts, starts of bytes, bytes."""
-    z = zstandard.ZstdDecompressor()
-    get = lambda c, t: np.frombuffer(z.decompress(batch[c][i].as_buffer()), dtype=t)
-    return get("token", np.uint64), get("kind", np.uint8), get("count", np.int64), np.concatenate(([0], np.cumsum(get("size", np.uint32), dtype=np.int64))), get("text", np.uint8)
+SENT = "bucket int, chunk long, keys binary, payload binary"
 
 
-def _ask(n: int):
-    """Each bucket's keys and counts for the n buckets of contexts; a context's keys go to one of them."""
+def _send(lay: Layout):
+    """Each chunk's words for buckets 0 to n, its context pairs for n to 2 n; each task's table slices for the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
+        tables = np.zeros(CLASSES * ((1 << CELL_BITS) + 1) + BEFORE * (1 << BEFORE_BITS), dtype=np.int64)
+        some = False
         for batch in batches:
             for i in range(batch.num_rows):
-                _, kind, count, starts, text = _read(batch, i)
-                keys, times = tally(text, starts, kind, count)
-                at = cuts(keys >> np.uint64(8), n, 56)
-                full = np.flatnonzero(np.diff(at))
-                blobs = [[f(v[at[k] : at[k + 1]]) for k in full] for f, v in ((encode, keys), (lambda v: z.compress(v.tobytes()), times))]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([batch["bucket"][i].as_py()] * len(full), pa.int32()), *(pa.array(v, pa.binary()) for v in blobs)], names=["part", "bucket", "keys", "times"])
+                _, t = _read(batch, i, lay)
+                some = True
+                _tabulate(t, tables)
+                for base, bucket, key, count in ((0, lay.word_bucket(t.word), t.word, t.count), (lay.n, t.bucket, t.key, t.weight)):
+                    full, a = np.unique(bucket, return_index=True)
+                    b = np.append(a, len(bucket))[1:]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((full + base).astype(np.int32)), pa.array(np.full(len(full), batch["chunk"][i].as_py(), dtype=np.int64)), pa.array([encode(key[x:y]) for x, y in zip(a, b, strict=True)], pa.binary()), pa.array([z.compress(count[x:y].astype(np.uint32).tobytes()) for x, y in zip(a, b, strict=True)], pa.binary())],
+                        names=["bucket", "chunk", "keys", "payload"],
+                    )
+        if some:
+            parts = [z.compress(v.tobytes()) for v in np.array_split(tables, SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32) + 2 * lay.n), pa.array(np.full(SLICES, -1)), pa.array([b""] * SLICES, pa.binary()), pa.array(parts, pa.binary())], names=["bucket", "chunk", "keys", "payload"])
 
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket that asked, the counts below its keys: the first row of under(), then what each bit takes away."""
-    z, out = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-    for part, rows in by_bucket(batches):
-        keys = [decode(memoryview(r[1].as_buffer())) for r in rows]
-        every, count = _summed(np.concatenate(keys), np.concatenate([np.frombuffer(z.decompress(r[2].as_buffer()), dtype=np.int64) for r in rows]))
-        below = under(every, count)
-        below[1:] = below[:-1] - below[1:]
-        for r, k in zip(rows, keys, strict=True):
-            x = below[:, np.searchsorted(every, k)]
-            x = x.astype(np.uint32) if x.max() < 1 << 32 else x
-            blob = bytes([x.itemsize]) + out.compress(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([r[0].as_py()], pa.int32()), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "part", "blob"])
-
-
-_TABLED = "bucket int, token binary, kind binary, count binary, size binary, text binary, table array<binary>"
-
-
-def _with_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a bucket: its tokens (the row of part -1, which comes first), and its answers in the order of its keys."""
-    for b, rows in by_bucket(batches):
-        blobs = [r[6].as_py() for r in rows[1:]]
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([rows[0][c].as_py()], pa.binary()) for c in range(1, 6)), pa.array([blobs], pa.list_(pa.binary()))], names=["bucket", "token", "kind", "count", "size", "text", "table"])
-
+def _tabulate(t: Tokens, tables: np.ndarray) -> None:
+    """Add training tokens by class and cell (and training texts by class), and by the word before and cell."""
+    cells, split = 1 << CELL_BITS, CLASSES * ((1 << CELL_BITS) + 1)
+    trained = t.learns[t.doc]
+    kind = t.kind[t.doc[trained]] * (cells + 1) + (t.h[trained] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    tables[:split] += np.bincount(np.concatenate((kind, t.kind[t.learns] * (cells + 1) + cells)), minlength=split)
+    before = (t.before[trained] << BEFORE_BITS) + (t.h[trained] >> np.uint64(64 - BEFORE_BITS)).astype(np.int64)
+    tables[split:] += np.bincount(before, minlength=len(tables) - split)
+
+
+def _paths(keys: np.ndarray, count: np.ndarray, bits: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted distinct keys of so many bits: the sum over keys that share the first ``low``, and for each bit from low
+    to high the sum over those that share the bits before and differ in it, as (high - low, keys)."""
+    other = np.empty((max(0, high - low), len(keys)), dtype=np.int64)
+    total = np.concatenate(([0], np.cumsum(count)))
+    above = None
+    for d in range(low, high + 1):
+        top = keys >> np.uint64(bits - d) if d else np.zeros(len(keys), dtype=np.uint64)
+        edge = np.flatnonzero(np.append(True, top[1:] != top[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+        stop = np.append(edge[1:], len(keys))
+        here = np.repeat(total[stop] - total[edge], stop - edge)
+        if above is None:
+            first = here
+        else:
+            other[d - low - 1] = above - here
+        above = here
+    return first, other
+
+
+def _answer(lay: Layout):
+    """What buckets know of each chunk's keys, in their order.
+
+    Words: the training count, the others of each bit below the cell, and the others that share all of the code. Context
+    pairs: a bit each, whether anything is known beyond what the chunk sent; of those, the count and the others of each
+    bit. Tables: sums. A bucket's own totals (tokens, distinct words, tokens by cell) go to chunk -1.
+    """
 
-def tabled(counted: DataFrame, n: int) -> DataFrame:
-    """The buckets' tokens with the exact counts of all their contexts in the whole corpus."""
-    asked = counted.repartition(n, "bucket").mapInArrow(_ask(n), "part int, bucket int, keys binary, times binary")
-    answers = asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_answer, "bucket int, part int, blob binary")
-    kept, none = ("token", "kind", "count", "size", "text"), F.lit(None).cast("binary")
-    rows = counted.select("bucket", F.lit(-1).alias("part"), *kept, none.alias("blob")).union(answers.select("bucket", "part", *(none.alias(c) for c in kept), "blob"))
-    rows = rows.select("bucket", *kept, "blob", "part").repartition(n, "bucket").sortWithinPartitions("bucket", "part").select("bucket", "part", *kept, "blob")
-    return materialize(rows.mapInArrow(_with_answers, _TABLED), "tables")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, out = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        rows_of = lambda chunk, bucket, blob: pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([bucket] * len(chunk), pa.int32()), pa.array(blob, pa.binary())], names=["chunk", "bucket", "blob"])
+        for b, rows in by_bucket(batches):
+            if b >= 2 * lay.n:
+                total = sum(np.frombuffer(z.decompress(r[2].as_buffer()), dtype=np.int64) for r in rows)
+                yield rows_of([-1], b, [out.compress(total.tobytes())])
+                continue
+            keys = [decode(memoryview(r[1].as_buffer())) for r in rows]
+            sent = [np.frombuffer(z.decompress(r[2].as_buffer()), dtype=np.uint32) for r in rows]
+            every, inverse, _ = _groups(np.concatenate(keys))
+            count = np.bincount(inverse, weights=np.concatenate(sent), minlength=len(every)).astype(np.int64)
+            inverse = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+            if b < lay.n:
+                _, other = _paths(every, count, 64, lay.cell_bits, lay.code_bits)
+                same, _ = _paths(every, count, 64, lay.code_bits, lay.code_bits)
+                table = _quantised(np.concatenate((other, (same - count)[None])))
+                for r, at in zip(rows, inverse, strict=True):
+                    yield rows_of([r[0].as_py()], b, [out.compress(count[at].astype(np.uint32).tobytes() + table[:, at].tobytes())])
+                cell, of, _ = _groups(every >> np.uint64(64 - lay.cell_bits))
+                sums = np.bincount(of, weights=count, minlength=len(cell)).astype(np.int64)
+                yield rows_of([-1], b, [out.compress(np.concatenate(([(count > 0).sum()], cell.astype(np.int64), sums)).tobytes())])
+            else:
+                bits = NAME_BITS + lay.group_bits
+                group, other = _paths(every, count, bits, lay.group_bits, bits)
+                table, known = _quantised(np.concatenate((count[None], other))), group
+                for r, at, own in zip(rows, inverse, sent, strict=True):
+                    more = known[at] > own
+                    yield rows_of([r[0].as_py()], b, [out.compress(np.packbits(more).tobytes() + table[:, at[more]].tobytes())])
 
+    return run
 
-def read_table(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of a bucket's tokens and the counts below them, as by under()."""
-    _, kind, count, starts, text = _read(batch, i)
-    z = zstandard.ZstdDecompressor()
-    blobs = [memoryview(v.as_buffer()) for v in batch["table"][i]]
-    keys = tally(text, starts, kind, count)[0]
-    below, at = np.empty((9, len(keys)), dtype=np.uint32 if all(v[0] == 4 for v in blobs) else np.int64), 0
-    for v in blobs:
-        x = np.frombuffer(z.decompress(v[1:]), dtype=np.uint32 if v[0] == 4 else np.int64).reshape(9, -1)
-        below[0, at : at + x.shape[1]], below[1:, at : at + x.shape[1]] = x[0], x[0] - np.cumsum(x[1:], axis=0, dtype=x.dtype)
-        at += x.shape[1]
-    return keys, below
 
+@dataclass
+class Model:
+    """order0, kind, before: pyramids of counts at each bit for all tokens, by class, and by the word before; classes: training
+    texts of each; weights: a row for each gate; seen: decisions by gate and mixed logit; novel: by class and two flags."""
+
+    order0: list[np.ndarray]
+    kind: list[np.ndarray]
+    before: list[np.ndarray]
+    classes: np.ndarray
+    weights: np.ndarray = field(default_factory=lambda: np.full((GATES, INPUTS), 0.3))
+    curve: np.ndarray = field(default_factory=lambda: np.tile(np.eye(INPUTS) * 30.0, (GATES, 1, 1)))
+    seen: np.ndarray = field(default_factory=lambda: np.zeros((GATES, FINE)))
+    novel: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES, 4, 2)))
+
+    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        """The logit that each decision goes as it went, from the predictors' logits of that; a predictor may have the first rows alone."""
+        w = self.weights.astype(np.float32).T
+        t = x[0] * w[0].take(gate)
+        for i in range(1, len(x)):
+            t[: len(x[i])] += x[i] * w[i].take(gate[: len(x[i])])
+        return t
+
+    @staticmethod
+    def fine(t: np.ndarray) -> np.ndarray:
+        return np.clip(t * np.float32(32) + np.float32(FINE // 2), np.float32(0), np.float32(FINE - 1)).astype(np.int32)
+
+    def logs(self) -> np.ndarray:
+        """(GATES, FINE) logarithms of refined probabilities: of the mean of the mixed one and of the map's, which is how often
+        a decision with a logit of about this size goes the likelier way."""
+        size = self.seen.reshape(GATES, BINS, -1).sum(axis=2)
+        up, down = size[:, BINS // 2 :], size[:, BINS // 2 - 1 :: -1]  # as likely, and as unlikely
+        middle = 1 / (1 + np.exp(-(np.arange(BINS // 2) + 0.5) / 2))
+        right = (up + 20 * middle) / (up + down + 20)
+        mapped = np.concatenate((1 - right[:, ::-1], right), axis=1).repeat(FINE // BINS, axis=1)
+        return np.log(np.clip((_LOGISTIC + mapped) / 2, 1e-7, 1)).astype(np.float32)
+
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, live: np.ndarray | None) -> None:
+        """One online Newton step of each gate for a batch of decisions (of the live ones), and the map's counts."""
+        at = self.fine(self.mixed(x, gate)).reshape(-1)
+        order = np.argsort((gate if live is None else np.where(live, gate, np.uint8(GATES))).reshape(-1), kind="stable")
+        if live is not None:
+            order = order[: np.count_nonzero(live)]
+        gate, at = gate.reshape(-1)[order], at[order]
+        self.seen += np.bincount(gate * np.int64(FINE) + at, minlength=GATES * FINE).reshape(GATES, FINE)
+        full = np.zeros((len(x), len(order)), dtype=np.float32)
+        for own, v in zip(full, x, strict=True):
+            if v.size >= live.size if live is not None else True:
+                v.reshape(-1).take(order, out=own)
+            else:
+                some = order < v.size
+                own[some] = v.reshape(-1)[order[some]]
+        push, slope = full * _MISS.take(at), full * _SLOPE.take(at)
+        edge = np.searchsorted(gate, np.arange(GATES + 1))
+        n, step = len(x), np.zeros((GATES, INPUTS))
+        for g in np.flatnonzero(np.diff(edge)).tolist():
+            a, b = edge[g], edge[g + 1]
+            self.curve[g, :n, :n] += slope[:, a:b] @ full[:, a:b].T
+            step[g, :n] = push[:, a:b].sum(axis=1)
+        self.weights += np.linalg.solve(self.curve, step[:, :, None])[:, :, 0]
+
+
+#: For each step of a logit: the probability, that of the other way, and the slope.
+_LOGISTIC = 1 / (1 + np.exp(-(np.arange(FINE) - FINE // 2 + 0.5) / 32))
+_MISS, _SLOPE = (1 - _LOGISTIC).astype(np.float32), np.maximum(_LOGISTIC * (1 - _LOGISTIC), 1e-5).astype(np.float32)
+
+
+def _stretch(taken: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.log((taken + PRIOR) / (other + PRIOR))
+
+
+def _down(table: list[np.ndarray], row: np.ndarray | None, cell: np.ndarray, bits: int) -> np.ndarray:
+    """(bits + 1, tokens) counts at each bit on the way to the cells, of one row of a pyramid each."""
+    out = np.empty((bits + 1, len(cell)), dtype=np.float32)
+    for d in range(bits + 1):
+        at = cell >> (bits - d)
+        out[d] = table[d][at if row is None else (row << d) + at]
+    return out
 
-def train(spark, tables: DataFrame, n: int) -> Mixer:
-    """Learn the mixer's weights on the bounded sample of the n counted tokens, with their exact counts."""
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                token, kind, count, starts, text = _read(batch, i)
-                token = token + mix(kind.astype(np.uint64))
-                counted = np.flatnonzero(count)
-                top = counted[np.argsort(-count[counted], kind="stable")[:SAMPLE_TOP]]
-                rest = counted[np.argsort(mix(token[counted]), kind="stable")[:SAMPLE_REST]]
-                at = np.unique(np.concatenate((top, rest)))
-                if not len(at):
-                    continue
-                raw = text.tobytes()
-                keys, below = read_table(batch, i)
-                size = np.diff(starts)[at]
-                first = np.concatenate(([0], np.cumsum(size)))
-                own = coded(text[np.repeat(starts[at] - first[:-1], size) + np.arange(first[-1])], first, kind[at])[2]
-                own, first = np.searchsorted(keys, own), first + np.arange(len(first))
-                counts = [z.compress(below[:, own[:, x:y].reshape(-1)].astype(np.int64).tobytes()) for x, y in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(mix(token[at]).view(np.int64)), pa.array(kind[at].astype(np.int32)), pa.array(count[at]), pa.array([raw[starts[x] : starts[x + 1]] for x in at.tolist()], pa.binary()), pa.array(counts, pa.binary())], names=["h", "kind", "count", "text", "below"])
-
-    pool = tables.mapInArrow(candidates, "h long, kind int, count long, text binary, below binary")
-    pool = materialize(pool, "pool")
-    top = pool.orderBy(F.desc("count"), "h").limit(SAMPLE_TOP).collect()
-    unsigned = F.col("h").bitwiseXOR(F.lit(-(2**63)))  # in the order of unsigned hashes
-    rest = pool.orderBy(unsigned).limit(SAMPLE_REST).collect()
-    known = {r.h for r in top}
-    rest = [r for r in rest if r.h not in known]
-    scale = max(1.0, (n - len(top)) / max(1, len(rest)))
-    sample = [(bytes(r.text), r.kind, float(r["count"]), r.below) for r in top] + [(bytes(r.text), r.kind, r["count"] * scale, r.below) for r in rest]
-    sample.sort()
-    if not sample:
-        return Mixer(np.zeros(0), np.zeros(0))
-    texts, kinds, weight, blobs = zip(*sample, strict=True)
-    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    text, kind = np.frombuffer(b"".join(texts), dtype=np.uint8), np.array(kinds, dtype=np.int64)
+class Coder:
+    """The decisions of a chunk's tokens, with the counts of their contexts."""
+
+    def __init__(self, t: Tokens, answers: list[dict], lay: Layout, model: Model) -> None:
+        self.t, self.lay, self.model = t, lay, model
+        z = zstandard.ZstdDecompressor()
+        got = {a["bucket"]: z.decompress(a["blob"]) for a in answers}
+        levels = lay.code_bits - lay.cell_bits + 1
+        self.count, self.below = np.zeros(len(t.word), dtype=np.int64), np.zeros((levels, len(t.word)), dtype=np.uint8)
+        edge = np.searchsorted(lay.word_bucket(t.word), np.arange(lay.n + 1))
+        for b in range(lay.n):
+            x, y = int(edge[b]), int(edge[b + 1])
+            if y > x:
+                self.count[x:y] = np.frombuffer(got[b], dtype=np.uint32, count=y - x)
+                self.below[:, x:y] = np.frombuffer(got[b], dtype=np.uint8, offset=4 * (y - x)).reshape(levels, y - x)
+        # of pairs of which nothing more is known the chunk's own count is all there is
+        known, tables = np.zeros(len(t.key), dtype=bool), []
+        edge = np.searchsorted(t.bucket, np.arange(lay.n + 1))
+        for b in range(lay.n):
+            x, y = int(edge[b]), int(edge[b + 1])
+            if y > x:
+                size = (y - x + 7) // 8
+                known[x:y] = np.unpackbits(np.frombuffer(got[lay.n + b], dtype=np.uint8, count=size), count=y - x).astype(bool)
+                tables.append(np.frombuffer(got[lay.n + b], dtype=np.uint8, offset=size).reshape(NAME_BITS + 1, -1))
+        # the last row, of zeros, is that of pairs which nobody else has
+        self.table = np.ascontiguousarray(np.concatenate([*tables, np.zeros((NAME_BITS + 1, 1), dtype=np.uint8)], axis=1).T)
+        self.row = np.append(np.where(known, np.cumsum(known) - 1, len(self.table) - 1), len(self.table) - 1)
+        self.alone = np.append(t.weight, 0).astype(np.float32)
+        self.below = np.ascontiguousarray(self.below.T)
+        self.context_own = t.context_own()
+        self.logs = model.logs()
+        self.known = self.count[t.of] > t.own
+
+    def _pair(self, key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For context pairs (-1: none): (bits + 1, pairs) counts that share the bits so far, and (bits, pairs) of those that differ next."""
+        row = self.row[key]  # the last one is of none
+        got = _VALUE.take(self.table.take(row, axis=0).T)
+        seen = np.empty((NAME_BITS + 1, len(key)), dtype=np.float32)
+        seen[NAME_BITS] = np.maximum(np.where(row == len(self.table) - 1, self.alone[key], got[0]) - own, 0)
+        for d in range(NAME_BITS - 1, -1, -1):
+            np.add(seen[d + 1], got[d + 1], out=seen[d])
+        return seen, got[1:]
+
+    def word_decisions(self, at: np.ndarray, context: bool = True) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Of known tokens, as (bits, tokens): the predictors' logits (of fewer bits where one is silent after these), the
+        gate, and whether there is anything to decide; and the logarithms of the word's share among those of its code."""
+        t, lay, m = self.t, self.lay, self.model
+        bits, cells, n = lay.code_bits, lay.cell_bits, len(at)
+        h, own, word = t.h[at], t.own[at].astype(np.float32), t.of[at]
+        count = self.count[word].astype(np.float32) - own
+        below = _VALUE.take(self.below.take(word, axis=0).T)
+        # counts that go the token's way, and the others, for each bit of the code
+        taken, other = np.empty((bits, n), dtype=np.float32), np.empty((bits, n), dtype=np.float32)
+        down = _down(m.order0, None, (h >> np.uint64(64 - cells)).astype(np.int64), cells)
+        taken[:cells], other[:cells] = np.maximum(down[1:] - own, count), down[:-1] - down[1:]
+        other[cells:] = below[:-1]
+        taken[bits - 1] = count + below[-1]
+        for d in range(bits - 2, cells - 1, -1):
+            np.add(taken[d + 1], other[d + 1], out=taken[d])
+        x = [_stretch(taken, other)]
+        down = _down(m.kind, t.kind[t.doc[at]], (h >> np.uint64(64 - CELL_BITS)).astype(np.int64), CELL_BITS)
+        x.append(_stretch(np.maximum(down[1:] - own, 0), down[:-1] - down[1:]))
+        gate = np.zeros((bits, n), dtype=np.uint8)
+        gate[:CELL_BITS] = (down[:-1] - own >= 8) * np.uint8(4)
+        down = _down(m.before, t.before[at], (h >> np.uint64(64 - BEFORE_BITS)).astype(np.int64), BEFORE_BITS)
+        x.append(_stretch(np.maximum(down[1:] - own, 0), down[:-1] - down[1:]))
+        gate += np.searchsorted((BEFORE_BITS, CELL_BITS, NAME_BITS), np.arange(bits), side="right").astype(np.uint8)[:, None]
+        left = np.log(count / (count + below[-1]))
+        if not context:
+            return x, gate, other > 0, left
+        seen, differ = self._pair(t.context[at], self.context_own[at].astype(np.float32))
+        v = np.empty((bits, n), dtype=np.float32)
+        v[:NAME_BITS] = _stretch(seen[1:], differ)
+        v[NAME_BITS:] = np.log((seen[-1] + PRIOR) / PRIOR)
+        x.append(v)
+        trust = np.zeros((NAME_BITS + 1, n), dtype=np.uint8)
+        for least in (0.5, 1.5, 3.5, 15.5):
+            trust += seen > np.float32(least)
+        gate[:NAME_BITS] += trust[:-1] * np.uint8(8)
+        gate[NAME_BITS:] += trust[-1] * np.uint8(8)
+        return x, gate, other > 0, left
+
+    def batches(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+        """Tokens in order, a step at a time, those whose long context nobody else has apart; and whether it counts."""
+        t = self.t
+        key = t.context[tokens]
+        silent = (self.row[key] == len(self.table) - 1) & (self.alone[key] <= self.context_own[tokens])
+        for a in range(0, len(tokens), 2 * STEP):
+            own, quiet = tokens[a : a + 2 * STEP], silent[a : a + 2 * STEP]
+            for part, context in ((own[~quiet], True), (own[quiet], False)):
+                if len(part):
+                    yield part, context
+
+    def spell_decisions(self, rare: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of rare words (by their number among them), as (8, bytes): the predictors' logits and the gate; and each byte's word."""
+        t = self.t
+        place = np.repeat(np.arange(len(rare)), t.rare_size[rare])
+        own = t.rare_learned[rare][place].astype(np.float32)
+        x, seen = [], []
+        for keys in t.spelled(rare):
+            s, other = self._pair(keys, own)
+            x.append(_stretch(s[1:9], other[:8]))
+            seen.append(s[:8])
+        trust = lambda s, a, b: (s > a).astype(np.uint8) + (s > b)
+        return x, (WORD_GATES + trust(seen[3], 0.5, 3.5) * 3 + trust(seen[2], 0.5, 7.5)).astype(np.uint8), place
+
+    def flags(self) -> np.ndarray:
+        """Novelty of the two tokens before, 0 to 3; none before counts as known."""
+        t = self.t
+        new = ~self.known
+        place = np.arange(len(new)) - t.first[t.doc]
+        one, two = np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=np.int64)
+        one[1:], two[2:] = new[:-1], new[:-2]
+        return np.where(place >= 1, one, 0) + 2 * np.where(place >= 2, two, 0)
+
+    def new_words(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words of new tokens, as numbers among the rare ones, and each token's place among these."""
+        number = np.full(len(self.t.word), -1, dtype=np.int64)
+        number[self.t.rare] = np.arange(len(self.t.rare))
+        return np.unique(number[self.t.of[tokens]], return_inverse=True)
+
+    def learn(self, m: Model) -> None:
+        t = self.t
+        trained = t.learns[t.doc]
+        flags = self.flags()
+        cell = (t.kind[t.doc] * 4 + flags)[trained] * 2 + ~self.known[trained]
+        m.novel += np.bincount(cell, minlength=m.novel.size).reshape(m.novel.shape)
+        for at, context in self.batches(np.flatnonzero(trained & self.known)):
+            x, gate, live, _ = self.word_decisions(at, context)
+            m.learn(x, gate, live)
+        rare, _ = self.new_words(np.flatnonzero(trained & ~self.known & (t.h != _END)))
+        for a in range(0, len(rare), STEP):
+            x, gate, _ = self.spell_decisions(rare[a : a + STEP])
+            m.learn(x, gate, None)
+
+    def _log(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        return self.logs.reshape(-1).take(gate * np.int32(FINE) + self.model.fine(self.model.mixed(x, gate)))
+
+    def log10(self) -> np.ndarray:
+        """log10 probability of each token, the class not counted."""
+        t, m = self.t, self.model
+        every = m.novel.sum(axis=0)
+        share = (every[:, 1] + 0.5) / (every.sum(axis=1) + 1)
+        new = (m.novel[:, :, 1] + 2 * share) / (m.novel.sum(axis=2) + 2)
+        p = new[t.kind[t.doc], self.flags()]
+        out = np.log(np.where(self.known, 1 - p, p))
+        for at, context in self.batches(np.flatnonzero(self.known)):
+            x, gate, live, left = self.word_decisions(at, context)
+            out[at] += left + (self._log(x, gate) * live).sum(axis=0)
+        fresh = np.flatnonzero(~self.known & (t.h != _END))
+        rare, of = self.new_words(fresh)
+        cost = np.zeros(len(rare))
+        for a in range(0, len(rare), STEP):
+            x, gate, place = self.spell_decisions(rare[a : a + STEP])
+            own = len(rare[a : a + STEP])
+            cost[a : a + own] = np.bincount(place, weights=self._log(x, gate).sum(axis=0), minlength=own)
+        out[fresh] += cost[of]
+        return out / LN10
+
+
+def _pyramid(cells: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Of (rows, 2^bits) counts the sums at each bit, as flat arrays."""
+    out = [cells.astype(np.float32)]
+    for _ in range(bits):
+        out.append(out[-1].reshape(len(cells), -1, 2).sum(axis=2))
+    return [v.reshape(-1) for v in reversed(out)]
+
+
+def _model(side: list, lay: Layout) -> tuple[Model, int, int]:
+    """The model's tables from the buckets' own totals; the training tokens and distinct words."""
     z = zstandard.ZstdDecompressor()
-    own = np.concatenate([coded(text[a:b], np.array([0, b - a]), kind[i : i + 1])[2].reshape(-1) for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True))])
-    keys, at = np.unique(own, return_index=True)
-    mixer = Mixer(np.zeros(0), np.zeros(0)).over(keys, np.concatenate([np.frombuffer(z.decompress(v), dtype=np.int64).reshape(9, -1) for v in blobs], axis=1)[:, at])
-    mixer.learn(text, starts, kind, np.array(weight))
-    return replace(mixer, zeros=np.zeros(0), ones=np.zeros(0), keys=None)
+    cells, distinct, slices = np.zeros(1 << lay.cell_bits), 0, {}
+    for r in side:
+        v = np.frombuffer(z.decompress(r.blob), dtype=np.int64)
+        if r.bucket >= 2 * lay.n:
+            slices[r.bucket] = v
+        else:
+            n = len(v) // 2
+            distinct += int(v[0])
+            cells[v[1 : 1 + n]] += v[1 + n :]
+    kinds = CLASSES * ((1 << CELL_BITS) + 1)
+    if slices:
+        tables = np.concatenate([slices[k] for k in sorted(slices)])
+    else:
+        tables = np.zeros(kinds + BEFORE * (1 << BEFORE_BITS), dtype=np.int64)
+    kind = tables[:kinds].reshape(CLASSES, -1)
+    model = Model(_pyramid(cells[None], lay.cell_bits), _pyramid(kind[:, :-1], CELL_BITS), _pyramid(tables[kinds:].reshape(BEFORE, -1), BEFORE_BITS), kind[:, -1].astype(float))
+    return model, int(cells.sum()), distinct
 
 
-def _logs(spark, mixer: Mixer):
-    """log10 probabilities of each bucket's tokens."""
-    shared = spark.sparkContext.broadcast(mixer)
+def _train(spark: SparkSession, both: DataFrame, lay: Layout, model: Model) -> Model:
+    """Weights, map and novelty from one pass over all training texts: every chunk starts anew and learns online."""
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = zstandard.ZstdCompressor(level=1)
+        total = np.zeros(GATES * (INPUTS + FINE) + CLASSES * 8)
         for batch in batches:
             for i in range(batch.num_rows):
-                _, kind, _, starts, text = _read(batch, i)
-                logs = shared.value.over(*read_table(batch, i)).log10(text, starts, kind.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(5)), pa.array([out.compress(logs.tobytes())], pa.binary())], names=["bucket", "token", "kind", "count", "size", "logs"])
-
-    return run
-
+                base = shared.value
+                m = Model(base.order0, base.kind, base.before, base.classes)
+                _, t = _read(batch, i, lay)
+                Coder(t, batch["answers"][i].as_py(), lay, m).learn(m)
+                total += np.concatenate([v.reshape(-1) for v in (m.weights * m.seen.sum(axis=1)[:, None], m.seen, m.novel)])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
-def _send_tokens(n: int, centres: np.ndarray):
-    """Distinct tokens of each pack and class with the documents that hold them and how often, by bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for p in packs(batches, PACK):
-            kinds = np.argmax(features(p) @ centres.T, axis=1)
-            h, doc, start, end = _tokens(p)
-            order = np.lexsort((doc, kinds[doc], h))
-            h, doc = h[order], doc[order]
-            at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
-            times = np.diff(np.append(at, len(h)))
-            token, doc, first = h[at], doc[at], order[at]
-            kind = kinds[doc]
-            edge = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])))
-            u, k, first = token[edge], kind[edge].astype(np.uint8), first[edge]
-            edge = np.append(edge, len(token))
-            held, size = np.diff(edge), (end - start)[first]
-            bucket = _bucket_of(u, n)
-            full, a = np.unique(bucket, return_index=True)
-            rows = []
-            for x, y in zip(a, np.append(a[1:], len(u)), strict=True):
-                s, e = edge[x], edge[y]
-                blobs = [v.tobytes() for v in (u[x:y], k[x:y], held[x:y].astype(np.uint32))]
-                blobs += [doc[s:e].astype(np.uint32).tobytes() + times[s:e].astype(np.uint32).tobytes(), size[x:y].astype(np.uint32).tobytes(), p.ids.tobytes() + kinds.astype(np.int64).tobytes()]
-                rows.append([z.compress(v) for v in blobs])
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)), pa.array(np.full(len(full), p.ids[0]))], names=["bucket", "token", "kind", "held", "docs", "size", "ids", "pack"])
-
-    return run
+    sums = both.mapInArrow(run, "sums array<double>").select(F.posexplode("sums")).where("col <> 0").groupBy("pos").agg(F.sum("col").alias("v"))
+    got = np.zeros(GATES * (INPUTS + FINE) + CLASSES * 8)
+    for r in sums.collect():  # of a fixed number of sums
+        got[r.pos] = r.v
+    weights, seen, novel = np.split(got, np.cumsum([GATES * INPUTS, GATES * FINE]))
+    model.seen, model.novel = seen.reshape(GATES, FINE), novel.reshape(CLASSES, 4, 2)
+    many = model.seen.sum(axis=1)[:, None]
+    model.weights = np.where(many > 0, weights.reshape(GATES, INPUTS) / np.maximum(many, 1), model.weights)
+    return model
 
 
-_SENT = "bucket int, token binary, kind binary, held binary, docs binary, size binary, ids binary, pack long"
-_SUMS = "doc_id long, n_tokens long, n_known long, coded long, base_score double, score double"
+_SCORES = "doc_id long, n_tokens long, n_known long, coded long, base double, score double"
 
 
-def _sums(total: int, distinct: int, prior: np.ndarray):
-    """Sums for each document of a bucket's tokens; the bucket's counts and log10 probabilities (as docs) come as the row without ids."""
-    end_bytes = _END
+def _scored(spark: SparkSession, lay: Layout, model: Model):
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, out = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        get = lambda x, t: np.frombuffer(z.decompress(x.as_buffer()), dtype=t)
-        for _, rows in by_bucket(batches):
-            sent = [r for r in rows if r[5].is_valid]
-            if not sent:
-                continue
-            (own_row,) = (r for r in rows if not r[5].is_valid)
-            u, s, logs = get(own_row[0], np.uint64), get(own_row[4], np.uint32).astype(np.int64), get(own_row[3], np.float64)
-            _, of = np.unique(u, return_inverse=True)  # classes of a token together
-            c = np.bincount(of, weights=get(own_row[2], np.int64)).astype(np.int64)[of]
-            name = u + mix(get(own_row[1], np.uint8).astype(np.uint64))
-            by = np.argsort(name)
-            name = name[by]
-            lengths = [len(get(r[1], np.uint8)) for r in sent]
-            asked = np.concatenate([get(r[0], np.uint64) + mix(get(r[1], np.uint8).astype(np.uint64)) for r in sent])
-            at = np.minimum(np.searchsorted(name, asked), len(name) - 1)
-            if (name[at] != asked).any():
-                raise RuntimeError("a token to be scored was not among those counted")
-            inverse = by[at]
-            base = np.log10((c + 1) / (total + distinct + 1))
-            done = 0
-            for r, k in zip(sent, lengths, strict=True):
-                own = inverse[done : done + k]
-                done += k
-                held, (ids, kind) = get(r[2], np.uint32), np.split(get(r[5], np.int64), 2)
-                doc, times = np.split(get(r[3], np.uint32).astype(np.int64), 2)
-                tok = np.repeat(own, held)
-                value = times * logs[tok] + np.where(u[tok] == end_bytes, prior[kind[doc]], 0.0)  # a document's class is coded with its end
-                sums = [np.bincount(doc, weights=v, minlength=len(ids)) for v in (times, times * (c[tok] > 0), times * (s[tok] + 1), times * base[tok], value)]
-                here = np.flatnonzero(sums[0])
-                blob = b"".join([here.astype(np.uint32).tobytes(), *(v[here].astype(np.uint32).tobytes() for v in sums[:3]), *(v[here].tobytes() for v in sums[3:])])
-                yield pa.RecordBatch.from_arrays([pa.array([r[6].as_py()]), pa.array([r[5].as_py()], pa.binary()), pa.array([out.compress(blob)], pa.binary())], names=["pack", "ids", "sums"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                m = shared.value
+                ids, t = _read(batch, i, lay)
+                c = Coder(t, batch["answers"][i].as_py(), lay, m)
+                count = c.count[t.of]
+                sums = lambda v: np.bincount(t.doc, weights=v, minlength=t.n_docs)
+                share = (m.classes + 0.5) / (m.classes.sum() + 0.5 * CLASSES)
+                score = sums(c.log10()) + np.log10(share)[t.kind]
+                longs = [sums(v).astype(np.int64) for v in (np.ones(len(t.h)), count > 0, t.size + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(v) for v in longs), pa.array(sums(np.log10(count + 1.0))), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "coded", "base", "score"])
 
     return run
 
 
-def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a document from the blobs of all buckets for its pack (named by its first document)."""
-    z = zstandard.ZstdDecompressor()
-    for _, rows in by_bucket(batches):
-        for ids in {r[0].as_py() for r in rows}:  # packs may share a first document where doc_ids repeat
-            own = np.frombuffer(z.decompress(ids), dtype=np.int64)
-            own = own[: len(own) // 2]
-            total = np.zeros((5, len(own)))
-            for r in rows:
-                if r[0].as_py() == ids:
-                    raw = z.decompress(r[1].as_buffer())
-                    n = len(raw) // 32
-                    at = np.frombuffer(raw, dtype=np.uint32, count=n)
-                    for i in range(3):
-                        total[i, at] += np.frombuffer(raw, dtype=np.uint32, count=n, offset=4 * n * (i + 1))
-                    for i in range(2):
-                        total[3 + i, at] += np.frombuffer(raw, dtype=np.float64, count=n, offset=16 * n + 8 * n * i)
-            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(t.astype(np.int64)) for t in total[:3]), *(pa.array(t) for t in total[3:])], names=["doc_id", "n_tokens", "n_known", "coded", "base_score", "score"])
-
-
-def classes(training: DataFrame) -> np.ndarray:
-    """Centres of the classes of at most CLASS_SAMPLE training documents (those with the smallest hash of doc_id)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in packs(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(p.ids), pa.array([f.tobytes() for f in features(p).astype(np.float16)], pa.binary())], names=["doc_id", "f"])
-
-    wanted = training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLASS_SAMPLE)
-    rows = training.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, f binary").collect()
-    rows.sort()
-    return find_classes(np.array([np.frombuffer(r.f, dtype=np.float16) for r in rows], dtype=np.float32).reshape(-1, CLASS_BINS))
-
-
-def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """Score whole texts by a model of the training texts.
-
-    docs, training: doc_id, text; other columns are ignored. Returns doc_id, n_tokens, n_known, train_tokens,
+def fitted(docs: DataFrame, learns: Column) -> tuple[DataFrame, Layout, Model, int, int]:
+    """The chunks with what the buckets answered them, the model, and the training tokens and distinct words."""
+    spark = docs.sparkSession
+    chunks = chunked(docs, flag=learns)
+    n = buckets(chunks)
+    lay = Layout.of(int(chunks.agg(F.sum("size")).first()[0] or 0), n)
+    answers = chunks.mapInArrow(_send(lay), SENT).repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(lay), "chunk long, bucket int, blob binary")
+    # a chunk has at most two blobs a bucket; those of -1 are single rows, so as not to meet in one
+    key = F.when(F.col("chunk") < 0, -1 - F.col("bucket")).otherwise(F.col("chunk")).alias("chunk")
+    answers = materialize_by(answers.groupBy(key).agg(F.collect_list(F.struct("bucket", "blob")).alias("answers")), "counts", "chunk")
+    side = answers.where("chunk < 0").select(F.inline("answers")).collect()  # two numbers a cell and fixed tables
+    model, total, distinct = _model(side, lay)
+    both = chunks.join(answers, "chunk")
+    model = _train(spark, both, lay, model)
+    return both, lay, model, total, distinct
+
+
+def scores(docs: DataFrame, learns: Column) -> DataFrame:
+    """Score whole texts by a model of those for which ``learns`` holds.
+
+    docs: doc_id, text and what learns needs; other columns are ignored. Returns doc_id, n_tokens, n_known, train_tokens,
     base_score, score and bits_per_byte (of the tokens' bytes and one each to close them). base_score is the sum over tokens of
     log10((c + 1) / (N + V + 1)), c being the token's count among the N training tokens, V of them distinct; score is
-    the mixer's log10 probability. A null text is an empty one and is the end token alone. Rows with a null doc_id are
-    left out; rows that share a doc_id are scored as one text. Without training texts every count is zero.
+    the mixer's log10 probability, by the other texts in the case of a training text. A null text is an empty one and
+    is the end token alone. Rows with a null doc_id are left out; rows that share a doc_id are scored one by one. A null
+    of ``learns`` is no. Without training texts every count is zero and all tokens are spelled.
     """
-    spark = docs.sparkSession
-    docs, training = (t.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null") for t in (docs, training))
-    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(tasks, -(-bytes_ // BUCKET_BYTES))
-    centres = classes(training)
-    sent = training.mapInArrow(_send_counts(n, centres, 1), _COUNTS).union(docs.mapInArrow(_send_counts(n, centres, 0), _COUNTS))
-    counted = materialize(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(len(centres)), _WORDS), "counts")
-    distinct, total, types = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "total", "tokens"))).first()
-    per_class = np.ones(len(centres))
-    for r in counted.select(F.posexplode("docs")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
-        per_class[r.pos] += r.n
-    tables = tabled(counted, n)
-    logs = tables.mapInArrow(_logs(spark, train(spark, tables, int(types))), "bucket int, token binary, kind binary, count binary, size binary, logs binary")
-    none = F.lit(None).cast("binary")
-    rows = docs.mapInArrow(_send_tokens(n, centres), _SENT).union(logs.select("bucket", "token", "kind", "count", "logs", "size", none, F.lit(None).cast("long")))
-    prior = np.log10(per_class / per_class.sum())
-    parts_ = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sums(int(total), int(distinct), prior), "pack long, ids binary, sums binary")
-    parts_ = parts_.repartition(n, "pack").sortWithinPartitions("pack").mapInArrow(_add_sums, _SUMS)
-    sums = parts_.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "coded", "base_score", "score")))
+    both, lay, model, total, distinct = fitted(docs, learns)
+    out = both.mapInArrow(_scored(docs.sparkSession, lay, model), _SCORES)
+    base = F.col("base") - F.col("n_tokens") * float(np.log10(total + distinct + 1))
     bits = -F.col("score") / F.log10(F.lit(2.0)) / F.col("coded")
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))

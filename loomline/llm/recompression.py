@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import SENT, answered, buckets, chunked, encode, read_bits, send, unpack
-from .scratch import materialize
+from .scratch import materialize_by
 from .text import Pack, Words, mix, windows, word_hashes, words
 
 #: Words a window must have: below, two rounds do not leave a shared symbol in every window.
@@ -224,8 +224,8 @@ def substring_dedup(docs: DataFrame, window: int = LEAST_WINDOW, layout: bool =
         raise ValueError(f"window must be at least {LEAST_WINDOW}")
     chunks = chunked(docs)
     n = buckets(chunks)
-    shared = materialize(answered(chunks.mapInArrow(_send_symbols(n), SENT), n, _shared), "symbols")
+    shared = materialize_by(answered(chunks.mapInArrow(_send_symbols(n), SENT), n, _shared), "symbols", "chunk")
     near = chunks.join(shared, "chunk", "left")
-    later = materialize(answered(near.mapInArrow(_send_windows(n, window), SENT), n, _earlier).withColumnRenamed("answers", "later"), "windows")
+    later = materialize_by(answered(near.mapInArrow(_send_windows(n, window), SENT), n, _earlier).withColumnRenamed("answers", "later"), "windows", "chunk")
     both = chunks.join(shared, "chunk", "left").join(later, "chunk", "left")
     return both.mapInArrow(_kept(n, window, layout), "doc_id long, n_words long, n_removed long, text string")

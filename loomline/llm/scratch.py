@@ -31,3 +31,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialize(), stored in as many Spark buckets by ``key`` as there are shuffle partitions: joins and groups of
+    such tables by the key need no exchange. The name in the catalogue is unique; the files are in the shared folder.
+    """
+    spark = df.sparkSession
+    table = f"loomline_{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).sortBy(key).option("path", f"{folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)

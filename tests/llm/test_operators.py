@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomline.llm import bpe, bytededup, decontamination, licences, mixing, nearest, neardup, recompression, runindex, sketch, text, toxicity, urlfilter
@@ -189,60 +190,114 @@ def test_segments():
         assert [x[:2] for x in toxicity.segments(np.array(s))] == brute_segments(s)
 
 
+def lm_words(t):
+    return [w.decode() for w in bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()] + [None]
+
+
 def test_lm_scores(spark, texts):
     d = docs(spark, texts)
-    got = {r.doc_id: r for r in mixing.scores(d, d.where("doc_id % 7 <> 2")).collect()}
-    low = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() + [None]
+    got = {r.doc_id: r for r in mixing.scores(d, d.doc_id % 7 != 2).collect()}
     count = {}
     for i, t in enumerate(texts):
-        for w in low(t) if i % 7 != 2 else ():
+        for w in lm_words(t) if i % 7 != 2 else ():
             count[w] = count.get(w, 0) + 1
     n, v = sum(count.values()), len(count)
     for i, t in enumerate(texts):
-        w, r = low(t), got[i]
+        w, r = lm_words(t), got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in count for x in w), n)
         assert r.base_score == pytest.approx(sum(np.log10((count.get(x, 0) + 1) / (n + v + 1)) for x in w))
         assert r.score < 0
-    assert mixing.scores(docs(spark, []), docs(spark, [])).count() == 0
+    assert len(got) == len(texts) and mixing.scores(docs(spark, []), F.lit(True)).count() == 0
 
 
-def test_lm_counts_are_exact(spark, texts):
-    d = docs(spark, texts).select("doc_id", "text")
-    counted = d.mapInArrow(mixing._send_counts(3, np.zeros((1, mixing.CLASS_BINS)), 1), mixing._COUNTS)
-    counted = counted.repartition(3, "bucket").sortWithinPartitions("bucket").mapInArrow(mixing._count(1), mixing._WORDS)
-    tokens = [w + b" " for t in texts for w in (bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() + [b""])]
-    seen = set()
-    for batch in mixing.tabled(counted, 3).toArrow().to_batches():
+def test_lm_edges(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a b"), (2, None), (3, ""), (4, "x" * 3_000_000), (5, "word " * 700_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_tokens, r.n_known) for r in mixing.scores(d, F.lit(None).cast("boolean")).collect())
+    assert got == [(1, 4, 0), (1, 4, 0), (2, 1, 0), (3, 1, 0), (4, 2, 0), (5, 700_001, 0)]
+    got = {r.doc_id: r.bits_per_byte for r in mixing.scores(d, F.col("doc_id") != 4).collect()}
+    assert len(got) == 5 and all(v > 0 for v in got.values())
+
+
+def lm_coders(both, lay, model):
+    for batch in both.toArrow().to_batches():
         for i in range(batch.num_rows):
-            _, kind, count, starts, text = mixing._read(batch, i)
-            keys, below = mixing.read_table(batch, i)
-            byte = mixing.coded(text, starts, kind)[1].tobytes()
-            own = mixing.coded(text, starts, kind)[2]
-            got = [below[:, np.searchsorted(keys, own[c])].T.tolist() for c in (1, 5)]
-            at = 0
-            for k in range(len(count)):
-                token = byte[at : at + int(starts[k + 1] - starts[k]) + 1]
-                seen.add(token)
-                for p in range(len(token)) if k % 9 == 0 else ():
-                    for c, back in ((0, min(p, 2)), (1, p)):
-                        after = [t[q] for t in tokens for q in range(len(t)) if t[q - back : q] == token[p - back : p] and (back == 2 if c == 0 and p >= 2 else q == p)]
-                        assert got[c][at + p] == [sum(x >> (8 - n) == token[p] >> (8 - n) for x in after) for n in range(9)]
-                at += len(token)
-    assert seen == set(tokens)
-
-
-def test_lm_probabilities_sum_to_one():
-    z, o = np.zeros(1 << mixing.SLOT_BITS), np.zeros(1 << mixing.SLOT_BITS)
-    m = mixing.Mixer(z, o)
-    one = np.arange(256, dtype=np.uint8)[np.arange(256) != 0x20]
-    first = np.concatenate(([0], np.arange(1, 256))).astype(np.int64)
-    d = mixing.decisions(one, first, np.zeros(255, dtype=np.int64))
-    x, gate = m.inputs(d)
-    p = m.refined(m.mixed(x, gate), d.node)
-    each = np.where(d.bit == 1, p, 1 - p)
-    start = np.array([each[16 * k : 16 * k + 8].prod() for k in range(255)])
-    end = 10 ** m.log10(np.zeros(0, dtype=np.uint8), np.zeros(2, dtype=np.int64), np.zeros(1, dtype=np.int64))[0]
-    assert start.sum() + end == pytest.approx(1)
+            ids, t = mixing._read(batch, i, lay)
+            yield ids, t, mixing.Coder(t, batch["answers"][i].as_py(), lay, model)
+
+
+def test_lm_counts_are_exact(spark, texts):
+    """Counts of words and of long contexts by brute force; a training text's own are taken out."""
+    d = docs(spark, texts).repartition(3)
+    both, lay, model, *_ = mixing.fitted(d, F.col("doc_id") % 7 != 2)
+    every = {i: lm_words(t) for i, t in enumerate(texts)}
+    size = lambda w: len((w or "").encode()) + 1
+
+    def context(ws, k):
+        for j in range(k - 1, -1, -1):
+            if sum(map(size, ws[j:k])) >= mixing.REACH:
+                return tuple(ws[j:k])
+        return None
+
+    words_, after = {}, {}
+    for i, ws in every.items():
+        for k, w in enumerate(ws):
+            words_.setdefault(w, {}).setdefault(i, 0)
+            words_[w][i] += 1
+            if context(ws, k) is not None:
+                own = after.setdefault(context(ws, k), {}).setdefault(w, {})
+                own[i] = own.get(i, 0) + 1
+    sums = lambda c, i: sum(n for j, n in c.items() if j % 7 != 2 and j != i)
+    checked = 0
+    for ids, t, c in lm_coders(both, lay, model):
+        seen, other = c._pair(t.context, c.context_own.astype(np.float32))
+        for k in range(len(t.h)):
+            i = int(ids[t.doc[k]])
+            ws, at = every[i], k - t.first[t.doc[k]]
+            assert c.count[t.of[k]] - t.own[k] == sums(words_[ws[at]], i)
+            follow = after.get(context(ws, at)) if context(ws, at) is not None else None
+            assert (follow is None) == (t.context[k] < 0)
+            if follow is not None and sum(map(sum, (x.values() for x in follow.values()))) < 16:
+                assert seen[-1][k] == sums(follow[ws[at]], i)
+                apart = sum(sum(n for j, n in x.items() if j % 7 != 2) for w, x in follow.items() if w != ws[at])
+                assert other[:, k].sum() == apart and seen[0][k] == seen[-1][k] + apart
+                checked += 1
+    assert checked > 5000
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """After one and the same text, the probabilities of all known words and of the end make up that of a known token."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcde") for _ in range(r.randint(5, 7))) for _ in range(300)]
+    texts = ["of of of " + " ".join(r.choice(vocabulary[: r.choice((20, 300))]) for _ in range(80)) for _ in range(200)]
+    asked = [texts[0], *(f"{texts[0]} {w}" for w in sorted({w for t in texts for w in t.split()}))]
+    d = spark.createDataFrame(list(enumerate(texts + asked)), "doc_id long, text string")
+    both, lay, model, *_ = mixing.fitted(d, F.col("doc_id") < len(texts))
+    total, kinds = 0.0, set()
+    for ids, t, c in lm_coders(both, lay, model):
+        p = c.log10()
+        for k, i in enumerate(ids):
+            if i >= len(texts):  # of the text itself the end, of the others the word before the end
+                total += 10 ** p[t.first[k + 1] - (1 if i == len(texts) else 2)]
+                kinds.add(int(t.kind[k]))
+    (kind,) = kinds
+    new, every = model.novel[kind, 0, 1], model.novel.sum(axis=0)[0]
+    share = (every[1] + 0.5) / (every.sum() + 1)
+    assert total == pytest.approx(1 - (new + 2 * share) / (model.novel[kind, 0].sum() + 2), rel=0.02)
+
+
+def test_lm_learns_from_order(spark):
+    """Repeated texts and texts in order score above shuffled words, and held-out texts above their base."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    r = random.Random(2)
+    rows = [(x.doc_id, x.text) for x in d.collect()]
+    long = [t for _, t in rows if len(t.split()) > 100][:60]
+    mixed = [(10**6 + i, " ".join(r.sample(t.split(), len(t.split())))) for i, t in enumerate(long)] + [(2 * 10**6 + i, t) for i, t in enumerate(long)]
+    both = spark.createDataFrame(rows + mixed, "doc_id long, text string")
+    got = {x.doc_id: x for x in mixing.scores(both, (F.col("doc_id") < 10**6) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)).collect()}
+    assert sum(got[2 * 10**6 + i].score > got[10**6 + i].score + 20 for i in range(60)) >= 50
+    held = [got[i] for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert sum(x.score for x in held) > sum(x.base_score for x in held)
 
 
 def test_nearest(spark):
