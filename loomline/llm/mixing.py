@@ -8,7 +8,7 @@ A text is a sequence of tokens: its words, A-Z lower-cased, then one end token.
    four predictors with counts of how the training tokens went on from here: none but the bits so far; the document's
    class (a hash of its most frequent short word; coded first, its cost is part of the score); the word before; and
    the whole words before that make up ``REACH`` bytes or more.
-3. A new token is spelled: each bit of its bytes and of a closing byte is predicted by its last 1, 2, 3 and 5 bytes,
+3. A new token is spelled: each bit of its bytes and of a closing byte is predicted by its last 1, 2, 3 and 4 bytes,
    with counts over the rare words of the corpus.
 
 The predictors' logits are combined by weights chosen by a gate (how often two of the contexts have been seen, and how
@@ -41,6 +41,8 @@ from .text import Pack, _LOWER, mix, word_hashes, words
 
 #: Bytes that the long context reaches back over at least, in whole words.
 REACH = 10
+#: Bits by which words are counted.
+WORD_BITS = 56
 #: Bits of a token's name that a long context tells apart; tokens that share them are one to it.
 NAME_BITS = 16
 #: Classes of documents and bits of names that they predict; words before (hashed) and bits that these predict.
@@ -49,7 +51,7 @@ BEFORE, BEFORE_BITS = 1024, 8
 #: Letters of the longest word that can name a class.
 SHORT = 4
 #: Orders of the spelling contexts.
-ORDERS = (1, 2, 3, 5)
+ORDERS = (1, 2, 3, 4)
 CLOSING = 0x20
 #: What is added to both counts of a bit.
 PRIOR = np.float32(0.05)
@@ -61,7 +63,8 @@ FINE, BINS = 1024, 64
 STEP = 8192
 SLICES = 64
 LN10 = float(np.log(10))
-_END = np.uint64(0x0E0D0E0D0E0D0E0D)
+_NAMED = np.uint64((1 << 64) - (1 << 64 - WORD_BITS))
+_END = np.uint64(0x0E0D0E0D0E0D0E00)
 
 
 # counts as bytes: exact up to 15, then eight steps to an octave
@@ -69,8 +72,10 @@ _VALUE = np.concatenate((np.arange(16), 16 * 2 ** ((np.arange(240) + 0.5) / 8)))
 
 
 def _quantised(x: np.ndarray) -> np.ndarray:
-    large = 16 + np.floor(8 * np.log2(np.maximum(x, 16).astype(np.float32) / 16))
-    return np.where(x < 16, x, np.minimum(large, 255)).astype(np.uint8)
+    out = np.minimum(x, 15).astype(np.uint8)
+    large = np.flatnonzero(x > 15)
+    out[large] = np.minimum(16 + np.floor(8 * np.log2(x[large] / 16)), 255)
+    return out
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +123,7 @@ class Layout:
         cell = max(CELL_BITS, (n - 1).bit_length())
         # about twice a token in 64 bytes is a new one; two bits more make most names unique
         code = min(40, max(cell + 1, NAME_BITS, (total // 64).bit_length() + 2))
-        return cls(n, cell, code, min(47, (max(1, total // n)).bit_length() + 9))
+        return cls(n, cell, code, min(47, (max(1, total // n)).bit_length() + 6))
 
     def word_bucket(self, h: np.ndarray) -> np.ndarray:
         """Words of one cell are in one bucket."""
@@ -140,7 +145,7 @@ class Tokens:
         at, ends = np.arange(len(w)) + w.doc, w.first[1:] + np.arange(n)
         size = len(w) + n
         self.h, self.doc = np.empty(size, dtype=np.uint64), np.empty(size, dtype=np.int64)
-        self.h[at], self.h[ends] = word_hashes(p.bytes, w, lower=True), _END
+        self.h[at], self.h[ends] = word_hashes(p.bytes, w, lower=True) & _NAMED, _END
         self.doc[at], self.doc[ends] = w.doc, np.arange(n)
         self.start, self.size = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
         self.start[at], self.size[at] = w.start, w.end - w.start
@@ -292,7 +297,7 @@ def _send(lay: Layout):
                 _, t = _read(batch, i, lay)
                 some = True
                 _tabulate(t, tables)
-                for base, bucket, key, count in ((0, lay.word_bucket(t.word), t.word, t.count), (lay.n, t.bucket, t.key, t.weight)):
+                for base, bucket, key, count in ((0, lay.word_bucket(t.word), t.word >> np.uint64(64 - WORD_BITS), t.count), (lay.n, t.bucket, t.key, t.weight)):
                     full, a = np.unique(bucket, return_index=True)
                     b = np.append(a, len(bucket))[1:]
                     yield pa.RecordBatch.from_arrays(
@@ -316,23 +321,23 @@ def _tabulate(t: Tokens, tables: np.ndarray) -> None:
     tables[split:] += np.bincount(before, minlength=len(tables) - split)
 
 
-def _paths(keys: np.ndarray, count: np.ndarray, bits: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted distinct keys of so many bits: the sum over keys that share the first ``low``, and for each bit from low
-    to high the sum over those that share the bits before and differ in it, as (high - low, keys)."""
-    other = np.empty((max(0, high - low), len(keys)), dtype=np.int64)
+def _paths(keys: np.ndarray, count: np.ndarray, bits: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted distinct keys of so many bits: the sums over keys that share the first ``low`` bits and the first ``high``,
+    and for each bit from low to high that over those which share the bits before and differ in it, quantised, as (high - low, keys)."""
+    other = np.empty((max(0, high - low), len(keys)), dtype=np.uint8)
     total = np.concatenate(([0], np.cumsum(count)))
-    above = None
+    first = above = None
     for d in range(low, high + 1):
         top = keys >> np.uint64(bits - d) if d else np.zeros(len(keys), dtype=np.uint64)
         edge = np.flatnonzero(np.append(True, top[1:] != top[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
-        stop = np.append(edge[1:], len(keys))
+        stop = np.append(edge, len(keys))[1:]
         here = np.repeat(total[stop] - total[edge], stop - edge)
         if above is None:
             first = here
         else:
-            other[d - low - 1] = above - here
+            other[d - low - 1] = _quantised(above - here)
         above = here
-    return first, other
+    return first, above, other
 
 
 def _answer(lay: Layout):
@@ -353,22 +358,24 @@ def _answer(lay: Layout):
                 continue
             keys = [decode(memoryview(r[1].as_buffer())) for r in rows]
             sent = [np.frombuffer(z.decompress(r[2].as_buffer()), dtype=np.uint32) for r in rows]
+            size = np.cumsum([len(k) for k in keys])[:-1]
             every, inverse, _ = _groups(np.concatenate(keys))
+            del keys
             count = np.bincount(inverse, weights=np.concatenate(sent), minlength=len(every)).astype(np.int64)
-            inverse = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+            inverse = np.split(inverse.astype(np.int32), size)
             if b < lay.n:
-                _, other = _paths(every, count, 64, lay.cell_bits, lay.code_bits)
-                same, _ = _paths(every, count, 64, lay.code_bits, lay.code_bits)
-                table = _quantised(np.concatenate((other, (same - count)[None])))
+                _, same, other = _paths(every, count, WORD_BITS, lay.cell_bits, lay.code_bits)
+                table = np.concatenate((other, _quantised(same - count)[None]))
                 for r, at in zip(rows, inverse, strict=True):
                     yield rows_of([r[0].as_py()], b, [out.compress(count[at].astype(np.uint32).tobytes() + table[:, at].tobytes())])
-                cell, of, _ = _groups(every >> np.uint64(64 - lay.cell_bits))
+                cell, of, _ = _groups(every >> np.uint64(WORD_BITS - lay.cell_bits))
                 sums = np.bincount(of, weights=count, minlength=len(cell)).astype(np.int64)
                 yield rows_of([-1], b, [out.compress(np.concatenate(([(count > 0).sum()], cell.astype(np.int64), sums)).tobytes())])
             else:
                 bits = NAME_BITS + lay.group_bits
-                group, other = _paths(every, count, bits, lay.group_bits, bits)
-                table, known = _quantised(np.concatenate((count[None], other))), group
+                known, _, other = _paths(every, count, bits, lay.group_bits, bits)
+                table = np.concatenate((_quantised(count)[None], other))
+                del other
                 for r, at, own in zip(rows, inverse, sent, strict=True):
                     more = known[at] > own
                     yield rows_of([r[0].as_py()], b, [out.compress(np.packbits(more).tobytes() + table[:, at[more]].tobytes())])
