@@ -12,9 +12,10 @@ A text is a sequence of tokens: its words, A-Z lower-cased, then one end token.
    with counts over the rare words of the corpus.
 
 The predictors' logits are combined by weights chosen by a gate (how often two of the contexts have been seen, and how
-deep the bit is). The weights are learned online, in document order, by every chunk of training texts, and averaged over the
-chunks by how many decisions each saw; a last stage refines the mixed probability by an adaptive map of how often a
-probability of that size was right. The score is the sum of log10 probabilities of all decisions.
+deep the bit is). The weights are learned online: a chunk's texts are coded in order, a batch of tokens at a time, and each
+batch is first coded by the weights so far and then, as far as it is of training texts, learned from. A last stage refines the
+mixed probability by an adaptive map of how often a probability of that size has been right. Counts are of the whole corpus;
+weights and maps (some hundreds of numbers) are a chunk's own. The score is the sum of log10 probabilities of all decisions.
 
 A training text is scored by what the other training texts say: its own occurrences are taken out of its tokens' counts,
 so that texts which were learned from and texts which were not can be compared, and a text with a copy stands out.
@@ -41,10 +42,12 @@ from .text import Pack, _LOWER, mix, word_hashes, words
 
 #: Bytes that the long context reaches back over at least, in whole words.
 REACH = 10
+#: Bits of a word's name that order-0 counts are kept of in one table at least; deeper ones are asked for.
+TOP_BITS = 18
 #: Bits by which words are counted.
 WORD_BITS = 56
 #: Bits of a token's name that a long context tells apart; tokens that share them are one to it.
-NAME_BITS = 16
+NAME_BITS = 14
 #: Classes of documents and bits of names that they predict; words before (hashed) and bits that these predict.
 CLASSES, CELL_BITS = 256, 12
 BEFORE, BEFORE_BITS = 1024, 8
@@ -59,8 +62,8 @@ INPUTS, WORD_GATES, SPELL_GATES = 4, 40, 9
 GATES = WORD_GATES + SPELL_GATES
 #: Mixed logits are taken in steps of 1/32 from -16 to 16; the last stage's map joins a quarter's steps of either sign.
 FINE, BINS = 1024, 64
-#: Tokens worked on at a time.
-STEP = 8192
+#: Tokens worked on at a time: few at first, while weights move fast.
+STEPS = (512, 1024, 2048, 4096, 8192, 16384)
 SLICES = 64
 LN10 = float(np.log(10))
 _NAMED = np.uint64((1 << 64) - (1 << 64 - WORD_BITS))
@@ -120,10 +123,10 @@ class Layout:
 
     @classmethod
     def of(cls, total: int, n: int) -> Layout:
-        cell = max(CELL_BITS, (n - 1).bit_length())
-        # about twice a token in 64 bytes is a new one; two bits more make most names unique
-        code = min(40, max(cell + 1, NAME_BITS, (total // 64).bit_length() + 2))
-        return cls(n, cell, code, min(47, (max(1, total // n)).bit_length() + 6))
+        cell = max(TOP_BITS, (n - 1).bit_length())
+        # there is about a distinct word in 64 bytes; a bit more makes most names unique
+        code = min(40, max(cell + 1, NAME_BITS, (total // 64).bit_length() + 1))
+        return cls(n, cell, code, min(47, max(28, (total // n).bit_length() + 4)))
 
     def word_bucket(self, h: np.ndarray) -> np.ndarray:
         """Words of one cell are in one bucket."""
@@ -392,11 +395,15 @@ class Model:
     kind: list[np.ndarray]
     before: list[np.ndarray]
     classes: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.full((GATES, INPUTS), 0.3))
+    weights: np.ndarray = field(default_factory=lambda: np.array([[0.3, 0.3, 0.2, 1.0]] * WORD_GATES + [[0.2, 0.25, 0.25, 0.35]] * SPELL_GATES))
     curve: np.ndarray = field(default_factory=lambda: np.tile(np.eye(INPUTS) * 30.0, (GATES, 1, 1)))
     seen: np.ndarray = field(default_factory=lambda: np.zeros((GATES, FINE)))
     novel: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES, 4, 2)))
 
+    def fresh(self) -> Model:
+        """A model of the same counts that has learned nothing else."""
+        return Model(self.order0, self.kind, self.before, self.classes)
+
     def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """The logit that each decision goes as it went, from the predictors' logits of that; a predictor may have the first rows alone."""
         w = self.weights.astype(np.float32).T
@@ -419,21 +426,18 @@ class Model:
         mapped = np.concatenate((1 - right[:, ::-1], right), axis=1).repeat(FINE // BINS, axis=1)
         return np.log(np.clip((_LOGISTIC + mapped) / 2, 1e-7, 1)).astype(np.float32)
 
-    def learn(self, x: list[np.ndarray], gate: np.ndarray, live: np.ndarray | None) -> None:
-        """One online Newton step of each gate for a batch of decisions (of the live ones), and the map's counts."""
-        at = self.fine(self.mixed(x, gate)).reshape(-1)
-        order = np.argsort((gate if live is None else np.where(live, gate, np.uint8(GATES))).reshape(-1), kind="stable")
-        if live is not None:
-            order = order[: np.count_nonzero(live)]
-        gate, at = gate.reshape(-1)[order], at[order]
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, at: np.ndarray, some: np.ndarray) -> None:
+        """One online Newton step of each gate for some of a batch's decisions with their mixed logits, and the map's counts."""
+        order = np.argsort(np.where(some, gate, np.uint8(GATES)).reshape(-1), kind="stable")[: np.count_nonzero(some)]
+        gate, at = gate.reshape(-1)[order], at.reshape(-1)[order]
         self.seen += np.bincount(gate * np.int64(FINE) + at, minlength=GATES * FINE).reshape(GATES, FINE)
         full = np.zeros((len(x), len(order)), dtype=np.float32)
         for own, v in zip(full, x, strict=True):
-            if v.size >= live.size if live is not None else True:
-                v.reshape(-1).take(order, out=own)
+            if v.size == some.size:
+                own[:] = v.reshape(-1).take(order)
             else:
-                some = order < v.size
-                own[some] = v.reshape(-1)[order[some]]
+                first = order < v.size
+                own[first] = v.reshape(-1).take(order[first])
         push, slope = full * _MISS.take(at), full * _SLOPE.take(at)
         edge = np.searchsorted(gate, np.arange(GATES + 1))
         n, step = len(x), np.zeros((GATES, INPUTS))
@@ -492,7 +496,6 @@ class Coder:
         self.alone = np.append(t.weight, 0).astype(np.float32)
         self.below = np.ascontiguousarray(self.below.T)
         self.context_own = t.context_own()
-        self.logs = model.logs()
         self.known = self.count[t.of] > t.own
 
     def _pair(self, key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -544,16 +547,12 @@ class Coder:
         gate[NAME_BITS:] += trust[-1] * np.uint8(8)
         return x, gate, other > 0, left
 
-    def batches(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
-        """Tokens in order, a step at a time, those whose long context nobody else has apart; and whether it counts."""
-        t = self.t
-        key = t.context[tokens]
-        silent = (self.row[key] == len(self.table) - 1) & (self.alone[key] <= self.context_own[tokens])
-        for a in range(0, len(tokens), 2 * STEP):
-            own, quiet = tokens[a : a + 2 * STEP], silent[a : a + 2 * STEP]
-            for part, context in ((own[~quiet], True), (own[quiet], False)):
-                if len(part):
-                    yield part, context
+    def batches(self, size: int) -> Iterator[tuple[int, int]]:
+        a = i = 0
+        while a < size:
+            b = min(size, a + STEPS[min(i, len(STEPS) - 1)])
+            yield a, b
+            a, i = b, i + 1
 
     def spell_decisions(self, rare: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Of rare words (by their number among them), as (8, bytes): the predictors' logits and the gate; and each byte's word."""
@@ -583,41 +582,41 @@ class Coder:
         number[self.t.rare] = np.arange(len(self.t.rare))
         return np.unique(number[self.t.of[tokens]], return_inverse=True)
 
-    def learn(self, m: Model) -> None:
-        t = self.t
-        trained = t.learns[t.doc]
-        flags = self.flags()
-        cell = (t.kind[t.doc] * 4 + flags)[trained] * 2 + ~self.known[trained]
-        m.novel += np.bincount(cell, minlength=m.novel.size).reshape(m.novel.shape)
-        for at, context in self.batches(np.flatnonzero(trained & self.known)):
-            x, gate, live, _ = self.word_decisions(at, context)
-            m.learn(x, gate, live)
-        rare, _ = self.new_words(np.flatnonzero(trained & ~self.known & (t.h != _END)))
-        for a in range(0, len(rare), STEP):
-            x, gate, _ = self.spell_decisions(rare[a : a + STEP])
-            m.learn(x, gate, None)
-
-    def _log(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        return self.logs.reshape(-1).take(gate * np.int32(FINE) + self.model.fine(self.model.mixed(x, gate)))
+    def _coded(self, x: list[np.ndarray], gate: np.ndarray, live: np.ndarray, learned: np.ndarray) -> np.ndarray:
+        """Logarithms of the probabilities of a batch of columns, by the model so far, which then learns from some of them."""
+        m = self.model
+        at = m.fine(m.mixed(x, gate))
+        out = (m.logs().reshape(-1).take(gate * np.int32(FINE) + at) * live).sum(axis=0)
+        m.learn(x, gate, at, live & learned)
+        return out
 
     def log10(self) -> np.ndarray:
-        """log10 probability of each token, the class not counted."""
+        """log10 probability of each token, the class not counted; the model learns on the way."""
         t, m = self.t, self.model
+        trained, flags = t.learns[t.doc], self.flags()
+        cell = (t.kind[t.doc] * 4 + flags)[trained] * 2 + ~self.known[trained]
+        m.novel = np.bincount(cell, minlength=m.novel.size).reshape(m.novel.shape)
         every = m.novel.sum(axis=0)
         share = (every[:, 1] + 0.5) / (every.sum(axis=1) + 1)
         new = (m.novel[:, :, 1] + 2 * share) / (m.novel.sum(axis=2) + 2)
-        p = new[t.kind[t.doc], self.flags()]
+        p = new[t.kind[t.doc], flags]
         out = np.log(np.where(self.known, 1 - p, p))
-        for at, context in self.batches(np.flatnonzero(self.known)):
-            x, gate, live, left = self.word_decisions(at, context)
-            out[at] += left + (self._log(x, gate) * live).sum(axis=0)
+        tokens = np.flatnonzero(self.known)
+        key = t.context[tokens]
+        silent = (self.row[key] == len(self.table) - 1) & (self.alone[key] <= self.context_own[tokens])
+        for a, b in self.batches(len(tokens)):
+            own, quiet = tokens[a:b], silent[a:b]
+            for at, context in ((own[~quiet], True), (own[quiet], False)):  # nobody else has the quiet ones' long context
+                if len(at):
+                    x, gate, live, left = self.word_decisions(at, context)
+                    out[at] += left + self._coded(x, gate, live, trained[at])
         fresh = np.flatnonzero(~self.known & (t.h != _END))
         rare, of = self.new_words(fresh)
         cost = np.zeros(len(rare))
-        for a in range(0, len(rare), STEP):
-            x, gate, place = self.spell_decisions(rare[a : a + STEP])
-            own = len(rare[a : a + STEP])
-            cost[a : a + own] = np.bincount(place, weights=self._log(x, gate).sum(axis=0), minlength=own)
+        for a, b in self.batches(len(rare)):
+            x, gate, place = self.spell_decisions(rare[a:b])
+            logs = self._coded(x, gate, np.ones(gate.shape, dtype=bool), t.rare_learned[rare[a:b]][place])
+            cost[a:b] = np.bincount(place, weights=logs, minlength=b - a)
         out[fresh] += cost[of]
         return out / LN10
 
@@ -652,32 +651,6 @@ def _model(side: list, lay: Layout) -> tuple[Model, int, int]:
     return model, int(cells.sum()), distinct
 
 
-def _train(spark: SparkSession, both: DataFrame, lay: Layout, model: Model) -> Model:
-    """Weights, map and novelty from one pass over all training texts: every chunk starts anew and learns online."""
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(GATES * (INPUTS + FINE) + CLASSES * 8)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                base = shared.value
-                m = Model(base.order0, base.kind, base.before, base.classes)
-                _, t = _read(batch, i, lay)
-                Coder(t, batch["answers"][i].as_py(), lay, m).learn(m)
-                total += np.concatenate([v.reshape(-1) for v in (m.weights * m.seen.sum(axis=1)[:, None], m.seen, m.novel)])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
-
-    sums = both.mapInArrow(run, "sums array<double>").select(F.posexplode("sums")).where("col <> 0").groupBy("pos").agg(F.sum("col").alias("v"))
-    got = np.zeros(GATES * (INPUTS + FINE) + CLASSES * 8)
-    for r in sums.collect():  # of a fixed number of sums
-        got[r.pos] = r.v
-    weights, seen, novel = np.split(got, np.cumsum([GATES * INPUTS, GATES * FINE]))
-    model.seen, model.novel = seen.reshape(GATES, FINE), novel.reshape(CLASSES, 4, 2)
-    many = model.seen.sum(axis=1)[:, None]
-    model.weights = np.where(many > 0, weights.reshape(GATES, INPUTS) / np.maximum(many, 1), model.weights)
-    return model
-
-
 _SCORES = "doc_id long, n_tokens long, n_known long, coded long, base double, score double"
 
 
@@ -687,7 +660,7 @@ def _scored(spark: SparkSession, lay: Layout, model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                m = shared.value
+                m = shared.value.fresh()
                 ids, t = _read(batch, i, lay)
                 c = Coder(t, batch["answers"][i].as_py(), lay, m)
                 count = c.count[t.of]
@@ -701,7 +674,7 @@ def _scored(spark: SparkSession, lay: Layout, model: Model):
 
 
 def fitted(docs: DataFrame, learns: Column) -> tuple[DataFrame, Layout, Model, int, int]:
-    """The chunks with what the buckets answered them, the model, and the training tokens and distinct words."""
+    """The chunks with what the buckets answered them, the model's fixed tables, and the training tokens and distinct words."""
     spark = docs.sparkSession
     chunks = chunked(docs, flag=learns)
     n = buckets(chunks)
@@ -712,9 +685,7 @@ def fitted(docs: DataFrame, learns: Column) -> tuple[DataFrame, Layout, Model, i
     answers = materialize_by(answers.groupBy(key).agg(F.collect_list(F.struct("bucket", "blob")).alias("answers")), "counts", "chunk")
     side = answers.where("chunk < 0").select(F.inline("answers")).collect()  # two numbers a cell and fixed tables
     model, total, distinct = _model(side, lay)
-    both = chunks.join(answers, "chunk")
-    model = _train(spark, both, lay, model)
-    return both, lay, model, total, distinct
+    return chunks.join(answers, "chunk"), lay, model, total, distinct
 
 
 def scores(docs: DataFrame, learns: Column) -> DataFrame:

@@ -223,7 +223,7 @@ def lm_coders(both, lay, model):
     for batch in both.toArrow().to_batches():
         for i in range(batch.num_rows):
             ids, t = mixing._read(batch, i, lay)
-            yield ids, t, mixing.Coder(t, batch["answers"][i].as_py(), lay, model)
+            yield ids, t, mixing.Coder(t, batch["answers"][i].as_py(), lay, model.fresh())
 
 
 def test_lm_counts_are_exact(spark, texts):
@@ -271,19 +271,15 @@ def test_lm_probabilities_sum_to_one(spark):
     vocabulary = ["".join(r.choice("abcde") for _ in range(r.randint(5, 7))) for _ in range(300)]
     texts = ["of of of " + " ".join(r.choice(vocabulary[: r.choice((20, 300))]) for _ in range(80)) for _ in range(200)]
     asked = [texts[0], *(f"{texts[0]} {w}" for w in sorted({w for t in texts for w in t.split()}))]
-    d = spark.createDataFrame(list(enumerate(texts + asked)), "doc_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts + asked)), "doc_id long, text string").coalesce(1)
     both, lay, model, *_ = mixing.fitted(d, F.col("doc_id") < len(texts))
-    total, kinds = 0.0, set()
+    total = 0.0
     for ids, t, c in lm_coders(both, lay, model):
         p = c.log10()
         for k, i in enumerate(ids):
             if i >= len(texts):  # of the text itself the end, of the others the word before the end
                 total += 10 ** p[t.first[k + 1] - (1 if i == len(texts) else 2)]
-                kinds.add(int(t.kind[k]))
-    (kind,) = kinds
-    new, every = model.novel[kind, 0, 1], model.novel.sum(axis=0)[0]
-    share = (every[1] + 0.5) / (every.sum() + 1)
-    assert total == pytest.approx(1 - (new + 2 * share) / (model.novel[kind, 0].sum() + 2), rel=0.02)
+    assert total == pytest.approx(1, rel=0.02)  # hardly any token of these texts is new
 
 
 def test_lm_learns_from_order(spark):
