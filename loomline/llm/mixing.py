@@ -8,21 +8,22 @@ A text is a sequence of tokens: its words, A-Z lower-cased, then one end token.
    four predictors with counts of how the training tokens went on from here: none but the bits so far; the document's
    class (a hash of its most frequent short word; coded first, its cost is part of the score); the word before; and
    the whole words before that make up ``REACH`` bytes or more.
-3. A new token is spelled: each bit of its bytes and of a closing byte is predicted by its last 1, 2, 3 and 4 bytes,
-   with counts over the rare words of the corpus.
+3. A new token is spelled: each bit of its bytes and of a closing byte is predicted by its last byte, its last two and
+   (hashed) its last three, with counts over the rare words of all chunks.
 
 The predictors' logits are combined by weights chosen by a gate (how often two of the contexts have been seen, and how
 deep the bit is). The weights are learned online: a chunk's texts are coded in order, a batch of tokens at a time, and each
 batch is first coded by the weights so far and then, as far as it is of training texts, learned from. A last stage refines the
 mixed probability by an adaptive map of how often a probability of that size has been right. Counts are of the whole corpus;
-weights and maps (some hundreds of numbers) are a chunk's own. The score is the sum of log10 probabilities of all decisions.
+weights and maps (some hundreds of numbers) are a chunk's own, and move by every fourth of its tokens. The score is the sum of log10 probabilities of all decisions.
 
 A training text is scored by what the other training texts say: its own occurrences are taken out of its tokens' counts,
 so that texts which were learned from and texts which were not can be compared, and a text with a copy stands out.
 
-Counts of words, of long contexts and of spellings are exact but for hash collisions, kept by hash in buckets that
-answer the chunks which ask, and grow with the corpus; nothing is capped. The counts of classes and of words before are
-tables of a fixed size (CLASSES * 2^CELL_BITS and BEFORE * 2^BEFORE_BITS), as they are of hashed contexts and few bits.
+Counts of words and of long contexts are exact but for hash collisions, kept by hash in buckets that answer the chunks
+which ask, and grow with the corpus; nothing is capped. The counts of classes, of words before and of spellings are in
+tables whose size has a bound (CLASSES * 2^CELL_BITS, BEFORE * 2^BEFORE_BITS, and 2^24 pairs of a spelling context and a
+byte for each order, of which texts have some hundred thousand), as they are of hashed contexts and few bits.
 Counts above 15 are sent in steps of an eighth of a binary order, so probabilities are right to a few hundredths of a bit.
 """
 
@@ -53,8 +54,8 @@ CLASSES, CELL_BITS = 256, 12
 BEFORE, BEFORE_BITS = 1024, 8
 #: Letters of the longest word that can name a class.
 SHORT = 4
-#: Orders of the spelling contexts.
-ORDERS = (1, 2, 3, 4)
+#: Orders of the spelling contexts; bytes of the longest are hashed to 16 bits.
+ORDERS = (1, 2, 3)
 CLOSING = 0x20
 #: What is added to both counts of a bit.
 PRIOR = np.float32(0.05)
@@ -64,6 +65,8 @@ GATES = WORD_GATES + SPELL_GATES
 FINE, BINS = 1024, 64
 #: Tokens worked on at a time: few at first, while weights move fast.
 STEPS = (512, 1024, 2048, 4096, 8192, 16384)
+#: Weights move by one in so many tokens.
+RATE = 4
 SLICES = 64
 LN10 = float(np.log(10))
 _NAMED = np.uint64((1 << 64) - (1 << 64 - WORD_BITS))
@@ -81,6 +84,12 @@ def _quantised(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def mix_light(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, the inverse, and how many entries each has."""
     order = np.argsort(key)
@@ -180,39 +189,37 @@ class Tokens:
         before[1:] = self.h[:-1]
         before[self.first[:-1]] = np.uint64(0)
         self.before = (mix(before) >> np.uint64(54)).astype(np.int64)
-        self._join()
 
-    def _contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The tokens that have a long context (those near the start of a text have none), and their pairs' buckets and keys."""
+    def find_contexts(self) -> None:
+        """The distinct pairs of a long context and a token's name, by bucket and key, with their occurrences in training
+        texts; and where each token's is (-1 near the start of a text, where there is no context yet)."""
         reach = np.concatenate(([0], np.cumsum(self.size + 1)))
         j = np.searchsorted(reach, reach[:-1] - REACH, side="right") - 1
         has = np.flatnonzero(j >= self.first[self.doc])
-        return has, *self.lay.context_key(_ranges(self.h, j[has], has), self.h[has] >> np.uint64(64 - NAME_BITS))
-
-    def _spellings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct pairs of a spelling context and a byte of the rare words (those that may be new somewhere: in one
-        training text of the chunk at most): their buckets, keys and weights."""
-        rare = np.flatnonzero((self.docs <= 1) & (self.word != _END))
-        self.rare, self.rare_learned = rare, self.docs[rare] == 1
-        self.rare_size = self.size[self.where[rare]] + 1
-        raw = self._raw(np.arange(len(rare)))
-        learned = np.repeat(self.rare_learned, self.rare_size)
-        self.raw, buckets_, keys, weights = [], [], [], []
-        for order, v in zip(ORDERS, raw, strict=True):
-            v.sort()
-            v = v[np.append(True, v[1:] != v[:-1])] if len(v) else v
-            own = np.sort(self._raw_one[order][learned])
-            self.raw.append(v)
-            group = mix((v >> np.uint64(8)) + np.uint64(order << 56))
-            bucket, key = self.lay.context_key(mix(group), (v & np.uint64(255)) << np.uint64(NAME_BITS - 8))
-            buckets_.append(bucket)
-            keys.append(key)
-            weights.append(np.searchsorted(own, v, side="right") - np.searchsorted(own, v))
-        del self._raw_one
-        return tuple(np.concatenate(v) for v in (buckets_, keys, weights))
-
-    def _raw(self, rare: np.ndarray) -> list[np.ndarray]:
-        """For each order and each byte of rare words: the bytes before it in the word (zeros before its start), then the byte."""
+        bucket, key = self.lay.context_key(_ranges(self.h, j[has], has), self.h[has] >> np.uint64(64 - NAME_BITS))
+        bits = np.uint64(NAME_BITS + self.lay.group_bits)
+        if int(bits) + self.lay.n.bit_length() <= 64:
+            both, inverse, _ = _groups(bucket.astype(np.uint64) << bits | key)
+            self.bucket, self.key = (both >> bits).astype(np.int64), both & ((np.uint64(1) << bits) - np.uint64(1))
+        else:
+            order = np.lexsort((key, bucket))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+            inverse = np.empty(len(order), dtype=np.int64)
+            inverse[order] = np.cumsum(new) - 1
+            self.bucket, self.key = bucket[order][new], key[order][new]
+        self.weight = np.bincount(inverse[self.learns[self.doc[has]]], minlength=len(self.key))
+        self.context = np.full(len(self.h), -1, dtype=np.int64)
+        self.context[has] = inverse
+
+    def find_rare(self) -> None:
+        """The rare words: those that may be new somewhere, in one training text of the chunk at most."""
+        self.rare = np.flatnonzero((self.docs <= 1) & (self.word != _END))
+        self.rare_learned = self.docs[self.rare] == 1
+        self.rare_size = self.size[self.where[self.rare]] + 1
+
+    def spelled(self, rare: np.ndarray) -> list[np.ndarray]:
+        """For each order and each byte of rare words: the spelling context (in at most 16 bits, zeros before a word's start) and the byte."""
         size = self.rare_size[rare]
         n = int(size.sum())
         edge = np.cumsum(size)
@@ -222,55 +229,16 @@ class Tokens:
         take = np.repeat(self.start[self.where[self.rare[rare]]] - (edge - size), size) + np.arange(n)
         byte[inner] = _LOWER[self.bytes[take[inner]]]
         place = np.arange(n) - np.repeat(edge - size, size)
-        v, out = byte.astype(np.uint64), []
-        for back in range(1, max(ORDERS) + 1):
-            before = np.zeros(n, dtype=np.uint64)
+        context, out = np.zeros(n, dtype=np.int64), []
+        for back in ORDERS:
+            before = np.zeros(n, dtype=np.int64)
             before[back:] = byte[:-back] if back < n else 0
             before[place < back] = 0
-            v = v + (before << np.uint64(8 * back))
-            if back in ORDERS:
-                out.append(v)
-        self._raw_one = dict(zip(ORDERS, (v.copy() for v in out), strict=True))
+            context = context | before << 8 * (back - 1)
+            short = context if back < 3 else (mix_light(context.astype(np.uint64)) >> np.uint64(48)).astype(np.int64)
+            out.append(short << 8 | byte)
         return out
 
-    def _join(self) -> None:
-        """All distinct pairs in the order of their buckets and keys; where each token's and each spelling's is."""
-        has, bucket, key = self._contexts()
-        own = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        bits = np.uint64(NAME_BITS + self.lay.group_bits)
-        packed = int(bits) + self.lay.n.bit_length() <= 64
-        if packed:
-            both, inverse, _ = _groups(bucket.astype(np.uint64) << bits | key)
-            own = (both >> bits).astype(np.int64), both & ((np.uint64(1) << bits) - np.uint64(1))
-        elif len(key):
-            order = np.lexsort((key, bucket))
-            new = np.append(True, (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))
-            inverse = np.empty(len(order), dtype=np.int64)
-            inverse[order] = np.cumsum(new) - 1
-            own = bucket[order][new], key[order][new]
-        else:
-            inverse = np.zeros(0, dtype=np.int64)
-        weight = np.bincount(inverse[self.learns[self.doc[has]]], minlength=len(own[0]))
-        b, k, w = self._spellings()
-        bucket, key, weight = np.append(own[0], b), np.append(own[1], k), np.append(weight, w)
-        order = np.argsort(bucket.astype(np.uint64) << bits | key) if packed else np.lexsort((key, bucket))
-        # pairs that collide (a few of 2^64) stand side by side and are one
-        bucket, key = bucket[order], key[order]
-        new = np.append(True, (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=bool)
-        at = np.empty(len(order), dtype=np.int64)
-        at[order] = np.cumsum(new) - 1
-        self.bucket, self.key = bucket[new], key[new]
-        self.weight = np.bincount(at, weights=weight, minlength=len(self.key)).astype(np.int64)
-        self.context = np.full(len(self.h), -1, dtype=np.int64)
-        self.context[has] = at[inverse]
-        self.raw_at = np.split(at[len(own[0]) :], np.cumsum([len(v) for v in self.raw])[:-1])
-
-    def spelled(self, rare: np.ndarray) -> list[np.ndarray]:
-        """For each order the pair of each byte of rare words."""
-        out = self._raw(rare)
-        del self._raw_one
-        return [at[np.searchsorted(known, v)] for at, known, v in zip(self.raw_at, self.raw, out, strict=True)]
-
     def context_own(self) -> np.ndarray:
         """How often each token's context goes on with its name in its own text, if that was learned from."""
         out = np.zeros(len(self.h), dtype=np.int64)
@@ -288,28 +256,55 @@ def _read(batch: pa.RecordBatch, i: int, lay: Layout) -> tuple[np.ndarray, Token
 SENT = "bucket int, chunk long, keys binary, payload binary"
 
 
-def _send(lay: Layout):
-    """Each chunk's words for buckets 0 to n, its context pairs for n to 2 n; each task's table slices for the rest."""
+def _rows(chunk: int, bucket: np.ndarray, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """A chunk's sorted keys and their counts, a row a bucket."""
+    z = zstandard.ZstdCompressor(level=1)
+    full, a = np.unique(bucket, return_index=True)
+    spans = list(zip(a, np.append(a, len(bucket))[1:], strict=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk, dtype=np.int64)), pa.array([encode(key[x:y]) for x, y in spans], pa.binary()), pa.array([z.compress(count[x:y].astype(np.uint32).tobytes()) for x, y in spans], pa.binary())],
+        names=["bucket", "chunk", "keys", "payload"],
+    )
+
+
+def _send_words(lay: Layout):
+    """Each chunk's words for buckets 0 to n, and each task's tables: slices for the next SLICES buckets, then a row an order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
-        tables = np.zeros(CLASSES * ((1 << CELL_BITS) + 1) + BEFORE * (1 << BEFORE_BITS), dtype=np.int64)
-        some = False
+        tables, some = np.zeros(CLASSES * ((1 << CELL_BITS) + 1) + BEFORE * (1 << BEFORE_BITS), dtype=np.int64), False
+        spelled = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * len(ORDERS)
         for batch in batches:
             for i in range(batch.num_rows):
-                _, t = _read(batch, i, lay)
-                some = True
+                some, (_, t) = True, _read(batch, i, lay)
                 _tabulate(t, tables)
-                for base, bucket, key, count in ((0, lay.word_bucket(t.word), t.word >> np.uint64(64 - WORD_BITS), t.count), (lay.n, t.bucket, t.key, t.weight)):
-                    full, a = np.unique(bucket, return_index=True)
-                    b = np.append(a, len(bucket))[1:]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((full + base).astype(np.int32)), pa.array(np.full(len(full), batch["chunk"][i].as_py(), dtype=np.int64)), pa.array([encode(key[x:y]) for x, y in zip(a, b, strict=True)], pa.binary()), pa.array([z.compress(count[x:y].astype(np.uint32).tobytes()) for x, y in zip(a, b, strict=True)], pa.binary())],
-                        names=["bucket", "chunk", "keys", "payload"],
-                    )
+                t.find_rare()
+                for k, v in enumerate(t.spelled(np.flatnonzero(t.rare_learned))):
+                    spelled[k] = _added(spelled[k], np.unique(v, return_counts=True))
+                yield _rows(batch["chunk"][i].as_py(), lay.word_bucket(t.word), t.word >> np.uint64(64 - WORD_BITS), t.count)
         if some:
-            parts = [z.compress(v.tobytes()) for v in np.array_split(tables, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32) + 2 * lay.n), pa.array(np.full(SLICES, -1)), pa.array([b""] * SLICES, pa.binary()), pa.array(parts, pa.binary())], names=["bucket", "chunk", "keys", "payload"])
+            parts = [np.concatenate((np.arange(len(v)), v)) for v in np.array_split(tables, SLICES)] + [np.concatenate(v) for v in spelled]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32) + lay.n), pa.array(np.full(len(parts), -1)), pa.array([b""] * len(parts), pa.binary()), pa.array([z.compress(v.tobytes()) for v in parts], pa.binary())], names=["bucket", "chunk", "keys", "payload"])
+
+    return run
+
+
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of two sparse tables of places and counts."""
+    place, inverse = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+    return place, np.bincount(inverse, weights=np.concatenate((a[1], b[1])), minlength=len(place)).astype(np.int64)
+
+
+def _send_contexts(lay: Layout):
+    """Each chunk's context pairs for buckets n to 2 n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, t = _read(batch, i, lay)
+                t.find_contexts()
+                if len(t.key):
+                    yield _rows(batch["chunk"][i].as_py(), t.bucket, t.key, t.weight)
 
     return run
 
@@ -343,45 +338,57 @@ def _paths(keys: np.ndarray, count: np.ndarray, bits: int, low: int, high: int)
     return first, above, other
 
 
-def _answer(lay: Layout):
-    """What buckets know of each chunk's keys, in their order.
+def _answers(chunk: list[int], bucket: int, blob: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([bucket] * len(chunk), pa.int32()), pa.array(blob, pa.binary())], names=["chunk", "bucket", "blob"])
 
-    Words: the training count, the others of each bit below the cell, and the others that share all of the code. Context
-    pairs: a bit each, whether anything is known beyond what the chunk sent; of those, the count and the others of each
-    bit. Tables: sums. A bucket's own totals (tokens, distinct words, tokens by cell) go to chunk -1.
-    """
+
+def _merged(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of a bucket's rows the distinct keys and their counts; and of each row where its keys are, and its own counts."""
+    z = zstandard.ZstdDecompressor()
+    keys = [decode(memoryview(r[1].as_buffer())) for r in rows]
+    sent = [np.frombuffer(z.decompress(r[2].as_buffer()), dtype=np.uint32) for r in rows]
+    every, inverse, _ = _groups(np.concatenate(keys))
+    count = np.bincount(inverse, weights=np.concatenate(sent), minlength=len(every)).astype(np.int64)
+    return every, count, np.split(inverse.astype(np.int32), np.cumsum([len(k) for k in keys])[:-1]), sent
+
+
+def _answer_words(lay: Layout):
+    """For each chunk's words the training count, the others of each bit below the cell, and the others that share all of the
+    code. Sums of tables, and a bucket's own totals (distinct words, tokens by cell), go to chunk -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, out = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        rows_of = lambda chunk, bucket, blob: pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([bucket] * len(chunk), pa.int32()), pa.array(blob, pa.binary())], names=["chunk", "bucket", "blob"])
         for b, rows in by_bucket(batches):
-            if b >= 2 * lay.n:
-                total = sum(np.frombuffer(z.decompress(r[2].as_buffer()), dtype=np.int64) for r in rows)
-                yield rows_of([-1], b, [out.compress(total.tobytes())])
+            if b >= lay.n:
+                total = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+                for r in rows:
+                    total = _added(total, np.split(np.frombuffer(z.decompress(r[2].as_buffer()), dtype=np.int64), 2))
+                yield _answers([-1], b, [out.compress(np.concatenate(total).tobytes())])
                 continue
-            keys = [decode(memoryview(r[1].as_buffer())) for r in rows]
-            sent = [np.frombuffer(z.decompress(r[2].as_buffer()), dtype=np.uint32) for r in rows]
-            size = np.cumsum([len(k) for k in keys])[:-1]
-            every, inverse, _ = _groups(np.concatenate(keys))
-            del keys
-            count = np.bincount(inverse, weights=np.concatenate(sent), minlength=len(every)).astype(np.int64)
-            inverse = np.split(inverse.astype(np.int32), size)
-            if b < lay.n:
-                _, same, other = _paths(every, count, WORD_BITS, lay.cell_bits, lay.code_bits)
-                table = np.concatenate((other, _quantised(same - count)[None]))
-                for r, at in zip(rows, inverse, strict=True):
-                    yield rows_of([r[0].as_py()], b, [out.compress(count[at].astype(np.uint32).tobytes() + table[:, at].tobytes())])
-                cell, of, _ = _groups(every >> np.uint64(WORD_BITS - lay.cell_bits))
-                sums = np.bincount(of, weights=count, minlength=len(cell)).astype(np.int64)
-                yield rows_of([-1], b, [out.compress(np.concatenate(([(count > 0).sum()], cell.astype(np.int64), sums)).tobytes())])
-            else:
-                bits = NAME_BITS + lay.group_bits
-                known, _, other = _paths(every, count, bits, lay.group_bits, bits)
-                table = np.concatenate((_quantised(count)[None], other))
-                del other
-                for r, at, own in zip(rows, inverse, sent, strict=True):
-                    more = known[at] > own
-                    yield rows_of([r[0].as_py()], b, [out.compress(np.packbits(more).tobytes() + table[:, at[more]].tobytes())])
+            every, count, places, _ = _merged(rows)
+            _, same, other = _paths(every, count, WORD_BITS, lay.cell_bits, lay.code_bits)
+            table = np.concatenate((other, _quantised(same - count)[None]))
+            for r, at in zip(rows, places, strict=True):
+                yield _answers([r[0].as_py()], b, [out.compress(count[at].astype(np.uint32).tobytes() + table[:, at].tobytes())])
+            cell, of, _ = _groups(every >> np.uint64(WORD_BITS - lay.cell_bits))
+            sums = np.bincount(of, weights=count, minlength=len(cell)).astype(np.int64)
+            yield _answers([-1], b, [out.compress(np.concatenate(([(count > 0).sum()], cell.astype(np.int64), sums)).tobytes())])
+
+    return run
+
+
+def _answer_contexts(lay: Layout):
+    """For each chunk's pairs a bit each, whether anything is known beyond what the chunk sent; of those, the count and the others of each bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = zstandard.ZstdCompressor(level=3)
+        for b, rows in by_bucket(batches):
+            every, count, places, sent = _merged(rows)
+            known, _, other = _paths(every, count, NAME_BITS + lay.group_bits, lay.group_bits, NAME_BITS + lay.group_bits)
+            table = np.concatenate((_quantised(count)[None], other))
+            for r, at, own in zip(rows, places, sent, strict=True):
+                more = known[at] > own
+                yield _answers([r[0].as_py()], b, [out.compress(np.packbits(more).tobytes() + table[:, at[more]].tobytes())])
 
     return run
 
@@ -389,20 +396,21 @@ def _answer(lay: Layout):
 @dataclass
 class Model:
     """order0, kind, before: pyramids of counts at each bit for all tokens, by class, and by the word before; classes: training
-    texts of each; weights: a row for each gate; seen: decisions by gate and mixed logit; novel: by class and two flags."""
+    texts of each; spelled: of each order the places (context and byte) and counts; weights: a row for each gate; seen: decisions by gate and mixed logit; novel: by class and two flags."""
 
     order0: list[np.ndarray]
     kind: list[np.ndarray]
     before: list[np.ndarray]
     classes: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.array([[0.3, 0.3, 0.2, 1.0]] * WORD_GATES + [[0.2, 0.25, 0.25, 0.35]] * SPELL_GATES))
+    spelled: list[tuple[np.ndarray, np.ndarray]]
+    weights: np.ndarray = field(default_factory=lambda: np.array([[0.3, 0.3, 0.2, 1.0]] * WORD_GATES + [[0.2, 0.25, 0.5, 0.0]] * SPELL_GATES))
     curve: np.ndarray = field(default_factory=lambda: np.tile(np.eye(INPUTS) * 30.0, (GATES, 1, 1)))
     seen: np.ndarray = field(default_factory=lambda: np.zeros((GATES, FINE)))
     novel: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES, 4, 2)))
 
     def fresh(self) -> Model:
         """A model of the same counts that has learned nothing else."""
-        return Model(self.order0, self.kind, self.before, self.classes)
+        return Model(self.order0, self.kind, self.before, self.classes, self.spelled)
 
     def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """The logit that each decision goes as it went, from the predictors' logits of that; a predictor may have the first rows alone."""
@@ -435,7 +443,7 @@ class Model:
         for own, v in zip(full, x, strict=True):
             if v.size == some.size:
                 own[:] = v.reshape(-1).take(order)
-            else:
+            else:  # a predictor of the first bits alone
                 first = order < v.size
                 own[first] = v.reshape(-1).take(order[first])
         push, slope = full * _MISS.take(at), full * _SLOPE.take(at)
@@ -469,10 +477,12 @@ def _down(table: list[np.ndarray], row: np.ndarray | None, cell: np.ndarray, bit
 class Coder:
     """The decisions of a chunk's tokens, with the counts of their contexts."""
 
-    def __init__(self, t: Tokens, answers: list[dict], lay: Layout, model: Model) -> None:
+    def __init__(self, t: Tokens, words_: list[dict], contexts: list[dict] | None, lay: Layout, model: Model) -> None:
         self.t, self.lay, self.model = t, lay, model
+        t.find_contexts()
+        t.find_rare()
         z = zstandard.ZstdDecompressor()
-        got = {a["bucket"]: z.decompress(a["blob"]) for a in answers}
+        got = {a["bucket"]: z.decompress(a["blob"]) for a in words_}
         levels = lay.code_bits - lay.cell_bits + 1
         self.count, self.below = np.zeros(len(t.word), dtype=np.int64), np.zeros((levels, len(t.word)), dtype=np.uint8)
         edge = np.searchsorted(lay.word_bucket(t.word), np.arange(lay.n + 1))
@@ -482,14 +492,15 @@ class Coder:
                 self.count[x:y] = np.frombuffer(got[b], dtype=np.uint32, count=y - x)
                 self.below[:, x:y] = np.frombuffer(got[b], dtype=np.uint8, offset=4 * (y - x)).reshape(levels, y - x)
         # of pairs of which nothing more is known the chunk's own count is all there is
+        got = {a["bucket"]: z.decompress(a["blob"]) for a in contexts or ()}
         known, tables = np.zeros(len(t.key), dtype=bool), []
         edge = np.searchsorted(t.bucket, np.arange(lay.n + 1))
         for b in range(lay.n):
             x, y = int(edge[b]), int(edge[b + 1])
             if y > x:
                 size = (y - x + 7) // 8
-                known[x:y] = np.unpackbits(np.frombuffer(got[lay.n + b], dtype=np.uint8, count=size), count=y - x).astype(bool)
-                tables.append(np.frombuffer(got[lay.n + b], dtype=np.uint8, offset=size).reshape(NAME_BITS + 1, -1))
+                known[x:y] = np.unpackbits(np.frombuffer(got[b], dtype=np.uint8, count=size), count=y - x).astype(bool)
+                tables.append(np.frombuffer(got[b], dtype=np.uint8, offset=size).reshape(NAME_BITS + 1, -1))
         # the last row, of zeros, is that of pairs which nobody else has
         self.table = np.ascontiguousarray(np.concatenate([*tables, np.zeros((NAME_BITS + 1, 1), dtype=np.uint8)], axis=1).T)
         self.row = np.append(np.where(known, np.cumsum(known) - 1, len(self.table) - 1), len(self.table) - 1)
@@ -560,12 +571,16 @@ class Coder:
         place = np.repeat(np.arange(len(rare)), t.rare_size[rare])
         own = t.rare_learned[rare][place].astype(np.float32)
         x, seen = [], []
-        for keys in t.spelled(rare):
-            s, other = self._pair(keys, own)
-            x.append(_stretch(s[1:9], other[:8]))
-            seen.append(s[:8])
+        for at, (known, total) in zip(t.spelled(rare), self.model.spelled, strict=True):
+            # sums over the bytes that share a context and the bits so far, by their place in the sorted table
+            bound = np.empty((9, len(at)), dtype=np.float32)
+            for d in range(9):
+                low = at >> (8 - d) << (8 - d)
+                bound[d] = total[np.searchsorted(known, low + (1 << 8 - d))] - total[np.searchsorted(known, low)]
+            x.append(_stretch(np.maximum(bound[1:] - own, 0), bound[:-1] - bound[1:]))
+            seen.append(bound[:-1] - own)
         trust = lambda s, a, b: (s > a).astype(np.uint8) + (s > b)
-        return x, (WORD_GATES + trust(seen[3], 0.5, 3.5) * 3 + trust(seen[2], 0.5, 7.5)).astype(np.uint8), place
+        return x, (WORD_GATES + trust(seen[2], 3.5, 31.5) * 3 + trust(seen[1], 7.5, 127.5)).astype(np.uint8), place
 
     def flags(self) -> np.ndarray:
         """Novelty of the two tokens before, 0 to 3; none before counts as known."""
@@ -587,7 +602,7 @@ class Coder:
         m = self.model
         at = m.fine(m.mixed(x, gate))
         out = (m.logs().reshape(-1).take(gate * np.int32(FINE) + at) * live).sum(axis=0)
-        m.learn(x, gate, at, live & learned)
+        m.learn([v[:, ::RATE] for v in x], gate[:, ::RATE], at[:, ::RATE], (live & learned)[:, ::RATE])
         return out
 
     def log10(self) -> np.ndarray:
@@ -632,22 +647,21 @@ def _pyramid(cells: np.ndarray, bits: int) -> list[np.ndarray]:
 def _model(side: list, lay: Layout) -> tuple[Model, int, int]:
     """The model's tables from the buckets' own totals; the training tokens and distinct words."""
     z = zstandard.ZstdDecompressor()
-    cells, distinct, slices = np.zeros(1 << lay.cell_bits), 0, {}
+    cells, distinct, tables = np.zeros(1 << lay.cell_bits), 0, {}
     for r in side:
         v = np.frombuffer(z.decompress(r.blob), dtype=np.int64)
-        if r.bucket >= 2 * lay.n:
-            slices[r.bucket] = v
+        n = len(v) // 2
+        if r.bucket >= lay.n:
+            tables[r.bucket - lay.n] = v[:n], v[n:]
         else:
-            n = len(v) // 2
             distinct += int(v[0])
             cells[v[1 : 1 + n]] += v[1 + n :]
     kinds = CLASSES * ((1 << CELL_BITS) + 1)
-    if slices:
-        tables = np.concatenate([slices[k] for k in sorted(slices)])
-    else:
-        tables = np.zeros(kinds + BEFORE * (1 << BEFORE_BITS), dtype=np.int64)
-    kind = tables[:kinds].reshape(CLASSES, -1)
-    model = Model(_pyramid(cells[None], lay.cell_bits), _pyramid(kind[:, :-1], CELL_BITS), _pyramid(tables[kinds:].reshape(BEFORE, -1), BEFORE_BITS), kind[:, -1].astype(float))
+    fixed = np.concatenate([tables[k][1] for k in range(SLICES)]) if tables else np.zeros(kinds + BEFORE * (1 << BEFORE_BITS), dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64)
+    spelled = [(place, np.concatenate(([0], np.cumsum(count)))) for place, count in (tables.get(SLICES + k, (none, none)) for k in range(len(ORDERS)))]
+    kind = fixed[:kinds].reshape(CLASSES, -1)
+    model = Model(_pyramid(cells[None], lay.cell_bits), _pyramid(kind[:, :-1], CELL_BITS), _pyramid(fixed[kinds:].reshape(BEFORE, -1), BEFORE_BITS), kind[:, -1].astype(float), spelled)
     return model, int(cells.sum()), distinct
 
 
@@ -662,7 +676,7 @@ def _scored(spark: SparkSession, lay: Layout, model: Model):
             for i in range(batch.num_rows):
                 m = shared.value.fresh()
                 ids, t = _read(batch, i, lay)
-                c = Coder(t, batch["answers"][i].as_py(), lay, m)
+                c = Coder(t, batch["words"][i].as_py(), batch["contexts"][i].as_py(), lay, m)
                 count = c.count[t.of]
                 sums = lambda v: np.bincount(t.doc, weights=v, minlength=t.n_docs)
                 share = (m.classes + 0.5) / (m.classes.sum() + 0.5 * CLASSES)
@@ -673,19 +687,22 @@ def _scored(spark: SparkSession, lay: Layout, model: Model):
     return run
 
 
+_BLOBS = "chunk long, bucket int, blob binary"
+
+
 def fitted(docs: DataFrame, learns: Column) -> tuple[DataFrame, Layout, Model, int, int]:
-    """The chunks with what the buckets answered them, the model's fixed tables, and the training tokens and distinct words."""
-    spark = docs.sparkSession
+    """The chunks with what the buckets answer them, the model's tables, and the training tokens and distinct words."""
     chunks = chunked(docs, flag=learns)
     n = buckets(chunks)
     lay = Layout.of(int(chunks.agg(F.sum("size")).first()[0] or 0), n)
-    answers = chunks.mapInArrow(_send(lay), SENT).repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(lay), "chunk long, bucket int, blob binary")
-    # a chunk has at most two blobs a bucket; those of -1 are single rows, so as not to meet in one
+    exchange = lambda send, answer: chunks.mapInArrow(send, SENT).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _BLOBS)
+    gathered = lambda name: F.collect_list(F.struct("bucket", "blob")).alias(name)  # noqa: E731  # at most one a bucket and chunk
+    # rows of chunk -1 stay single, so as not to meet in one
     key = F.when(F.col("chunk") < 0, -1 - F.col("bucket")).otherwise(F.col("chunk")).alias("chunk")
-    answers = materialize_by(answers.groupBy(key).agg(F.collect_list(F.struct("bucket", "blob")).alias("answers")), "counts", "chunk")
-    side = answers.where("chunk < 0").select(F.inline("answers")).collect()  # two numbers a cell and fixed tables
-    model, total, distinct = _model(side, lay)
-    return chunks.join(answers, "chunk"), lay, model, total, distinct
+    known = materialize_by(exchange(_send_words(lay), _answer_words(lay)).groupBy(key).agg(gathered("words")), "words", "chunk")
+    side = known.where("chunk < 0").select(F.inline("words")).collect()  # two numbers a cell, and the bounded tables
+    contexts = exchange(_send_contexts(lay), _answer_contexts(lay)).groupBy("chunk").agg(gathered("contexts"))
+    return chunks.join(known, "chunk").join(contexts, "chunk", "left"), lay, *_model(side, lay)
 
 
 def scores(docs: DataFrame, learns: Column) -> DataFrame:

@@ -223,7 +223,7 @@ def lm_coders(both, lay, model):
     for batch in both.toArrow().to_batches():
         for i in range(batch.num_rows):
             ids, t = mixing._read(batch, i, lay)
-            yield ids, t, mixing.Coder(t, batch["answers"][i].as_py(), lay, model.fresh())
+            yield ids, t, mixing.Coder(t, batch["words"][i].as_py(), batch["contexts"][i].as_py(), lay, model.fresh())
 
 
 def test_lm_counts_are_exact(spark, texts):
