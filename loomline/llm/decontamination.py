@@ -1,13 +1,13 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds are hashes of ``least`` consecutive tokens. Documents are joined with benchmark items on shared seeds; for each
-pair the longest matches of unmarked tokens are marked again and again, and the share of the item's tokens that are
-covered by tiles is its coverage, whatever the order in which its passages stand in the document.
+Seeds are hashes of ``least`` consecutive tokens. Documents are joined with benchmark items on shared seeds; pairs whose
+seeds cannot cover enough of the item are left, and for each other pair the longest matches of unmarked tokens, found by
+running Karp-Rabin hashes, are marked again and again. The share of the item's tokens that are covered by tiles is its
+coverage, whatever the order in which its passages stand in the document.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +20,7 @@ from .text import Pack, Words, packs, windows, word_hashes, words
 #: Bytes of benchmark text that go to the workers at a time; a larger benchmark is worked off in several blocks.
 BLOCK_BYTES = 8_000_000
 
+_BASE = 0xD1342543DE82EF95
 _TRIM = np.zeros(256, dtype=bool)
 _TRIM[[i for i in range(128) if not chr(i).isalnum()]] = True
 
@@ -27,14 +28,10 @@ _TRIM[[i for i in range(128) if not chr(i).isalnum()]] = True
 def tokens(p: Pack) -> tuple[Words, np.ndarray]:
     """Words with A-Z lower-cased and ASCII punctuation taken off both ends; words of nothing else are left out."""
     w = words(p)
-    start, end = w.start.copy(), w.end.copy()
-    for _ in range(8):
-        at = (end > start) & _TRIM[p.bytes[np.minimum(start, max(len(p.bytes) - 1, 0))]] if len(start) else np.zeros(0, bool)
-        start[at] += 1
-        at = (end > start) & _TRIM[p.bytes[end - 1]] if len(start) else np.zeros(0, bool)
-        end[at] -= 1
-    keep = end > start
-    w = Words(start[keep], end[keep], w.doc[keep], np.searchsorted(w.doc[keep], np.arange(len(p) + 1)))
+    solid = np.flatnonzero(~_TRIM[p.bytes])
+    first, past = np.searchsorted(solid, w.start), np.searchsorted(solid, w.end)  # of each word's bytes that stay
+    keep = past > first
+    w = Words(solid[first[keep]], solid[past[keep] - 1] + 1, w.doc[keep], np.searchsorted(w.doc[keep], np.arange(len(p) + 1)))
     return w, _trimmed_hashes(p, w)
 
 
@@ -51,51 +48,82 @@ def _trimmed_hashes(p: Pack, w: Words) -> np.ndarray:
     return word_hashes(buf, w, lower=True)
 
 
-def tile(runs: list[tuple[int, int, int]], least: int, n: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (document start, item start, length) from maximal matches of at least ``least`` tokens.
+class Strings:
+    """Karp-Rabin hashes of all stretches of a sequence of token hashes, from prefix sums."""
 
-    runs: maximal matches; n: tokens of the item. The longest match goes first (of equal ones the first in the
-    document, then in the item); one that meets marked tokens is cut to its unmarked stretches and queued again.
+    _power = np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(1 << 16, np.uint64(_BASE)))), dtype=np.uint64)
+
+    def __init__(self, h: np.ndarray) -> None:
+        self.n = len(h)
+        if len(self._power) <= self.n:
+            Strings._power = np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(2 * self.n, np.uint64(_BASE)))), dtype=np.uint64)
+        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * self._power[: self.n], dtype=np.uint64)))
+        self.free = np.arange(self.n + 1)  # of each place where the unmarked tokens from there end
+
+    def at(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where unmarked stretches of k tokens begin, and their hashes; a product with a power of the end makes places equal."""
+        i = np.flatnonzero(self.free[: self.n - k + 1] >= k) if self.n >= k else np.zeros(0, dtype=np.int64)
+        return i, (self.sums[i + k] - self.sums[i]) * self._power[self.n - i]
+
+    def reset(self, used: np.ndarray) -> None:
+        stop = np.append(np.where(used, np.arange(self.n), self.n), self.n)
+        self.free = np.minimum.accumulate(stop[::-1])[::-1] - np.arange(self.n + 1)
+
+
+def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (document start, item start, length) of two sequences of token hashes.
+
+    The longest match of unmarked tokens goes first (of equal ones the first in the document, then in the item) and is
+    marked. Its length is found by halving with running Karp-Rabin hashes of all unmarked stretches, whose number is that
+    of the tokens, so memory does not grow with the matches; lengths only fall.
     """
-    heap = [(-k, i, j) for i, j, k in runs if k >= least]
-    heapq.heapify(heap)
-    used_doc: set[int] = set()
-    used = [False] * n
+    a, b = Strings(doc), Strings(item)
+    a.reset(np.zeros(len(doc), dtype=bool))
+    b.reset(np.zeros(len(item), dtype=bool))
+    shift = a.n - b.n  # so that hashes of both are of one degree
+    lift = Strings._power[abs(shift)]
+
+    def common(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        i, x = a.at(k)
+        j, y = b.at(k)
+        if shift > 0:
+            y = y * lift
+        elif shift < 0:
+            x = x * lift
+        hit = np.isin(x, y)
+        return i[hit], x[hit], j, y
+
+    used, taken = np.zeros(a.n, dtype=bool), np.zeros(b.n, dtype=bool)
     tiles: list[tuple[int, int, int]] = []
-    while heap:
-        k, i, j = heapq.heappop(heap)
-        k = -k
-        free = [not used[j + x] and (i + x) not in used_doc for x in range(k)]
-        if all(free):
-            tiles.append((i, j, k))
-            for x in range(k):
-                used[j + x] = True
-                used_doc.add(i + x)
-            continue
-        x = 0
-        while x < k:
-            if not free[x]:
-                x += 1
+    high = min(a.n, b.n)
+    while high >= least and len(common(least)[0]):
+        low = least
+        while low < high:
+            k = (low + high + 1) // 2
+            low, high = (k, high) if len(common(k)[0]) else (low, k - 1)
+        i, x, j, y = common(low)
+        order = np.lexsort((j, y))
+        j, y = j[order], y[order]
+        first, past = np.searchsorted(y, x), np.searchsorted(y, x, side="right")
+        nearest: dict[int, int] = {}  # of each string the first of its places that may still be free
+        end = -1
+        for s, f, p in zip(i.tolist(), first.tolist(), past.tolist(), strict=True):
+            if s < end:
                 continue
-            y = x
-            while y < k and free[y]:
-                y += 1
-            if y - x >= least:
-                heapq.heappush(heap, (-(y - x), i + x, j + x))
-            x = y
+            at = nearest.get(f, f)
+            while at < p and taken[j[at] : j[at] + low].any():
+                at += 1
+            nearest[f] = at
+            if at < p:
+                tiles.append((s, int(j[at]), low))
+                used[s : s + low] = taken[j[at] : j[at] + low] = True
+                end = s + low
+        a.reset(used)
+        b.reset(taken)
+        high = low
     return tiles
 
 
-def _matches(i: np.ndarray, j: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Maximal matches from seeds at document token i and item token j."""
-    order = np.lexsort((i, i - j))
-    i, j = i[order], j[order]
-    new = np.ones(len(i), dtype=bool)
-    new[1:] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
-    at = np.flatnonzero(new)
-    return list(zip(i[at].tolist(), j[at].tolist(), (np.diff(np.append(at, len(i))) + least - 1).tolist(), strict=True))
-
-
 class Items:
     """Seeds of benchmark items, sorted by hash."""
 
@@ -104,16 +132,15 @@ class Items:
         starts = np.concatenate(([0], np.cumsum([len(t) for t in text]))).astype(np.int64)
         p = Pack(np.array(ids, dtype=np.int64), np.frombuffer(b"".join(text), dtype=np.uint8), starts)
         w, h = tokens(p)
-        self.ids, self.sizes, self.least = p.ids, np.diff(w.first), least
+        self.ids, self.sizes, self.least, self.h, self.first = p.ids, np.diff(w.first), least, h, w.first
         s = windows(h, least)
         at = np.flatnonzero(w.doc[: len(s)] == w.doc[least - 1 : least - 1 + len(s)]) if len(s) else np.zeros(0, dtype=np.int64)
         order = np.argsort(s[at], kind="stable")
         self.seed, self.item = s[at][order], w.doc[at][order]
         self.place = at[order] - w.first[self.item]
 
-    def leaks(self, p: Pack) -> Iterator[tuple[int, int, int, int, list[tuple[int, int, int]]]]:
-        """(document index, item id, covered tokens, item tokens, tiles) of all pairs that share a seed."""
-        w, h = tokens(p)
+    def _pairs(self, w: Words, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Document, item and place in the item of all shared seeds, a part at a time."""
         s = windows(h, self.least)
         if not len(s) or not len(self.seed):
             return
@@ -122,19 +149,35 @@ class Items:
         hit = hit[w.doc[hit] == w.doc[hit + self.least - 1]]
         if not len(hit):
             return
-        low = low[hit]
-        count = np.searchsorted(self.seed, s[hit], side="right") - low
-        i = np.repeat(hit, count)
-        e = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        doc, item, j = w.doc[i], self.item[e], self.place[e]
-        order = np.lexsort((item, doc))
-        doc, item, i, j = doc[order], item[order], i[order], j[order]
-        edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(doc)], strict=True):
-            d, x = int(doc[a]), int(item[a])
-            tiles = tile(_matches(i[a:b] - w.first[d], j[a:b], self.least), self.least, int(self.sizes[x]))
-            spans = [(int(w.start[w.first[d] + u] - p.starts[d]), int(w.end[w.first[d] + u + k - 1] - p.starts[d]), k) for u, _, k in tiles]
-            yield d, int(self.ids[x]), sum(t[2] for t in tiles), int(self.sizes[x]), sorted(spans)
+        # one entry for each seed of a document, however often it stands there
+        pair, at = np.unique(np.stack((w.doc[hit], low[hit]), axis=1), axis=0, return_index=True)
+        doc, low = pair[:, 0], pair[:, 1]
+        count = np.searchsorted(self.seed, s[hit[at]], side="right") - low
+        for a in range(0, len(doc), 4096):  # a part at a time: entries of an item that repeats a seed are many
+            d, n, first = doc[a : a + 4096], count[a : a + 4096], low[a : a + 4096]
+            e = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            yield np.repeat(d, n), self.item[e], self.place[e]
+
+    def leaks(self, p: Pack, threshold: float) -> Iterator[tuple[int, int, int, int, list[tuple[int, int, int]]]]:
+        """(document index, item id, covered tokens, item tokens, tiles) of the pairs covered to the threshold."""
+        w, h = tokens(p)
+        cells = [np.unique(np.stack(x, axis=1), axis=0) for x in self._pairs(w, h)]
+        if not cells:
+            return
+        cells = np.unique(np.concatenate(cells), axis=0)  # document, item, place of a seed in the item
+        edge = np.flatnonzero(np.append(True, (np.diff(cells[:, :2], axis=0) != 0).any(axis=1)))
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(cells)], strict=True):
+            d, x, places = int(cells[a, 0]), int(cells[a, 1]), cells[a:b, 2]
+            size = int(self.sizes[x])
+            most = np.minimum(np.diff(places), self.least).sum() + self.least  # tokens that some seed covers
+            if most < threshold * size:
+                continue
+            first = w.first[d]
+            tiles = tile(h[first : w.first[d + 1]], self.h[self.first[x] : self.first[x + 1]], self.least)
+            covered = sum(k for _, _, k in tiles)
+            if covered >= threshold * size:
+                spans = [(int(w.start[first + u] - p.starts[d]), int(w.end[first + u + k - 1] - p.starts[d]), k) for u, _, k in tiles]
+                yield d, int(self.ids[x]), covered, size, sorted(spans)
 
 
 _SCHEMA = "doc_id long, item_id long, covered long, item_tokens long, coverage double, spans array<struct<start:long,end:long,tokens:long>>"
@@ -145,7 +188,7 @@ def _leaks(items: Items, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in packs(batches):
-            rows = [(int(p.ids[d]), x, c, n, c / n, [{"start": a, "end": b, "tokens": k} for a, b, k in t]) for d, x, c, n, t in items.leaks(p) if c >= threshold * n]
+            rows = [(int(p.ids[d]), x, c, n, c / n, [{"start": a, "end": b, "tokens": k} for a, b, k in t]) for d, x, c, n, t in items.leaks(p, threshold)]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), kind]

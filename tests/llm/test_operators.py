@@ -153,7 +153,45 @@ def test_decontamination(spark):
         got = {(r.doc_id, r.item_id): r.covered for r in decontamination.leaks(d, bench, block_bytes=block).collect()}
         assert got == {(0, 0): 15, (1, 3): 12}
     assert decontamination.leaks(d, bench.limit(0)).count() == 0
-    assert decontamination.tile([(0, 0, 6), (3, 5, 8)], 3, 13) == [(3, 5, 8), (0, 0, 3)]
+    long = docs(spark, ["same " * 20_000, "-" * 40 + "alpha" + "!" * 30 + " beta gamma delta epsilon zeta eta theta iota"])
+    bench = spark.createDataFrame([(0, "same " * 800), (3, items[3][1])], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.covered for r in decontamination.leaks(long, bench).collect()} == {(0, 0): 800, (1, 3): 9}
+
+
+def brute_tiles(a, b, least):
+    used, taken, out = set(), set(), []
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and i + k not in used and j + k not in taken:
+                    k += 1
+                best = min(best, (k, i, j), key=lambda x: (-x[0], x[1], x[2]))
+        k, i, j = best
+        if k < least:
+            return out
+        out.append((i, j, k))
+        used |= set(range(i, i + k))
+        taken |= set(range(j, j + k))
+
+
+def test_tiling_against_brute_force():
+    r = random.Random(11)
+    for _ in range(150):
+        a, b = ([r.randrange(r.choice((2, 4, 9))) for _ in range(r.randint(0, 40))] for _ in range(2))
+        h = lambda x: text.mix(np.array(x, dtype=np.uint64))
+        assert decontamination.tile(h(a), h(b), 3) == brute_tiles(a, b, 3)
+
+
+def test_tiling_needs_little_memory():
+    import tracemalloc
+
+    one = text.mix(np.zeros(20_000, dtype=np.uint64))
+    tracemalloc.start()
+    assert decontamination.tile(one, one[:800], 5) == [(0, 0, 800)]
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
 
 
 def test_toxicity(spark):
