@@ -22,6 +22,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,10 +34,15 @@ from .text import Pack, Words, mix, windows, word_hashes, words
 LEAST_WINDOW = 13
 ROUNDS = 2
 RUN = 3
-#: Bits of a symbol's name that are sent: chance agreement only adds windows to compare.
+#: Bits of a symbol's name that are sent at least: chance agreement only adds windows to compare.
 SYMBOL_BITS = 40
 
 
+def symbol_bits(total: int) -> int:
+    """Ten bits more than it takes to number the bytes of the corpus, so that few symbols agree by chance whatever its size."""
+    return min(64, max(SYMBOL_BITS, total.bit_length() + 10))
+
+
 def symbols(h: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols after the rounds, and the long-run names: (name, first word, words, words that tell it).
 
@@ -74,11 +80,11 @@ def symbols(h: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.nd
     return tuple(np.concatenate(x) for x in zip((name, at, size, size), runs, strict=True))
 
 
-def _named(pack: Pack) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _named(pack: Pack, bits: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     w = words(pack)
     h = word_hashes(pack.bytes, w)
     name, at, size, need = symbols(h, w.doc)
-    return w, h, name >> np.uint64(64 - SYMBOL_BITS), at, size, need
+    return w, h, name >> np.uint64(64 - bits), at, size, need
 
 
 def _least_most(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,16 +101,16 @@ def _least_most(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndar
     return k[start], inverse, np.minimum.reduceat(v, start), np.maximum.reduceat(v, start)
 
 
-def _send_symbols(n: int):
+def _send_symbols(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 p = unpack(batch["ids"][i], batch["starts"][i], batch["body"][i])
-                w, _, name, at, _, _ = _named(p)
+                w, _, name, at, _, _ = _named(p, bits)
                 keys, _, least, most = _least_most(name, p.ids[w.doc[at]])
                 if len(keys):
                     several = least != most
-                    yield send(batch["chunk"][i].as_py(), keys, n, SYMBOL_BITS, lambda a, b, m=several: np.packbits(m[a:b]).tobytes())
+                    yield send(batch["chunk"][i].as_py(), keys, n, bits, lambda a, b, m=several: np.packbits(m[a:b]).tobytes())
 
     return run
 
@@ -125,11 +131,11 @@ def _shared(keys: list[np.ndarray], payloads: list[memoryview]) -> list[np.ndarr
     return np.split(out, np.cumsum([len(k) for k in keys])[:-1])
 
 
-def _candidates(p: Pack, answers: list[dict], n: int, width: int) -> tuple[Words, np.ndarray, np.ndarray]:
+def _candidates(p: Pack, answers: list[dict], n: int, width: int, bits: int) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words, the first words of the windows that hold a shared symbol, and these windows' names."""
-    w, h, name, at, size, need = _named(p)
+    w, h, name, at, size, need = _named(p, bits)
     keys, inverse, _, _ = _least_most(name, name)
-    hit = read_bits(answers, keys, n, SYMBOL_BITS)[inverse]
+    hit = read_bits(answers, keys, n, bits)[inverse]
     at, size, need = at[hit], size[hit], need[hit]
     limit = len(w) - width + 1
     if limit <= 0 or not len(at):
@@ -145,13 +151,13 @@ def _candidates(p: Pack, answers: list[dict], n: int, width: int) -> tuple[Words
     return w, start, x
 
 
-def _send_windows(n: int, width: int):
+def _send_windows(n: int, width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
                 p = unpack(batch["ids"][i], batch["starts"][i], batch["body"][i])
-                w, start, x = _candidates(p, batch["answers"][i].as_py(), n, width)
+                w, start, x = _candidates(p, batch["answers"][i].as_py(), n, width, bits)
                 keys, _, least, _ = _least_most(x, p.ids[w.doc[start]])
                 if len(keys):
                     yield send(batch["chunk"][i].as_py(), keys, n, 64, lambda a, b, v=least: z.compress(v[a:b].tobytes()))
@@ -192,20 +198,20 @@ def _without(p: Pack, i: int, w: Words, drop: np.ndarray, layout: bool) -> bytes
     return np.frombuffer(text, dtype=np.uint8)[keep == 1].tobytes()
 
 
-def _kept(n: int, width: int, layout: bool):
+def _kept(n: int, width: int, bits: int, layout: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 p = unpack(batch["ids"][i], batch["starts"][i], batch["body"][i])
-                w, start, x = _candidates(p, batch["answers"][i].as_py(), n, width)
+                w, start, x = _candidates(p, batch["answers"][i].as_py(), n, width, bits)
                 keys, inverse, least, _ = _least_most(x, p.ids[w.doc[start]])
                 before = read_bits(batch["later"][i].as_py(), keys, n, 64)[inverse] if len(keys) else np.zeros(0, dtype=bool)
                 before |= p.ids[w.doc[start]] > least[inverse]
                 drop = _cover(len(w), start[before], width)
                 total = np.concatenate(([0], np.cumsum(drop)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.ids), pa.array(np.diff(w.first)), pa.array(total[w.first[1:]] - total[w.first[:-1]]), pa.array([_without(p, d, w, drop, layout) for d in range(len(p))], pa.binary()).cast(pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "text"],
+                    [pa.array(p.ids), pa.array(np.diff(w.first)), pa.array(total[w.first[1:]] - total[w.first[:-1]]), pa.array([_without(p, d, w, drop, layout) for d in range(len(p))], pa.binary()).cast(pa.string()), pa.array([xxhash.xxh64_intdigest(p.text(d), 42) for d in range(len(p))], pa.uint64()).view(pa.int64())],
+                    names=["doc_id", "n_words", "n_removed", "text", "source"],
                 )
 
     return run
@@ -214,7 +220,8 @@ def _kept(n: int, width: int, layout: bool):
 def substring_dedup(docs: DataFrame, window: int = LEAST_WINDOW, layout: bool = False) -> DataFrame:
     """Remove each word covered by a window of words that also starts in a document with a smaller doc_id.
 
-    docs: doc_id, text; other columns are ignored. Returns doc_id, n_words, n_removed, text. ``text`` is the kept
+    docs: doc_id, text; other columns are ignored. Returns doc_id, n_words, n_removed, text, and source (xxhash64 of the
+    text that came in, which tells rows of one doc_id apart). ``text`` is the kept
     words joined by single spaces or, with ``layout``, the original text less the removed words and the separators
     after them. Words are ``[^\\x20\\x09-\\x0D]+`` as they stand. Windows are judged on the input. A null text is an
     empty one; a text shorter than a window is kept whole; rows with a null doc_id are left out, and rows that share
@@ -224,8 +231,9 @@ def substring_dedup(docs: DataFrame, window: int = LEAST_WINDOW, layout: bool =
         raise ValueError(f"window must be at least {LEAST_WINDOW}")
     chunks = chunked(docs)
     n = buckets(chunks)
-    shared = materialize_by(answered(chunks.mapInArrow(_send_symbols(n), SENT), n, _shared), "symbols", "chunk")
+    bits = symbol_bits(int(chunks.agg(F.sum("size")).first()[0] or 0))
+    shared = materialize_by(answered(chunks.mapInArrow(_send_symbols(n, bits), SENT), n, _shared), "symbols", "chunk")
     near = chunks.join(shared, "chunk", "left")
-    later = materialize_by(answered(near.mapInArrow(_send_windows(n, window), SENT), n, _earlier).withColumnRenamed("answers", "later"), "windows", "chunk")
+    later = materialize_by(answered(near.mapInArrow(_send_windows(n, window, bits), SENT), n, _earlier).withColumnRenamed("answers", "later"), "windows", "chunk")
     both = chunks.join(shared, "chunk", "left").join(later, "chunk", "left")
-    return both.mapInArrow(_kept(n, window, layout), "doc_id long, n_words long, n_removed long, text string")
+    return both.mapInArrow(_kept(n, window, bits, layout), "doc_id long, n_words long, n_removed long, text string, source long")
