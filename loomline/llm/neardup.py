@@ -11,7 +11,7 @@
    of n near-copies costs about n comparisons, and no pair is left out for a bucket's size.
 
 A pair of similarity 0.75 shares none of the 32 bands of 4 coordinates with probability 5e-6, and falls below
-the estimate of 0.6 with probability below 1e-4.
+the estimate of 0.55 with probability 2e-7, so that the estimate loses next to nothing beside the bands.
 """
 
 from __future__ import annotations
@@ -146,17 +146,19 @@ def _across(estimate: float, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, estimate: float = 0.6, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, estimate: float = 0.55, block: int = BLOCK) -> DataFrame:
     """Group documents whose sets of k-word shingles have 100 * intersection >= percent * union.
 
-    docs: doc_id (unique), text; other columns are ignored. Returns doc_id, n_shingles, component_id, kept.
+    docs: doc_id, text; other columns are ignored. Returns doc_id, n_shingles, component_id, kept, a row for each row of
+    docs. Rows that share a doc_id are one document where links are concerned: each of them is linked as its own text is,
+    and all of them bear the same id.
     A null text is an empty one; a document without words has an empty set and is linked with nothing; rows with a
     null doc_id are left out. Equal texts are linked; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     rows_of = materialize(docs.mapInArrow(_sketch_rows(k, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketches")
     filled = rows_of.where("n_shingles > 0")
-    classes = filled.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = filled.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"))
     reps = filled.select("doc_id", "n_shingles", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     entries = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
     hubs = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -179,7 +181,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
     more = materialize(more.distinct(), "links")
     if not more.isEmpty():
         label = components(links.union(more))
-    found = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows_of.select("doc_id", "n_shingles", "k1", "k2").join(found, ["n_shingles", "k1", "k2"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    set_key = ["n_shingles", "k1", "k2"]
+    found = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*set_key, F.coalesce("component", "rep").alias("component_id"), "many")
+    # all exact copies of a text share a key: the classes that hold a thousandth of all rows or more, a thousand at most, are joined where the rows are
+    found = materialize(found, "classes")
+    least = max(2, rows_of.count() // 1000)
+    out = rows_of.select("doc_id", *set_key).join(F.broadcast(found.where(F.col("many") >= least).select(*set_key, F.col("component_id").alias("hot"))), set_key, "left")
+    rest = out.where("hot is null").drop("hot").join(found.where(F.col("many") < least).drop("many"), set_key, "left")
+    out = out.where("hot is not null").select("doc_id", "n_shingles", F.col("hot").alias("component_id")).union(rest.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
