@@ -78,10 +78,11 @@ def _lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 @dataclass
 class Forest:
-    """suffixes: kind, key and share of label 1; trees: splits of each level by leaf and the values of the leaves."""
+    """suffixes: kind, key, labels 1 and rows of each; trees: splits of each level by leaf and the values of the leaves."""
 
     suffixes: DataFrame
     share: float
+    smooth: float
     trees: list[tuple[list[dict[int, tuple[int, int]]], dict[int, float]]]
     bias: float
 
@@ -111,18 +112,28 @@ def _leaf(levels: list[dict[int, tuple[int, int]]], bins: Column) -> Column:
     return leaf
 
 
-def _binned(urls: DataFrame, suffixes: DataFrame, share: float) -> DataFrame:
-    """urls (url, host, path, ...) with bins, an array of small integers."""
-    out = urls
+def _binned(urls: DataFrame, suffixes: DataFrame, share: float, smooth: float, label: str | None = None) -> DataFrame:
+    """urls (url, host, path, ...) with bins, an array of small integers.
+
+    Shares of label 1 are of the labelled URLs with the same key; of a labelled row (with ``label``) its own is left out.
+    """
+    out, values = urls, _lexical(F.coalesce("url", F.lit("")), F.col("host"), F.col("path"))
+    own = {}
     for kind, key in _keys(F.col("host"), F.col("path")).items():
-        side = suffixes.where(F.col("kind") == kind).select(F.col("key").alias(f"_{kind}"), F.col("share").alias(f"_{kind}_share"))
+        name = f"loomline {kind}"
+        while any(c.lower().startswith(name) for c in urls.columns):
+            name += " "
+        own[kind] = name
+        side = suffixes.where(F.col("kind") == kind).select(F.col("key").alias(name), F.col("ones").alias(f"{name} ones"), F.col("n").alias(f"{name} n"))
         # bounded: at most one row for each labelled URL of the sample
-        out = out.withColumn(f"_{kind}", key).join(F.broadcast(side), f"_{kind}", "left").withColumn(f"_{kind}_share", F.coalesce(f"_{kind}_share", F.lit(share)))
-    values = _lexical(F.coalesce("url", F.lit("")), F.col("host"), F.col("path"))
-    values |= {f"{k}_share": F.col(f"_{k}_share") * (BINS - 1) for k in ("tld", "suffix", "segment")}
+        out = out.withColumn(name, key).join(F.broadcast(side), name, "left")
+        ones, n = F.coalesce(F.col(f"{name} ones"), F.lit(0.0)), F.coalesce(F.col(f"{name} n"), F.lit(0))
+        if label:
+            ones, n = ones - F.col(label), n - 1
+        values[f"{kind}_share"] = (ones + smooth * share) / (n + smooth) * (BINS - 1)
     bins = F.array(*(F.least(F.greatest(F.floor(values[f]), F.lit(0)), F.lit(BINS - 1 if f.endswith("share") else 24)).cast("int") for f in FEATURES))
     out = out.select("*", F.inline(F.array(F.struct(bins.alias("bins")))))
-    return out.drop(*(x for k in ("tld", "suffix", "segment") for x in (f"_{k}", f"_{k}_share")))
+    return out.drop(*(x for n in own.values() for x in (n, f"{n} ones", f"{n} n")))
 
 
 def fit(labelled: DataFrame, trees: int = 8, depth: int = 2, rate: float = 0.5, smooth: float = 4.0, max_labelled: int = MAX_LABELLED) -> Forest:
@@ -138,12 +149,12 @@ def fit(labelled: DataFrame, trees: int = 8, depth: int = 2, rate: float = 0.5,
     share = (ones + 1) / (n + 2)
     keys = _keys(F.col("host"), F.col("path"))
     stats = sample.select("label", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in keys.items()))).alias("s"))
-    suffixes = materialize(stats.groupBy("s.kind", "s.key").agg(((F.sum("label") + smooth * share) / (F.count("*") + smooth)).alias("share")), "suffixes")
-    forest = Forest(suffixes, share, [], math.log(share / (1 - share)))
+    suffixes = materialize(stats.groupBy("s.kind", "s.key").agg(F.sum("label").alias("ones"), F.count("*").alias("n")), "suffixes")
+    forest = Forest(suffixes, share, smooth, [], math.log(share / (1 - share)))
     if not 0 < ones < n:
         return forest
     # equal rows stand together, with their count
-    rows = materialize(_binned(sample, suffixes, share).groupBy("bins", "label").agg(F.count("*").cast("double").alias("n")), "binned")
+    rows = materialize(_binned(sample, suffixes, share, smooth, "label").groupBy("bins", "label").agg(F.count("*").cast("double").alias("n")), "binned")
     for _ in range(trees):
         p = 1 / (1 + F.exp(-forest.margin(F.col("bins"))))
         graded = rows.select("bins", (F.col("n") * (F.col("label") - p)).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
@@ -187,10 +198,11 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], forest: Forest, url: st
     """
     out = with_split(pages.drop("host", "path", "rule", "probability", "verdict", "bins"), url)
     out = out.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    if url != "url":
-        out = out.withColumn("url", F.col(url))
-    out = _binned(out, forest.suffixes, forest.share)
+    had = "url" in out.columns
+    out = out.withColumnsRenamed({"url": "loomline other"} if had and url != "url" else {}).withColumn("url", F.col(url))
+    out = _binned(out, forest.suffixes, forest.share, forest.smooth)
     out = out.withColumn("probability", 1 / (1 + F.exp(-forest.margin(F.col("bins"))))).drop("bins")
+    out = out if url == "url" else out.drop("url").withColumnsRenamed({"loomline other": "url"} if had else {})
     said = _of_rule({r: F.lit(v) for r, v in rules.items()})
     return out.withColumn("verdict", F.coalesce(said, F.when(F.col("probability") >= 0.5, "block").otherwise("allow")))
 
