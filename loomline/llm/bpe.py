@@ -127,7 +127,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Token ids of whole texts: doc_id, ids array<int>.
 
     docs: doc_id, text; other columns are ignored. Each match of ``pattern`` is encoded by itself, and special tokens
-    are ordinary text. A null text is an empty one and has no ids. ``path`` is a file that every worker can open, such
+    are ordinary text. A null text is an empty one and has no ids. Each row is encoded by itself, whether or not rows share a
+    doc_id or have a null one. ``path`` is a file that every worker can open, such
     as one of an installed package.
     """
 

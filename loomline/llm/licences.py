@@ -175,8 +175,8 @@ def paragraphs(p: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return h, np.cumsum(new) - 1, doc, number, w.start - p.starts[w.doc], w.end - p.starts[w.doc]
 
 
-def fit(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, copies: int = 24) -> Model:
-    """Train on the templates and on paragraphs of at most ``max_unknown`` documents (doc_id, text) as unknown ones."""
+def fit(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, copies: int = 24, max_plain: int = 1440) -> Model:
+    """Train on the templates (``copies`` of each) and, as unknown ones, on at most ``max_plain`` paragraphs of at most ``max_unknown`` documents (doc_id, text)."""
     rng = np.random.default_rng(7)
     families = [*TEMPLATES, UNKNOWN]
     plain = [(i, t) for i, f in enumerate(families[:-1]) for t in TEMPLATES[f]]
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, copies: int = 24) -> Mo
         a = rng.integers(len(filler))
         mixed = np.concatenate((filler[a : a + rng.integers(3, 30)], words_[rng.integers(0, len(words_), rng.integers(0, 5))]))
         texts.append((len(families) - 1, mixed[rng.permutation(len(mixed))]))
-    texts += [(len(families) - 1, t) for t in other[: copies * 60]]
+    texts += [(len(families) - 1, t) for t in other[:max_plain]]
     texts = [texts[i] for i in rng.permutation(len(texts))]
     y = np.array([f for f, _ in texts])
     x = model.rows(np.concatenate([t for _, t in texts]), np.repeat(np.arange(len(texts)), [len(t) for _, t in texts]), len(texts))

@@ -133,8 +133,8 @@ class Layout:
     @classmethod
     def of(cls, total: int, n: int) -> Layout:
         cell = max(TOP_BITS, (n - 1).bit_length())
-        # there is about a distinct word in 64 bytes; a bit more makes most names unique
-        code = min(40, max(cell + 1, NAME_BITS, (total // 64).bit_length() + 1))
+        # there is about a distinct word in 64 bytes, so most names are unique
+        code = min(40, max(cell + 1, NAME_BITS, (total // 64).bit_length()))
         return cls(n, cell, code, min(47, max(28, (total // n).bit_length() + 4)))
 
     def word_bucket(self, h: np.ndarray) -> np.ndarray:
@@ -695,7 +695,7 @@ def fitted(docs: DataFrame, learns: Column) -> tuple[DataFrame, Layout, Model, i
     chunks = chunked(docs, flag=learns)
     n = buckets(chunks)
     lay = Layout.of(int(chunks.agg(F.sum("size")).first()[0] or 0), n)
-    exchange = lambda send, answer: chunks.mapInArrow(send, SENT).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _BLOBS)
+    exchange = lambda send, answer: chunks.mapInArrow(send, SENT).repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(answer, _BLOBS)
     gathered = lambda name: F.collect_list(F.struct("bucket", "blob")).alias(name)  # noqa: E731  # at most one a bucket and chunk
     # rows of chunk -1 stay single, so as not to meet in one
     key = F.when(F.col("chunk") < 0, -1 - F.col("bucket")).otherwise(F.col("chunk")).alias("chunk")
