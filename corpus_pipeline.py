@@ -18,7 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that the toxicity model, learned from the labelled ones of the training folds, predicts as toxic."""
+    """Documents without those that the toxicity model, learned from the labelled ones of the training folds, predicts as
+    toxic: rows of one doc_id go together, and rows without one stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(toxicity.fold(of=5) != 0)
     model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
     toxic = toxicity.toxicity(docs, model).where("predicted = 1").select("doc_id").distinct()
@@ -26,15 +27,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near-duplicates."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document, the one with the smallest doc_id, of each group of near-duplicates. Rows of one doc_id stay or go
+    together, and rows without one stay."""
+    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand in a document with a smaller doc_id; a text without such stays as it is."""
-    kept = recompression.substring_dedup(docs, layout=True).select("doc_id", "text")
-    out = docs.drop("text", "n_chars").join(kept, "doc_id")
+    """Texts without passages that stand in a document with a smaller doc_id; a text without such stays as it is, and so
+    does that of a row without a doc_id. Every row stays one row, whether or not rows repeat."""
+    key = ["doc_id", "text_key"]
+    kept = recompression.substring_dedup(docs, layout=True).groupBy("doc_id", F.col("source").alias("text_key")).agg(F.first("text").alias("kept"))
+    out = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, key, "left")
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce("kept", "text")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
