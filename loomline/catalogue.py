@@ -6,13 +6,14 @@ Sums of doubles are rounded, and ties broken by unique keys, so that results do
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .operators import Module, SparkProfile, Workspace, select_as
-from .plans.order import layers
+from .operators import Module, Sandbox, SparkProfile, Workspace
+from .plans import Description, Relation, layers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,9 +40,7 @@ class _Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def resolve_contract(self, name, version):
-        from .plans.contracts import ModuleContract, TableContract
-
-        return ModuleContract(name, version, None, {name: TableContract(name, _t(self.spark, self.sf_dir, name).schema)})
+        return Description(name, version, {name: Relation(_t(self.spark, self.sf_dir, name).schema)})
 
     def upstream_table(self, name, version, table, schema):
         return _t(self.spark, self.sf_dir, table)
@@ -89,58 +88,90 @@ def passthrough_module(spark, sf_dir):
     return m.tables["regions"].frame
 
 
-_BASE = """
-from loomline.operators import Module
+_METERS = """
+from loomline import Module
 def module():
-    m = Module("base", "1.0.0")
-    m.sink({"t": m.spark.createDataFrame([(1, 10), (2, 20)], "id long, val long")})
+    m = Module("meters", "1.0.0")
+    m.sink({"readings": m.spark.createDataFrame([("north", 1, 4), ("north", 2, 9), ("south", 1, 17)], "site string, hour int, litres long")})
     return m
 """
-_DERIVED = """
+_USAGE = """
 from pyspark.sql import functions as F
-from loomline.operators import Module
+from loomline import Module
 def module():
-    m = Module("derived", "1.0.0")
-    m.source({"base": "1.0.0"})
-    m.sink({"out": m.upstream["base"].get("t", {"val": "val"}).agg(F.sum("val").alias("total"))})
+    m = Module("usage", "1.0.0")
+    m.source({"meters": "1.0.0"})
+    m.sink({"by_site": m.upstream["meters"].get("readings", {"place": "site", "used": "litres"}).groupBy("place").agg(F.sum("used").alias("total"), F.lit(m.spark.conf.get("spark.sql.shuffle.partitions")).alias("partitions"))})
+    return m
+"""
+_EXPORT = """
+from pyspark.sql import functions as F
+from loomline import Module
+def module():
+    m = Module("export", "1.0.0")
+    m.source({"orders": "1.0.0"})
+    m.sink({"orders": m.upstream["orders"].get("orders", {"id": "o_orderkey", "priority": "o_orderpriority", "price": "o_totalprice"})})
     return m
 """
 
 
-def _example(spark: SparkSession):
-    """A workspace of two modules in the session's shared folder, and its graph."""
-    root = Path((spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file:") or tempfile.gettempdir())
-    root.mkdir(parents=True, exist_ok=True)
-    home = Path(tempfile.mkdtemp(prefix="loomline-", dir=root))
-    w = Workspace(home / "ws")
-    for name, code in (("base", _BASE), ("derived", _DERIVED)):
+def _workspace(spark: SparkSession, *codes: str) -> Workspace:
+    """A workspace in the session's shared folder (for its tables) and a folder of the driver (for code and state)."""
+    home = Path(tempfile.mkdtemp(prefix="loomline-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or str(home)
+    w = Workspace(f"{shared.rstrip('/')}/{home.name}", home=home / "home")
+    for code in codes:
+        name = code.split('Module("')[1].split('"')[0]
         (home / name / "1.0.0").mkdir(parents=True)
         (home / name / "1.0.0" / "module.py").write_text(code)
         w.set_module(f"{name}@1.0.0", home / name / "1.0.0")
-    w.set_profile("local", SparkProfile())
+    w.set_profile("local", SparkProfile("local" if spark.sparkContext.master.startswith("local") else "cluster"))
     w.set_default_profile("local")
-    return w, w.graph({"derived": "1.0.0"})
+    return w
+
+
+def _example(spark: SparkSession):
+    """Two modules, and their graph."""
+    w = _workspace(spark, _METERS, _USAGE)
+    return w, w.graph({"usage": "1.0.0"})
 
 
-@_query("SELECT 30::BIGINT AS total")
+@_query("SELECT 'north' AS place, 13::BIGINT AS total UNION ALL SELECT 'south', 17")
 def literal_source_sum(spark, sf_dir):
-    """A run of two modules: literal rows, and their sum read back from the published view."""
+    """A run of two modules: literal rows, and their sums read back from the published view."""
     _example(spark)[1].run()
-    return spark.sql("SELECT * FROM derived.out")
+    return spark.sql("SELECT place, total FROM usage__v1.by_site")
 
 
-@_query("SELECT 'base' AS module, 1 AS major, '1.0.0' AS version UNION ALL SELECT 'derived', 1, '1.0.0'")
+@_query("SELECT 'north' AS place, '3' AS partitions UNION ALL SELECT 'south', '3'")
+def profile_run(spark, sf_dir):
+    """A module that runs with the settings of its own profile."""
+    w, graph = _example(spark)
+    w.set_profile("narrow", SparkProfile(w.profiles["local"].kind, {"spark.sql.shuffle.partitions": "3"}))
+    w.set_module_profile("usage", "narrow")
+    graph.run()
+    return spark.sql("SELECT place, partitions FROM usage.by_site")
+
+
+@_query("SELECT 'meters' AS module, 1 AS major, '1.0.0' AS version UNION ALL SELECT 'usage', 1, '1.0.0'")
 def run_ledger(spark, sf_dir):
     graph = _example(spark)[1]
     graph.run()
     return graph.state.ledger(spark)
 
 
-@_query("SELECT 'derived' AS module, 'base' AS upstream, 't' AS table_name, 'val' AS column_name")
+@_query("SELECT 'usage' AS module, 'meters' AS upstream, 'readings' AS table_name, column_name FROM (VALUES ('site'), ('litres')) v(column_name)")
 def column_lineage(spark, sf_dir):
     return spark.createDataFrame(_example(spark)[1].column_lineage(), "module string, upstream string, table_name string, column_name string")
 
 
+@_query("SELECT * FROM (VALUES ('meters', 0), ('usage', 1)) v(module, level)")
+def planned_levels(spark, sf_dir):
+    """The levels of a graph's plan, as it would run."""
+    plan = _example(spark)[1].plan()
+    return spark.createDataFrame([(n, i) for i, level in enumerate(plan.layers) for n in level], "module string, level int")
+
+
 @_query("SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 1), ('d', 2)) v(module, level)")
 def graph_levels(spark, sf_dir):
     rows = [(n, i) for i, level in enumerate(layers({"a": set(), "b": {"a"}, "c": {"a"}, "d": {"b", "c"}})) for n in level]
@@ -149,14 +180,44 @@ def graph_levels(spark, sf_dir):
 
 @_query("SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) v(name, type)")
 def contract_columns(spark, sf_dir):
-    contract = _Tables(spark, sf_dir).resolve_contract("region", "1.0.0").require_table("region")
+    contract = _Tables(spark, sf_dir).resolve_contract("region", "1.0.0")["region"]
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in contract.schema], "name string, type string")
 
 
-@_query("SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY ALL")
+def _exported(spark: SparkSession, sf_dir: str) -> Workspace:
+    """A workspace that holds orders, written and published by a run, with a module that reads them."""
+    orders = _EXPORT.replace('m.source({"orders": "1.0.0"})', "").replace('m.upstream["orders"].get("orders", {', f'm.spark.read.parquet("{sf_dir}/orders.parquet").selectExpr(*(f"{{c}} AS {{a}}" for a, c in {{').replace('"price": "o_totalprice"})', '"price": "o_totalprice"}.items()))')
+    reader = _EXPORT.replace('"export"', '"priced"').replace('"orders": "1.0.0"', '"export": "1.0.0"').replace('m.sink({"orders": m.upstream["orders"]', 'm.sink({"priced": m.upstream["export"]').replace('{"id": "o_orderkey", "priority": "o_orderpriority", "price": "o_totalprice"}', '{"level": "priority", "price": "price"}')
+    w = _workspace(spark, orders, reader)
+    w.graph({"priced": "1.0.0"}).run()
+    return w
+
+
+@_query("SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL")
 def published_view_sql(spark, sf_dir):
-    _t(spark, sf_dir, "customer").createOrReplaceTempView("loomline_customer")
-    return spark.sql("SELECT c_mktsegment AS segment, count(*) AS n FROM loomline_customer GROUP BY c_mktsegment")
+    """SQL over a view that a run published, after another session has opened the workspace."""
+    w = _exported(spark, sf_dir)
+    spark.sql("DROP VIEW export.orders")
+    w.publish(spark.newSession())
+    return spark.sql("SELECT priority, count(*) AS n, round(sum(price), 2) AS total FROM export.orders GROUP BY priority")
+
+
+@_query("SELECT o_orderpriority AS priority, o_totalprice AS price FROM orders")
+def infer_select_sample(spark, sf_dir):
+    """A sandbox's input: the columns of a stored table that the module under development reads."""
+    w = _exported(spark, sf_dir)
+    return Sandbox(w.module_path("priced", "1.0.0"), w, "priced", "1.0.0", spark=spark).upstream["export"].get("orders", infer_select=True).frame
+
+
+@_query("SELECT o_orderpriority AS level, max(o_totalprice) AS price FROM orders GROUP BY ALL")
+def sandbox_flow(spark, sf_dir):
+    """A module run over saved inputs alone: of each priority the dearest order."""
+    w = _exported(spark, sf_dir)
+    box = Sandbox(w.module_path("priced", "1.0.0"), w, "priced", "1.0.0", spark=spark)
+    box.sink(box.upstream["export"].get("orders").transform(lambda d: d.groupBy("priority").agg(F.max("price").alias("price"))))
+    box.materialize(registry=w.home / "registry.json")
+    box.flow()
+    return box.get("priced")
 
 
 @_query("SELECT o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL")
@@ -180,16 +241,15 @@ def _simple(name: str, spark_query: Callable[[Callable[[str], DataFrame]], DataF
 _c = F.col
 _simple("global_sum", lambda t: t("lineitem").agg(F.round(F.sum("l_quantity"), 2).alias("total")), "SELECT round(sum(l_quantity), 2) AS total FROM lineitem")
 _simple("global_count", lambda t: t("lineitem").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM lineitem")
-_simple("infer_select_sample", lambda t: select_as(t("orders").orderBy("o_orderkey").limit(100), {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey"}), "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100")
 _simple("filter_predicates", lambda t: t("orders").where((_c("o_orderstatus") == "F") & (_c("o_totalprice") > 1000) & _c("o_custkey").isNotNull()).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 AND o_custkey IS NOT NULL")
 _simple("case_in_between_like", lambda t: t("part").where(_c("p_size").between(5, 20) & _c("p_brand").like("Brand%")).select("p_partkey", F.when(_c("p_size") < 10, "small").otherwise("large").alias("kind"), _c("p_size").isin(5, 6).alias("least")), "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' ELSE 'large' END AS kind, p_size IN (5, 6) AS least FROM part WHERE p_size BETWEEN 5 AND 20 AND p_brand LIKE 'Brand%'")
 _urgent = "SELECT * FROM orders WHERE o_orderpriority LIKE '1%'"
 _first = lambda t: t("orders").where(_c("o_orderpriority").like("1%"))
 _simple("left_join_counts", lambda t: t("customer").join(_first(t), _c("c_custkey") == _c("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n")), f"SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN ({_urgent}) o ON c_custkey = o_custkey GROUP BY ALL")
-_simple("full_join", lambda t: t("nation").where("n_nationkey < 15").join(t("supplier").where("s_nationkey >= 10"), _c("n_nationkey") == _c("s_nationkey"), "full").select("n_nationkey", "s_suppkey"), "SELECT n_nationkey, s_suppkey FROM (SELECT * FROM nation WHERE n_nationkey < 15) n FULL JOIN (SELECT * FROM supplier WHERE s_nationkey >= 10) s ON n_nationkey = s_nationkey")
+_simple("full_join", lambda t: t("nation").join(t("supplier"), _c("n_name") == _c("s_name"), "full").select("n_nationkey", "s_suppkey"), "SELECT n_nationkey, s_suppkey FROM nation FULL JOIN supplier ON n_name = s_name")
 _simple("semi_join", lambda t: t("customer").join(_first(t), _c("c_custkey") == _c("o_custkey"), "left_semi").select("c_custkey"), f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM ({_urgent}) o WHERE o_custkey = c_custkey)")
 _simple("anti_join", lambda t: t("customer").join(_first(t), _c("c_custkey") == _c("o_custkey"), "left_anti").select("c_custkey"), f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM ({_urgent}) o WHERE o_custkey = c_custkey)")
-_simple("range_join", lambda t: t("part").join(F.broadcast(t("region")), (_c("p_size") >= _c("r_regionkey") * 10) & (_c("p_size") < _c("r_regionkey") * 10 + 10)).groupBy("r_name").agg(F.count("*").alias("n")), "SELECT r_name, count(*) AS n FROM part JOIN region ON p_size >= r_regionkey * 10 AND p_size < r_regionkey * 10 + 10 GROUP BY ALL")
+_simple("range_join", lambda t: t("part").join(t("region"), (_c("p_size") >= _c("r_regionkey") * 10) & (_c("p_size") < _c("r_regionkey") * 10 + 10)).groupBy("r_name").agg(F.count("*").alias("n")), "SELECT r_name, count(*) AS n FROM part JOIN region ON p_size >= r_regionkey * 10 AND p_size < r_regionkey * 10 + 10 GROUP BY ALL")
 
 
 def _asof(t):
@@ -220,7 +280,7 @@ _simple("rows_frame_avg", lambda t: t("orders").select("o_orderkey", F.round(F.a
 _simple("topk", lambda t: t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 _simple("topk_per_group", lambda t: t("orders").withColumn("rn", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("rn <= 3").select("o_orderpriority", "o_orderkey", "rn"), "SELECT o_orderpriority, o_orderkey, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey))::INTEGER AS rn FROM orders QUALIFY rn <= 3")
 for _name, _f, _op in (("union_all", "unionAll", "UNION ALL"), ("union_distinct", "union", "UNION"), ("intersect", "intersect", "INTERSECT"), ("except", "subtract", "EXCEPT")):
-    _simple(_name, lambda t, f=_f, d=_name == "union_distinct": (lambda x: x.distinct() if d else x)(getattr(t("customer").select(_c("c_nationkey").alias("k")), f)(t("supplier").where("s_suppkey < 40").select(_c("s_nationkey").alias("k")))), f"SELECT c_nationkey AS k FROM customer {_op} SELECT s_nationkey FROM supplier WHERE s_suppkey < 40")
+    _simple(_name, lambda t, f=_f, d=_name == "union_distinct": (lambda x: x.distinct() if d else x)(getattr(t("customer").select(_c("c_nationkey").alias("k")), f)(t("part").select(_c("p_size").alias("k")))), f"SELECT c_nationkey AS k FROM customer {_op} SELECT p_size FROM part")
 _simple("string_fns", lambda t: t("customer").select("c_custkey", F.upper("c_mktsegment").alias("up"), F.substring("c_name", 1, 4).alias("head"), F.concat_ws("-", "c_name", "c_mktsegment").alias("both"), F.length("c_name").alias("size"), F.regexp_extract("c_name", "([0-9]+)", 1).alias("digits")), "SELECT c_custkey, upper(c_mktsegment) AS up, c_name[1:4] AS head, concat_ws('-', c_name, c_mktsegment) AS both, length(c_name)::INTEGER AS size, regexp_extract(c_name, '([0-9]+)', 1) AS digits FROM customer")
 _simple("date_trunc_month", lambda t: t("orders").groupBy(F.trunc(_c("o_orderdate").cast("date"), "month").alias("month")).agg(F.count("*").alias("n")), "SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders GROUP BY ALL")
 _simple("math_fns", lambda t: t("lineitem").groupBy(F.floor("l_quantity").alias("q")).agg(F.round(F.sum(F.sqrt("l_extendedprice")), 1).alias("roots"), F.sum(F.pmod(_c("l_orderkey"), F.lit(7))).alias("rest")), "SELECT floor(l_quantity)::BIGINT AS q, round(sum(sqrt(l_extendedprice)), 1) AS roots, sum(l_orderkey % 7)::BIGINT AS rest FROM lineitem GROUP BY ALL")
@@ -251,3 +311,35 @@ _simple("map_struct_explode", lambda t: t("nation").select("n_nationkey", F.expl
 _simple("hash_fns", lambda t: t("customer").select("c_custkey", F.md5(_c("c_name").cast("binary")).alias("md5"), F.sha2(_c("c_name").cast("binary"), 256).alias("sha256"), F.base64(_c("c_name").cast("binary")).alias("b64"), F.hex(_c("c_name").cast("binary")).alias("hex")), "SELECT c_custkey, md5(c_name) AS md5, sha256(c_name) AS sha256, base64(c_name::BLOB) AS b64, hex(c_name::BLOB) AS hex FROM customer")
 _simple("bits_and_trig", lambda t: t("part").select("p_partkey", _c("p_size").bitwiseAND(7).alias("low"), F.shiftleft("p_size", 2).alias("shifted"), F.signum(_c("p_size") - 25.0).alias("sign"), F.round(F.log(_c("p_retailprice")), 6).alias("ln"), F.round(F.sin("p_size"), 6).alias("sine"), F.ceil(_c("p_retailprice") / 100).alias("hundreds")), "SELECT p_partkey, p_size & 7 AS low, p_size << 2 AS shifted, sign(p_size - 25.0)::DOUBLE AS sign, round(ln(p_retailprice), 6) AS ln, round(sin(p_size), 6) AS sine, ceil(p_retailprice / 100)::BIGINT AS hundreds FROM part")
 _simple("tumbling_windows", lambda t: t("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(_c("w.start").alias("hour"), "event_type", "n"), "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+
+
+_simple("right_join", lambda t: t("supplier").join(t("nation"), (_c("s_nationkey") == _c("n_nationkey")) & (_c("s_acctbal") > 9000), "right").select("n_nationkey", "s_suppkey"), "SELECT n_nationkey, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 9000")
+_simple("cross_join", lambda t: t("region").crossJoin(t("nation")).groupBy("r_name").agg(F.count("*").alias("n")), "SELECT r_name, count(*) AS n FROM region CROSS JOIN nation GROUP BY ALL")
+_simple("theta_join", lambda t: t("nation").alias("a").join(t("region").alias("b"), _c("a.n_regionkey") > _c("b.r_regionkey")).select(_c("a.n_name").alias("nation"), _c("b.r_name").alias("region")), "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey > r_regionkey")
+_simple("approx_aggregates", lambda t: t("orders").groupBy("o_orderstatus").agg((F.abs(F.approx_count_distinct("o_custkey", 0.01) - F.countDistinct("o_custkey")) <= 0.05 * F.countDistinct("o_custkey")).alias("distinct_near"), (F.abs(F.percentile_approx("o_totalprice", 0.5, 10000) - F.percentile("o_totalprice", 0.5)) <= 0.02 * F.percentile("o_totalprice", 0.5)).alias("median_near"), F.first("o_orderstatus").alias("first"), F.last("o_orderstatus").alias("last")), "SELECT o_orderstatus, true AS distinct_near, true AS median_near, o_orderstatus AS first, o_orderstatus AS last FROM orders GROUP BY ALL")
+_simple("sample_rows", lambda t: t("orders").sample(0.5, 7).agg((F.count("*") > 0).alias("some"), (F.countDistinct("o_orderkey") == F.count("*")).alias("once")).join(t("orders").sample(1.0, 7).agg(F.count("*").alias("every"))), "SELECT true AS some, true AS once, count(*) AS every FROM orders")
+_simple("array_family", lambda t: t("embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("head"), F.array_sort(F.slice("embedding", 1, 3)).alias("sorted"), F.size(F.array_distinct(F.transform("embedding", lambda x: x > 0))).alias("signs"), F.array_contains(F.flatten(F.array(F.array("vec_id"), F.array(F.lit(-1).cast("long")))), -1).alias("holds"), F.aggregate(F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)), F.lit(0), lambda a, x: a + x).alias("positive")), "SELECT vec_id, embedding[1:3] AS head, list_sort(embedding[1:3]) AS sorted, len(list_distinct(list_transform(embedding, lambda x: x > 0)))::INTEGER AS signs, list_contains(flatten([[vec_id], [-1]]), -1) AS holds, list_sum(list_transform(embedding, lambda x: (x > 0)::INTEGER))::INTEGER AS positive FROM embeddings")
+_simple("posexplode_rows", lambda t: t("part").select("p_partkey", F.posexplode(F.split("p_type", "")).alias("at", "letter")).groupBy("at", "letter").agg(F.count("*").alias("n")), "SELECT (i - 1)::INTEGER AS at, letter, count(*) AS n FROM (SELECT unnest(string_split(p_type, '')) AS letter, unnest(range(1, len(p_type) + 1)) AS i FROM part) GROUP BY ALL")
+_simple("map_family", lambda t: t("nation").select("n_nationkey", F.map_from_entries(F.array(F.struct(F.lit("a").alias("k"), _c("n_regionkey").alias("v")), F.struct(F.lit("b").alias("k"), _c("n_nationkey").alias("v")))).alias("m")).select("n_nationkey", F.array_join(F.array_sort(F.map_keys("m")), "").alias("keys"), F.aggregate(F.map_values("m"), F.lit(0), lambda a, x: a + x).alias("total"), F.element_at("m", "a").alias("region")), "SELECT n_nationkey, 'ab' AS keys, n_regionkey + n_nationkey AS total, n_regionkey AS region FROM nation")
+_simple("struct_family", lambda t: t("nation").select("n_nationkey", F.struct(_c("n_name").alias("name"), _c("n_regionkey").alias("region")).withField("twice", _c("n_regionkey") * 2).dropFields("region").alias("s")).select("n_nationkey", "s.name", "s.twice"), "SELECT n_nationkey, n_name AS name, n_regionkey * 2 AS twice FROM nation")
+_simple("json_family", lambda t: t("events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.to_json(F.struct(_c("event_type").alias("t"))).alias("j"), F.try_variant_get(F.parse_json("props"), "$.k", "int").alias("v"), F.json_tuple("props", "k").alias("text")), "SELECT event_id, (props::JSON->>'k')::INTEGER AS k, '{\"t\":\"' || event_type || '\"}' AS j, (props::JSON->>'k')::INTEGER AS v, props::JSON->>'k' AS text FROM events")
+_simple("date_family", lambda t: t("events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("text"), F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("yyyy-MM-dd HH:mm:ss")).alias("parsed"), F.dayofweek("ts").alias("day"), F.hour("ts").alias("hour"), F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), "ts").alias("hours"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("cut")), "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS text, date_trunc('second', ts) AS parsed, (dayofweek(ts) + 1)::INTEGER AS day, hour(ts)::INTEGER AS hour, floor(epoch(ts - TIMESTAMP '2024-01-01') / 3600)::BIGINT AS hours, date_trunc('hour', ts) AS cut FROM events")
+_simple("null_family", lambda t: t("customer").select("c_custkey", F.least("c_acctbal", F.lit(0.0)).alias("debt"), F.ifnull(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("-")).alias("segment"), F.isnan(_c("c_acctbal")).alias("nan"), F.isnull(F.nullif("c_nationkey", F.lit(3))).alias("three")), "SELECT c_custkey, least(c_acctbal, 0.0) AS debt, ifnull(nullif(c_mktsegment, 'BUILDING'), '-') AS segment, isnan(c_acctbal) AS nan, nullif(c_nationkey, 3) IS NULL AS three FROM customer")
+
+
+def _round_trip(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Nations written in another format and read back."""
+        path = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+        nation = _t(spark, sf_dir, "nation")
+        write = nation.write.option("header", True) if kind == "csv" else nation.write
+        write.format(kind).save(path)
+        read = spark.read.schema(nation.schema)
+        return (read.option("header", True) if kind == "csv" else read).format(kind).load(path)
+
+    run.__name__ = f"read_{kind}"
+    return run
+
+
+for _kind in ("csv", "json", "orc"):
+    _query("SELECT * FROM nation")(_round_trip(_kind))

@@ -18,13 +18,13 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..plans.contracts import Manifest, ModuleContract, Stage
+from ..plans.contracts import Description, Step, to_json
 from ..plans.order import layers, topological
 from ..plans.state import StateStore
-from ..plans.version import Version, merge
+from ..plans.version import Version, VersionMismatch, merge
 from ..sources.storage import Storage
 from .module import Module, resolving
-from .workspace import Workspace
+from .workspace import SparkProfile, Workspace
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,19 @@ class Plan:
     order: list[str]
     layers: list[list[str]]
     targets: dict[str, str]
-    manifests: dict[str, Manifest]
+    manifests: dict[str, Description]
+
+    def explain(self) -> str:
+        """Level by level, what is read, made and written."""
+        out = []
+        for i, level in enumerate(self.layers):
+            for name in level:
+                d = self.manifests[name]
+                mark = " (target)" if name in self.targets else ""
+                out.append(f"{i}: {name}@{d.version}{mark} reads {', '.join(f'{u}@{self.manifests[u].version}' for u in sorted(d.reads)) or 'nothing'}")
+                for step in d.steps:
+                    out += [f"   {'+' if d.relations[t].public else '-'} {t} ({d.relations[t].mode}): {d.relations[t].schema.simpleString()}" for t in step.tables]
+        return "\n".join(out)
 
 
 @dataclass
@@ -68,18 +80,45 @@ def call_factory(factory: Callable[..., Module], resolver: object) -> Module:
 
 
 class Graph:
-    def __init__(self, workspace: Workspace, targets: Mapping[str, str], *, name: str | None = None, spark: SparkSession | None = None) -> None:
+    def __init__(self, workspace: Workspace, targets: Mapping[str, str], *, name: str | None = None, spark: SparkSession | None = None, profiles: Mapping[str, str] | None = None) -> None:
         self.workspace, self.name, self._spark = workspace, name, spark
         self.frozen: dict[str, dict] = {}
+        self.mode = workspace.mode
+        self.profiles: dict[str, str] = {}
+        self.set_profiles(profiles or {})
         self.set_targets(targets)
 
+    def set_workspace(self, workspace: Workspace) -> None:
+        """Another workspace; what was resolved and frozen before is forgotten."""
+        self.workspace = workspace
+        self.set_targets(self.targets)
+
+    def set_mode(self, mode: str) -> None:
+        """How the graph is run; what was resolved before is forgotten."""
+        if mode not in self.workspace.MODES:
+            raise ValueError(f"a graph runs {' or '.join(self.workspace.MODES)}, not {mode!r}")
+        self.mode = mode
+        self.set_targets(self.targets)
+
+    def set_profiles(self, profiles: Mapping[str, str]) -> None:
+        """Profiles of modules in this graph alone; they go before the workspace's, and nothing else changes."""
+        self.profiles = dict(profiles)
+
+    def profile_of(self, name: str) -> SparkProfile:
+        """A module's profile: this graph's, else the workspace's for the module, else its default one."""
+        w = self.workspace
+        profile = self.profiles.get(name) or w.module_profiles.get(name) or w.default_profile
+        if profile not in w.profiles:
+            raise ValueError(f"{name} has the profile {profile!r}; there are {sorted(w.profiles)}")
+        return w.profiles[profile]
+
     @property
     def spark(self) -> SparkSession:
         return self._spark or SparkSession.active()
 
     @property
     def state(self) -> StateStore:
-        return StateStore(Path(self.workspace.root) / "state" / "state.sqlite")
+        return StateStore(self.workspace.home / "state" / "state.sqlite")
 
     def set_targets(self, targets: Mapping[str, str]) -> None:
         """Choose targets by exact version; what was resolved and frozen before is forgotten."""
@@ -90,21 +129,24 @@ class Graph:
         self.targets = dict(targets)
         self.versions: dict[str, str] = {}
         self.edges: dict[str, set[str]] = {}
-        self.manifests: dict[str, Manifest] = {}
+        self.manifests: dict[str, Description] = {}
+        self._chosen: dict[str, str] = {}
+        self._upgrade = True
         self.frozen = {}
 
     # what modules ask while planning
-    def resolve_contract(self, name: str, version: str) -> ModuleContract:
-        """The contract of the version chosen for a module, which must satisfy the one asked for."""
-        chosen = self.versions.get(name, version)
-        if Version.parse(chosen).major != Version.parse(version).major or Version.parse(chosen) < Version.parse(version):
-            raise ValueError(f"Constraint mismatch for {name}: {version} is needed, {chosen} is chosen")
-        return self._manifest(name, chosen).contract()
+    def resolve_contract(self, name: str, version: str) -> Description:
+        """The contract of the version chosen for a module, which must satisfy the one asked for; while versions are being
+        chosen, of the one that is chosen so far, or would be for this requirement alone."""
+        chosen = self.versions.get(name) or self._chosen.get(name) or self.targets.get(name) or (self._upgraded(name, version) if self._upgrade else version)
+        if self.versions and (Version.parse(chosen).major != Version.parse(version).major or Version.parse(chosen) < Version.parse(version)):
+            raise VersionMismatch(f"{name} is read in {version}, and the graph has it in {chosen}")
+        return self._manifest(name, chosen).offer()
 
     def upstream_table(self, name: str, version: str, table: str, schema: StructType) -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
-    def _manifest(self, name: str, version: str) -> Manifest:
+    def _manifest(self, name: str, version: str) -> Description:
         key = f"{name}@{version}"
         if key in self._building:
             raise ValueError(f"cycle: {' -> '.join([*self._building, key])}")
@@ -112,7 +154,7 @@ class Graph:
             self._building.append(key)
             module = call_factory(load_factory(self._code(name, version)), self)
             if module.version != version or module.name != name:
-                raise ValueError(f"{module.name}@{module.version} does not match required {key}")
+                raise VersionMismatch(f"the code of {key} makes {module.name}@{module.version}")
             self._built[key] = module.build()
             self._building.pop()
         return self._built[key]
@@ -134,10 +176,11 @@ class Graph:
             return
         try:
             while True:
-                self._built: dict[str, Manifest] = {}
+                self._built: dict[str, Description] = {}
                 self._building: list[str] = []
                 before = dict(self.versions)
                 chosen: dict[str, str] = {}
+                self._chosen, self._upgrade = chosen, auto_upgrade
                 for name, version in self.targets.items():
                     chosen[name] = merge(name, version, chosen.get(name), pin=True)
                 queue, edges = list(self.targets), {}
@@ -163,13 +206,13 @@ class Graph:
 
     def _declared(self, name: str, version: str) -> dict[str, str]:
         """The sources of a module, by running its factory against the versions known so far."""
-        return self._manifest(name, version).sources
+        return self._manifest(name, version).reads
 
     def freeze(self, *, auto_upgrade: bool = False) -> None:
         """Copy the code of each chosen version, once, and write its manifest beside it; runs then use the copies."""
         self.resolve(auto_upgrade=auto_upgrade)
         for name, version in self.versions.items():
-            to = Path(self.workspace.root) / "modules" / name / version
+            to = self.workspace.home / "modules" / name / version
             if not to.exists():
                 code = Path(self.workspace.module_path(name, version))
                 if code.is_dir():
@@ -177,7 +220,7 @@ class Graph:
                 else:
                     to.mkdir(parents=True)
                     shutil.copy(code, to / "module.py")
-            (to / "loomline.manifest.json").write_text(json.dumps(self.manifests[name].to_dict(), indent=1))
+            (to / "loomline.manifest.json").write_text(json.dumps(to_json(self.manifests[name]), indent=1))
             self.frozen[name] = {"version": version, "path": str(to), "depends_on": sorted(self.edges[name])}
 
     def plan(self) -> Plan:
@@ -188,32 +231,39 @@ class Graph:
         """One pass over all modules in order; those of one layer run side by side on ``parallel`` threads.
 
         The first failure stops the run and is raised; modules that are done stay done. ``freshness``: seconds within
-        which an earlier success of a module counts.
+        which an earlier success of a module, in the version now chosen, counts, unless a module it reads has succeeded since.
         """
+        self.workspace.validate()
         self.freeze(auto_upgrade=not self.frozen)
         plan = self.plan()
+        profiles = {name: self.profile_of(name) for name in plan.order}
         result = RunResult(plan, uuid.uuid4().hex, time.time())
         for level in plan.layers:
-            if parallel <= 1 or len(level) == 1:
-                for name in level:
-                    self._run_module(name, result, freshness, verbose)
-            else:
-                with ThreadPoolExecutor(parallel) as pool:
-                    list(pool.map(inheritable_thread_target(self.spark)(lambda n: self._run_module(n, result, freshness, verbose)), level))
+            # modules of one profile run side by side, as settings are the session's
+            for profile in {id(profiles[n]): profiles[n] for n in level}.values():
+                group = [n for n in level if profiles[n] is profile]
+                with profile.applied(self.spark):
+                    if parallel <= 1 or len(group) == 1:
+                        for name in group:
+                            self._run_module(name, result, freshness, verbose)
+                    else:
+                        with ThreadPoolExecutor(parallel) as pool:
+                            list(pool.map(inheritable_thread_target(self.spark)(lambda n: self._run_module(n, result, freshness, verbose)), group))
         result.ended, result.success = time.time(), True
         return result
 
     def _run_module(self, name: str, result: RunResult, freshness: float | None, verbose: bool) -> None:
         state, began, version = self.state, time.time(), self.versions[name]
-        done = state.last_success(name)
+        done = state.last_success(name, version)
         if freshness is not None and done is not None and began - done < freshness:
-            return
+            if all((state.last_success(u, self.versions[u]) or began) <= done for u in self.edges[name]):
+                return
         if not state.acquire(name, result.run_id):
             raise RuntimeError(f"{name} is locked by another run")
         try:
             call_factory(load_factory(self.frozen[name]["path"]), _Runner(self, name, state, result.run_id)).build()
             state.record_version(name, version)
-            state.record_success(name)
+            state.record_success(name, version)
         finally:
             state.release(name, result.run_id)
         result.seconds[name] = time.time() - began
@@ -232,12 +282,12 @@ class Graph:
     # JSON
     def to_dict(self) -> dict:
         w = self.workspace
-        return {"spec_version": 1, "name": self.name, "targets": self.targets, "workspace": w.saved_at or w.to_dict()}
+        return {"spec_version": 1, "name": self.name, "targets": self.targets, "profiles": self.profiles, "workspace": w.saved_at or w.to_dict()}
 
     @classmethod
     def from_dict(cls, d: dict) -> Graph:
         w = d["workspace"]
-        return cls(Workspace.load(w) if isinstance(w, str) else Workspace.from_dict(w), d["targets"], name=d.get("name"))
+        return cls(Workspace.load(w) if isinstance(w, str) else Workspace.from_dict(w), d["targets"], name=d.get("name"), profiles=d.get("profiles"))
 
     def save(self, path: str | Path) -> None:
         Path(path).write_text(json.dumps(self.to_dict(), indent=1))
@@ -255,25 +305,28 @@ class _Runner:
         self.storage = Storage(graph.spark, graph.workspace.root)
         self.stored: dict[str, str] = {}
 
-    def resolve_contract(self, name: str, version: str) -> ModuleContract:
-        return self.graph.manifests[name].contract()
+    def resolve_contract(self, name: str, version: str) -> Description:
+        return self.graph.manifests[name].offer()
 
     def upstream_table(self, name: str, version: str, table: str, schema: StructType) -> DataFrame:
         return self.storage.read(self.storage.table_path(name, self.graph.versions[name], table), schema)
 
     def own_table(self, module: Module, table: str) -> DataFrame | None:
         path = self.stored.get(table)
-        return None if path is None else self.storage.read(path, module.tables[table].contract.schema)
+        return None if path is None else self.storage.read(path, module.tables[table].relation.schema)
+
+    def previous_table(self, module: Module, table: str) -> DataFrame | None:
+        path = self.storage.table_path(self.name, module.version, table)
+        return self.storage.read(path) if self.storage.has(path) else None
 
-    def stage_done(self, module: Module, stage: Stage) -> None:
-        version = module.version
-        newest = max((Version.parse(v) for v in self.storage.names(f"{self.storage.root}/data/{self.name}") if v.count(".") == 2), default=Version.parse(version))
-        for table in stage.outputs:
+    def step_done(self, module: Module, step: Step) -> None:
+        version = Version.parse(module.version)
+        for table in step.tables:
             t = module.tables[table]
             path = f"{self.storage.root}/data/{self.name}/{version}/{table}.parquet"
-            self.storage.write(t.frame, path)
+            self.storage.write(t.frame, path, t.relation)
             self.stored[table] = path
-            if t.exported:
-                self.storage.publish(self.name, version, table, path, Version.parse(version) >= newest)
-            self.state.record_success(self.name, table)
+            if t.relation.public:
+                self.storage.publish(self.name, str(version), table, path, version >= (self.storage.newest(self.name) or version))
+            self.state.record_table(self.name, table)
             self.state.renew(self.name, self.run_id)

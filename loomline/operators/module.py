@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from ..functions.types import schema_of
-from ..plans.contracts import Manifest, ModuleContract, Stage, TableContract
+from ..plans.contracts import MODES, Description, Relation, Step
 from ..plans.version import Version
 
 
 class Resolver(Protocol):
     """Gives contracts of upstream modules, and their tables: empty ones while planning, stored ones while running."""
 
-    def resolve_contract(self, name: str, version: str) -> ModuleContract: ...
+    def resolve_contract(self, name: str, version: str) -> Description: ...
 
     def upstream_table(self, name: str, version: str, table: str, schema: StructType) -> DataFrame: ...
 
@@ -47,8 +47,7 @@ def select_as(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 @dataclass
 class _Table:
     frame: DataFrame
-    exported: bool
-    contract: TableContract
+    relation: Relation
 
 
 class Upstream:
@@ -66,8 +65,8 @@ class Upstream:
             warnings.warn(f"{m.name}: the contract of {self._name} is unknown; its columns are taken as double", RuntimeWarning, stacklevel=2)
             frame = m.spark.createDataFrame([], schema_of({c: DoubleType() for c in sorted(set(used))}))
         else:
-            promised = contract.require_table(table)
-            promised.require(used, f"{m.name} reads {self._name}.{table}")
+            promised = contract[table]
+            promised.need(used, f"{m.name} reads {self._name}.{table}")
             frame = m.resolver.upstream_table(self._name, contract.version, table, promised.schema)
         m.usage.setdefault((self._name, table), set()).update(used)
         return select_as(frame, columns)
@@ -97,10 +96,10 @@ class Module:
         self.name, self.version, self.description = name, version, description
         self._spark = spark
         self.sources: dict[str, str] = {}
-        self.contracts: dict[str, ModuleContract] = {}
+        self.contracts: dict[str, Description] = {}
         self.usage: dict[tuple[str, str], set[str]] = {}
         self.tables: dict[str, _Table] = {}
-        self.stages: list[Stage] = []
+        self.steps: list[Step] = []
         self._pending: list[str] = []
         self.upstream = UpstreamMap(self)
         self.resolver: Resolver | None = None
@@ -136,39 +135,47 @@ class Module:
         if table not in self.tables:
             raise KeyError(f"{self.name} has made no table {table!r}; it has {sorted(self.tables)}")
         t = self.tables[table]
-        t.contract.require(list(columns.values()), f"{self.name} reads its own {table}")
+        t.relation.need(list(columns.values()), f"{self.name} reads its own {table}")
         stored = getattr(self.resolver, "own_table", lambda *_: None)(self, table)
         return select_as(t.frame if stored is None else stored, columns)
 
-    def sink(self, tables: Mapping[str, DataFrame], *, description: str | None = None) -> None:
-        """Make exported tables."""
-        self._register(tables, True, description)
+    def previous(self, table: str) -> DataFrame | None:
+        """A table of this module as an earlier run left it; None while planning, on a first run, and where runs start afresh."""
+        return getattr(self.resolver, "previous_table", lambda *_: None)(self, table)
 
-    def sink_internal(self, tables: Mapping[str, DataFrame], *, description: str | None = None) -> None:
+    def sink(self, tables: Mapping[str, DataFrame], **how: object) -> None:
+        """Make exported tables; see _register for how they are written."""
+        self._register(tables, True, **how)
+
+    def sink_internal(self, tables: Mapping[str, DataFrame], **how: object) -> None:
         """Make tables that are stored, and are no part of the contract."""
-        self._register(tables, False, description)
+        self._register(tables, False, **how)
 
-    def _register(self, tables: Mapping[str, DataFrame], exported: bool, description: str | None) -> None:
+    def _register(self, tables: Mapping[str, DataFrame], public: bool, *, description: str | None = None, mode: str = "replace", keys: Sequence[str] = (), order: Sequence[str] = ()) -> None:
+        """mode: replace the stored table, append to it, or merge (rows with the ``keys`` of new ones go); order: columns that files are ranged and sorted by."""
+        if mode not in MODES or (mode == "merge") != bool(keys):
+            raise ValueError(f"a table is written by one of {MODES}, and keys are for merging")
         for name, frame in tables.items():
             if not name or name in self.tables:
                 raise ValueError(f"{self.name}: a table needs a new name, not {name!r}")
-            self.tables[name] = _Table(frame, exported, TableContract(name, schema_of(frame.schema), description))
+            relation = Relation(schema_of(frame.schema), public, description, mode, tuple(keys), tuple(order))
+            relation.need([*keys, *order], f"{self.name} writes {name}")
+            self.tables[name] = _Table(frame, relation)
             self._pending.append(name)
 
     def flow(self, *, notes: str | None = None) -> None:
         """Close a stage: what was made since the last one."""
-        self.stages.append(Stage(len(self.stages), tuple(self._pending), notes))
+        self.steps.append(Step(tuple(self._pending), notes))
         self._pending = []
-        done = getattr(self.resolver, "stage_done", None)
+        done = getattr(self.resolver, "step_done", None)
         if done:
-            done(self, self.stages[-1])
+            done(self, self.steps[-1])
 
     def columns_used(self, upstream: str, table: str) -> set[str] | None:
         got = self.usage.get((upstream, table))
         return None if got is None else set(got)
 
-    def build(self) -> Manifest:
+    def build(self) -> Description:
         if self._pending:
-            self.flow(notes="implicit final stage")
-        tables = ({n: t.contract for n, t in self.tables.items() if t.exported == e} for e in (True, False))
-        return Manifest(self.name, self.version, self.description, dict(self.sources), tuple(self.stages), *tables)
+            self.flow(notes="left open by the module")
+        return Description(self.name, self.version, {n: t.relation for n, t in self.tables.items()}, dict(self.sources), tuple(self.steps), self.description)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Mapping
+from dataclasses import replace
 from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..plans.contracts import ModuleContract, Stage
+from ..plans.contracts import Description, Step
 from ..sources.storage import Storage
 from .graph import call_factory, load_factory
 from .module import Module
@@ -71,6 +72,7 @@ class Sandbox:
         self._module: Module | None = None
         self.upstream = _Inputs(self)
         self._running: dict[str, str] | None = None
+        self._in_place = True
 
     @property
     def root(self) -> str:
@@ -83,7 +85,7 @@ class Sandbox:
         return self._module
 
     # what the module asks
-    def resolve_contract(self, name: str, version: str) -> ModuleContract:
+    def resolve_contract(self, name: str, version: str) -> Description:
         """From the saved inputs, else from the source workspace."""
         saved = Storage(self.spark, self.root)
         try:
@@ -100,12 +102,23 @@ class Sandbox:
         path = (self._running or {}).get(table)
         return self.sink_.read(path) if path else None
 
-    def stage_done(self, module: Module, stage: Stage) -> None:
+    def previous_table(self, module: Module, table: str) -> DataFrame | None:
+        """The earlier output that an in-place run goes on from: its own last one, else the one saved from the source workspace."""
+        if self._running is None or not self._in_place:
+            return None
+        paths = [f"{self.root}/{part}/{table}.parquet" for part in ("output", "downstream")]
+        return next((self.sink_.read(p) for p in paths if self.sink_.has(p)), None)
+
+    def step_done(self, module: Module, step: Step) -> None:
         if self._running is None:
             return
-        for table in stage.outputs:
-            path = f"{self.root}/output/{table}.parquet"
-            self.sink_.write(module.tables[table].frame, path)
+        for table in step.tables:
+            path, relation = f"{self.root}/output/{table}.parquet", module.tables[table].relation
+            frame = module.tables[table].frame
+            saved = f"{self.root}/downstream/{table}.parquet"
+            if self._in_place and relation.mode != "replace" and not self.sink_.has(path) and self.sink_.has(saved):
+                self.sink_.write(self.sink_.read(saved), path)
+            self.sink_.write(frame, path, relation if self._in_place else replace(relation, mode="replace", keys=()))
             self._running[table] = path
 
     def downstream(self, table: str) -> Sample:
@@ -142,9 +155,9 @@ class Sandbox:
         code = factory or e["code"] or str(Path(registry).parent / "module.py")
         return cls(code, Workspace.from_dict(e["source"]), e["name"], e["version"], sink=Workspace.from_dict(e["sink"]))
 
-    def flow(self) -> Module:
-        """Run the module over the saved inputs; its tables go to output/."""
-        self._running = {}
+    def flow(self, *, in_place: bool = True) -> Module:
+        """Run the module over the saved inputs; its tables go to output/. In place, it goes on from its earlier outputs."""
+        self._running, self._in_place = {}, in_place
         try:
             module = call_factory(self.factory, self)
             module.build()
@@ -156,6 +169,6 @@ class Sandbox:
         """A result of flow, or else a saved earlier output."""
         for part in ("output", "downstream"):
             path = f"{self.root}/{part}/{table}.parquet"
-            if self.sink_.exists(path):
+            if self.sink_.has(path):
                 return self.sink_.read(path)
         raise FileNotFoundError(f"the sandbox of {self.name}@{self.version} has no {table}")

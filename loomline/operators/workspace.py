@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import json
 import warnings
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
+from ..plans.contracts import from_json
 from ..plans.version import Version, parse_reference
+from ..sources.storage import Storage
 
 
 @dataclass(frozen=True)
 class SparkProfile:
-    """Session settings that a run applies."""
+    """Session settings that a run applies to the modules which have the profile."""
 
     kind: str = "local"
     conf: Mapping[str, str] = field(default_factory=dict)
@@ -22,12 +27,32 @@ class SparkProfile:
         if self.kind not in ("local", "cluster"):
             raise ValueError(f"a profile is local or cluster, not {self.kind!r}")
 
+    @contextmanager
+    def applied(self, spark: SparkSession) -> Iterator[None]:
+        """The session with these settings, and as it was afterwards. Those that are fixed when a session starts must agree."""
+        local = spark.sparkContext.master.startswith("local")
+        if local != (self.kind == "local"):
+            raise ValueError(f"the profile is for a {self.kind} session, and this one runs on {spark.sparkContext.master}")
+        before = {k: spark.conf.get(k, None) for k in self.conf}
+        fixed = sorted(k for k, v in self.conf.items() if before[k] != v and not spark.conf.isModifiable(k) and k.startswith("spark.") and before[k] is not None)
+        if fixed:
+            raise ValueError(f"{fixed} must be set when the session starts")
+        try:
+            for k, v in self.conf.items():
+                spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
 class Workspace:
     MODES = ("once",)
 
-    def __init__(self, root: str | Path = ".loomline", *, name: str | None = None) -> None:
+    def __init__(self, root: str | Path = ".loomline", *, name: str | None = None, home: str | Path | None = None) -> None:
+        """root: where tables are, on any file system; home: where state and frozen code are, a folder of the driver (root itself, if that is one)."""
         self.root, self.name = str(root), name
+        self._home = None if home is None else str(home)
         self.modules: dict[str, dict[str, str] | str] = {}
         self.profiles: dict[str, SparkProfile] = {}
         self.default_profile: str | None = None
@@ -35,6 +60,20 @@ class Workspace:
         self.mode = "once"
         self.saved_at: str | None = None
 
+    @property
+    def home(self) -> Path:
+        if self._home is not None:
+            return Path(self._home)
+        scheme, mark, path = self.root.partition(":")
+        if mark and len(scheme) > 1 and scheme != "file":
+            raise ValueError(f"{self.root} is no folder of the driver; give the workspace a home for state and code")
+        return Path("/" + path.lstrip("/") if mark and scheme == "file" else self.root)
+
+    def publish(self, spark: SparkSession) -> None:
+        """The views of all tables that runs have stored here, for a session that has not made them itself."""
+        offers = [from_json(json.loads(p.read_text())) for p in sorted(self.home.glob("modules/*/*/loomline.manifest.json"))]
+        Storage(spark, self.root).publish_all(sorted(offers, key=lambda d: Version.parse(d.version)))
+
     # catalogue of modules
     def set_module(self, reference: str, path: str | Path, *, overwrite: bool = False, base: str | Path | None = None) -> None:
         """Where the code of name@version (or of an unversioned name) is. Another path for it is an error unless overwriting."""
@@ -123,18 +162,18 @@ class Workspace:
         for p in self.profiles.values():
             p.validate()
 
-    def graph(self, targets: Mapping[str, str], *, name: str | None = None):
+    def graph(self, targets: Mapping[str, str], *, name: str | None = None, profiles: Mapping[str, str] | None = None):
         from .graph import Graph
 
-        return Graph(self, targets, name=name)
+        return Graph(self, targets, name=name, profiles=profiles)
 
     # JSON
     def to_dict(self) -> dict:
-        return {"spec_version": 1, "name": self.name, "root": self.root, "modules": self.modules, "profiles": {k: asdict(p) for k, p in self.profiles.items()}, "default_profile": self.default_profile, "module_profiles": self.module_profiles, "mode": self.mode}
+        return {"spec_version": 1, "name": self.name, "root": self.root, "home": self._home, "modules": self.modules, "profiles": {k: asdict(p) for k, p in self.profiles.items()}, "default_profile": self.default_profile, "module_profiles": self.module_profiles, "mode": self.mode}
 
     @classmethod
     def from_dict(cls, d: dict) -> Workspace:
-        w = cls(d["root"], name=d.get("name"))
+        w = cls(d["root"], name=d.get("name"), home=d.get("home"))
         w.modules = {k: dict(v) if isinstance(v, dict) else v for k, v in d["modules"].items()}
         w.profiles = {k: SparkProfile(p["kind"], dict(p["conf"])) for k, p in d["profiles"].items()}
         w.default_profile, w.module_profiles = d.get("default_profile"), dict(d.get("module_profiles", {}))
@@ -147,7 +186,10 @@ class Workspace:
         self.saved_at = str(Path(path).resolve())
 
     @classmethod
-    def load(cls, path: str | Path) -> Workspace:
+    def load(cls, path: str | Path, *, spark: SparkSession | None = None) -> Workspace:
+        """Read a saved workspace; with a session, the views of its tables are registered there."""
         w = cls.from_dict(json.loads(Path(path).read_text()))
         w.saved_at = str(Path(path).resolve())
+        if spark is not None:
+            w.publish(spark)
         return w

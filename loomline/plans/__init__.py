@@ -1,8 +1,8 @@
 """Contracts, versions, orders of a graph, and its state."""
 
-from .contracts import Manifest, ModuleContract, Stage, TableContract
+from .contracts import Description, Relation, Step, from_json, to_json
 from .order import layers, topological
 from .state import StateStore
-from .version import Version, merge, parse_reference
+from .version import Version, VersionConflict, VersionMismatch, merge, parse_reference
 
-__all__ = ["Manifest", "ModuleContract", "Stage", "StateStore", "TableContract", "Version", "layers", "merge", "parse_reference", "topological"]
+__all__ = ["Description", "Relation", "StateStore", "Step", "Version", "VersionConflict", "VersionMismatch", "from_json", "layers", "merge", "parse_reference", "to_json", "topological"]

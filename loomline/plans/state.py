@@ -15,7 +15,7 @@ from .version import Version
 _TABLES = """
 CREATE TABLE IF NOT EXISTS locks (node TEXT PRIMARY KEY, holder TEXT, acquired REAL, expires REAL);
 CREATE TABLE IF NOT EXISTS versions (module TEXT, major INTEGER, version TEXT, updated REAL, PRIMARY KEY (module, major));
-CREATE TABLE IF NOT EXISTS modules (module TEXT PRIMARY KEY, succeeded REAL);
+CREATE TABLE IF NOT EXISTS runs (module TEXT, version TEXT, succeeded REAL, PRIMARY KEY (module, version));
 CREATE TABLE IF NOT EXISTS tables (module TEXT, name TEXT, succeeded REAL, PRIMARY KEY (module, name));
 """
 
@@ -70,16 +70,18 @@ class StateStore:
                 c.execute("INSERT OR REPLACE INTO versions VALUES (?, ?, ?, ?)", (module, new.major, version, time.time()))
             c.execute("COMMIT")
 
-    def record_success(self, module: str, table: str | None = None) -> None:
+    def record_success(self, module: str, version: str) -> None:
         with self._open() as c:
-            if table is None:
-                c.execute("INSERT OR REPLACE INTO modules VALUES (?, ?)", (module, time.time()))
-            else:
-                c.execute("INSERT OR REPLACE INTO tables VALUES (?, ?, ?)", (module, table, time.time()))
+            c.execute("INSERT OR REPLACE INTO runs VALUES (?, ?, ?)", (module, version, time.time()))
 
-    def last_success(self, module: str) -> float | None:
+    def record_table(self, module: str, table: str) -> None:
         with self._open() as c:
-            row = c.execute("SELECT succeeded FROM modules WHERE module = ?", (module,)).fetchone()
+            c.execute("INSERT OR REPLACE INTO tables VALUES (?, ?, ?)", (module, table, time.time()))
+
+    def last_success(self, module: str, version: str) -> float | None:
+        """When this version of the module was last run to its end."""
+        with self._open() as c:
+            row = c.execute("SELECT succeeded FROM runs WHERE module = ? AND version = ?", (module, version)).fetchone()
         return row[0] if row else None
 
     def ledger(self, spark: SparkSession) -> DataFrame:

@@ -6,6 +6,14 @@ import re
 from typing import NamedTuple
 
 
+class VersionConflict(ValueError):
+    """Two requirements that no one version of a module meets."""
+
+
+class VersionMismatch(ValueError):
+    """A module that is of another version than was asked for."""
+
+
 class Version(NamedTuple):
     major: int
     minor: int
@@ -41,9 +49,9 @@ def merge(name: str, wanted: str, have: str | None, *, pinned_have: bool = False
         return wanted
     old = Version.parse(have)
     if pin and new != old:
-        raise ValueError(f"Constraint conflict for {name}: it was {have} before and is {wanted} now")
+        raise VersionConflict(f"the targets ask for {name} in {have} and in {wanted}")
     if pinned_have and new != old:
-        raise ValueError(f"Constraint conflict for {name}: {wanted} is needed, but a target pins {have}")
+        raise VersionConflict(f"a module reads {name} in {wanted}, and the target is {have}")
     if new.major != old.major:
-        raise ValueError(f"Constraint conflict for {name}: {have} and {wanted} are of different majors")
+        raise VersionConflict(f"{name} is read in {have} and in {wanted}, whose majors differ")
     return str(max(new, old))

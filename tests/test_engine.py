@@ -10,18 +10,18 @@ from pyspark.sql import types as T
 from loomline.catalogue import ORACLE_SQL, QUERIES
 from loomline.functions import parse_type
 from loomline.operators import Graph, Module, Sandbox, SparkProfile, Workspace, select_as
-from loomline.plans import Manifest, StateStore, Version, layers, merge, parse_reference, topological
+from loomline.plans import StateStore, Version, VersionConflict, VersionMismatch, from_json, layers, merge, parse_reference, to_json, topological
 from loomline.sources import Storage
 from loomline.streaming import ripple, wave
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-BASE = 'from loomline.operators import Module\ndef module():\n    m = Module("base", "{v}")\n    m.sink({{"t": m.spark.createDataFrame([(1, 10), (2, 20)], "id long, val long")}})\n    return m\n'
-DERIVED = 'from pyspark.sql import functions as F\nfrom loomline.operators import Module\ndef module():\n    m = Module("derived", "1.0.0")\n    m.source({{"base": "{v}"}})\n    x = m.upstream["base"].get("t", {{"val": "val"}})\n    m.sink_internal({{"staging": x}})\n    m.flow()\n    m.sink({{"out": m.get("staging", {{"v": "val"}}).agg(F.sum("v").alias("total"))}})\n    return m\n'
+BASE = 'from loomline.operators import Module\ndef module():\n    m = Module("tides", "{v}")\n    m.sink({{"t": m.spark.createDataFrame([(1, 4), (2, 9)], "id long, cm long")}})\n    return m\n'
+DERIVED = 'from pyspark.sql import functions as F\nfrom loomline.operators import Module\ndef module():\n    m = Module("summary", "1.0.0")\n    m.source({{"tides": "{v}"}})\n    x = m.upstream["tides"].get("t", {{"cm": "cm"}})\n    m.sink_internal({{"staging": x}})\n    m.flow()\n    m.sink({{"out": m.get("staging", {{"v": "cm"}}).agg(F.sum("v").alias("total"))}})\n    return m\n'
 
 
 def make(tmp_path, needs="1.0.0", bases=("1.0.0",), real=None):
     w = Workspace(tmp_path / "ws")
-    for name, v, code in [*(("base", v, BASE.format(v=real or v)) for v in bases), ("derived", "1.0.0", DERIVED.format(v=needs))]:
+    for name, v, code in [*(("tides", v, BASE.format(v=real or v)) for v in bases), ("summary", "1.0.0", DERIVED.format(v=needs))]:
         d = tmp_path / "code" / name / v
         d.mkdir(parents=True)
         (d / "module.py").write_text(code)
@@ -48,9 +48,9 @@ def test_versions_and_orders():
             Version.parse(bad)
     assert merge("x", "1.1.0", "1.0.0") == "1.1.0" and merge("x", "1.0.0", "1.1.0") == "1.1.0"
     for kw in ({"pinned_have": True}, {"pin": True}):
-        with pytest.raises(ValueError, match="Constraint conflict"):
+        with pytest.raises(VersionConflict):
             merge("x", "1.0.0", "1.1.0", **kw)
-    with pytest.raises(ValueError, match="majors"):
+    with pytest.raises(VersionConflict):
         merge("x", "2.0.0", "1.1.0")
     edges = {"d": {"b", "c"}, "b": {"a"}, "c": {"a"}, "a": {"outside"}}
     assert topological(edges) == ["a", "b", "c", "d"] and layers(edges) == [["a"], ["b", "c"], ["d"]]
@@ -72,8 +72,8 @@ def test_module(spark):
     with pytest.raises(KeyError):
         m.get("one", {"x": "missing"})
     manifest = m.build()
-    assert [s.notes for s in manifest.stages] == [None, "implicit final stage"] and list(manifest.exported) == ["two"]
-    assert Manifest.from_dict(json.loads(json.dumps(manifest.to_dict()))) == manifest
+    assert [s.tables for s in manifest.steps] == [("one",), ("two",)] and manifest.steps[1].note and list(manifest.offer().relations) == ["two"]
+    assert from_json(json.loads(json.dumps(to_json(manifest)))) == manifest
     m.source({"up": "1.0.0"})
     with pytest.warns(RuntimeWarning):
         assert m.upstream["up"].get("t", {"x": "a"}).schema["x"].dataType == T.DoubleType()
@@ -85,13 +85,13 @@ def test_module(spark):
 
 def test_run(spark, tmp_path):
     w = make(tmp_path)
-    g = w.graph({"derived": "1.0.0"})
-    assert g.plan().order == ["base", "derived"] and g.column_lineage() == [("derived", "base", "t", "val")]
+    g = w.graph({"summary": "1.0.0"})
+    assert g.plan().order == ["tides", "summary"] and g.column_lineage() == [("summary", "tides", "t", "cm")]
     r = g.run(parallel=2)
-    assert r.success and r.duration >= 0 and spark.sql("SELECT total FROM derived.out").first().total == 30
-    assert spark.sql("SELECT count(*) FROM base__v1.t").first()[0] == 2
+    assert r.success and r.duration >= 0 and spark.sql("SELECT total FROM summary.out").first().total == 13
+    assert spark.sql("SELECT count(*) FROM tides__v1.t").first()[0] == 2
     s = Storage(spark, w.root)
-    assert s.read(s.table_path("derived", "1.0.0", "staging")).count() == 2
+    assert s.read(s.table_path("summary", "1.0.0", "staging")).count() == 2
     g.run()  # a second pass replaces the tables
     assert g.state.ledger(spark).count() == 2 and not list((tmp_path / "ws/_staging").glob("*-before"))
     assert g.run(freshness=1000).seconds == {}
@@ -103,18 +103,18 @@ def test_run(spark, tmp_path):
 
 
 def test_resolution(tmp_path, spark):
-    with pytest.raises(ValueError, match="does not match required"):
-        make(tmp_path / "a", real="1.0.1").graph({"base": "1.0.0"}).resolve()
-    with pytest.raises(ValueError, match="Constraint conflict"):
-        make(tmp_path / "b", needs="2.0.0", bases=("1.0.0", "2.0.0")).graph({"base": "1.0.0", "derived": "1.0.0"}).resolve()
+    with pytest.raises(VersionMismatch):
+        make(tmp_path / "a", real="1.0.1").graph({"tides": "1.0.0"}).resolve()
+    with pytest.raises(VersionConflict):
+        make(tmp_path / "b", needs="2.0.0", bases=("1.0.0", "2.0.0")).graph({"tides": "1.0.0", "summary": "1.0.0"}).resolve()
     w = make(tmp_path / "c", needs="0.1.0", bases=("0.1.0", "0.2.0"))
-    g = w.graph({"derived": "1.0.0"})
-    g.state.record_version("base", "0.2.0")
+    g = w.graph({"summary": "1.0.0"})
+    g.state.record_version("tides", "0.2.0")
     g.resolve()
-    assert g.versions["base"] == "0.2.0" and g.manifests["base"].version == "0.2.0"
-    pinned = w.graph({"derived": "1.0.0", "base": "0.1.0"})
+    assert g.versions["tides"] == "0.2.0" and g.manifests["tides"].version == "0.2.0"
+    pinned = w.graph({"summary": "1.0.0", "tides": "0.1.0"})
     pinned.resolve()
-    assert pinned.versions["base"] == "0.1.0"
+    assert pinned.versions["tides"] == "0.1.0"
     with pytest.raises(ValueError):
         w.set_mode("scheduled")
     with pytest.raises(KeyError):
@@ -156,20 +156,20 @@ def test_state(tmp_path):
 
 def test_sandbox(spark, tmp_path):
     w = make(tmp_path)
-    w.graph({"derived": "1.0.0"}).run()
-    code = str(tmp_path / "code/derived/1.0.0")
-    box = Sandbox(code, w, "derived", "1.0.0", sink=Workspace(tmp_path / "box"))
-    sample = box.upstream["base"].get("t", infer_select=True)
-    assert sample.frame.columns == ["val"]
-    box.sink(sample.transform(lambda d: d.where("val = 10")))
+    w.graph({"summary": "1.0.0"}).run()
+    code = str(tmp_path / "code/summary/1.0.0")
+    box = Sandbox(code, w, "summary", "1.0.0", sink=Workspace(tmp_path / "box"))
+    sample = box.upstream["tides"].get("t", infer_select=True)
+    assert sample.frame.columns == ["cm"]
+    box.sink(sample.transform(lambda d: d.where("cm = 4")))
     with pytest.raises(ValueError):
         box.sink(sample.frame)
     box.materialize(registry=tmp_path / "r.json")
     again = Sandbox.load_active(tmp_path / "r.json")
     again.flow()
-    assert again.get("out").first().total == 10
+    assert again.get("out").first().total == 4
     again.flow()
-    assert box.downstream("out").frame.first().total == 30
+    assert box.downstream("out").frame.first().total == 13
 
 
 def test_failed_write_keeps_the_table(spark, tmp_path):
@@ -179,7 +179,7 @@ def test_failed_write_keeps_the_table(spark, tmp_path):
     with pytest.raises(Exception):
         s.write(spark.range(5).selectExpr("raise_error('no') AS x"), path)
     s.write(s.read(path).where("id < 3"), path)  # reads what it replaces
-    assert s.read(path).count() == 3 and list(s.discover("m", "1.0.0").tables) == ["t"]
+    assert s.read(path).count() == 3 and list(s.discover("m", "1.0.0").relations) == ["t"]
 
 
 def test_ripple(spark, tmp_path):
@@ -190,6 +190,128 @@ def test_ripple(spark, tmp_path):
     assert spark.read.parquet(out).count() == 15
 
 
+def test_freshness_is_of_a_version(spark, tmp_path):
+    w = make(tmp_path, bases=("1.0.0", "1.1.0"))
+    w.graph({"tides": "1.0.0"}).run()
+    assert w.graph({"tides": "1.0.0"}).run(freshness=1000).seconds == {}
+    assert set(w.graph({"tides": "1.1.0"}).run(freshness=1000).seconds) == {"tides"}
+    g = w.graph({"summary": "1.0.0"})
+    g.run()
+    w.graph({"tides": "1.1.0"}).run()  # a module that summary reads has succeeded since
+    assert set(g.run(freshness=1000).seconds) == {"summary"}
+
+
+def test_upgrade_where_the_declared_version_is_gone(spark, tmp_path):
+    w = make(tmp_path, needs="0.1.0", bases=("0.2.0",))
+    g = w.graph({"summary": "1.0.0"})
+    with pytest.raises(FileNotFoundError):
+        g.resolve()
+    g.state.record_version("tides", "0.2.0")
+    g.resolve()
+    assert g.versions["tides"] == "0.2.0"
+    with pytest.raises(FileNotFoundError):
+        w.graph({"summary": "1.0.0"}).resolve(auto_upgrade=False)
+
+
+SETTING = 'from pyspark.sql import functions as F\nfrom loomline import Module\ndef module():\n    m = Module("setting", "1.0.0")\n    m.sink({"t": m.spark.range(1).select(F.lit(m.spark.conf.get("spark.sql.shuffle.partitions")).alias("n"))})\n    return m\n'
+
+
+def test_profiles_act(spark, tmp_path):
+    (tmp_path / "module.py").write_text(SETTING)
+    w = Workspace(tmp_path / "ws")
+    w.set_module("setting@1.0.0", tmp_path)
+    with pytest.raises(ValueError):
+        w.graph({"setting": "1.0.0"}).run()  # no default profile
+    for name, n in (("plain", "4"), ("wide", "9"), ("narrow", "2")):
+        w.set_profile(name, SparkProfile(conf={"spark.sql.shuffle.partitions": n}))
+    w.set_default_profile("plain")
+    w.set_module_profile("setting", "wide")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for profiles, want in ((None, "9"), ({"setting": "narrow"}, "2")):
+        w.graph({"setting": "1.0.0"}, profiles=profiles).run()
+        assert spark.sql("SELECT n FROM setting.t").first().n == want
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    g = w.graph({"setting": "1.0.0"}, profiles={"setting": "none"})
+    with pytest.raises(ValueError):
+        g.run()
+    g.set_profiles({})
+    g.set_mode("once")
+    assert "setting@1.0.0 (target)" in g.plan().explain() and Graph.from_dict(g.to_dict()).profiles == {}
+    with pytest.raises(KeyError):
+        g.set_workspace(Workspace(tmp_path / "other"))
+    w.set_profile("far", SparkProfile("cluster"))
+    with pytest.raises(ValueError):
+        w.graph({"setting": "1.0.0"}, profiles={"setting": "far"}).run()
+
+
+def test_a_write_that_ends_between_its_renames(spark, tmp_path):
+    s = Storage(spark, tmp_path)
+    path = tmp_path / "data/m/1.0.0/t.parquet"
+    s.write(spark.range(5), str(path))
+    path.rename(path.with_name(".t.parquet.before"))
+    assert s.read(str(path)).count() == 5
+    path.rename(path.with_name(".t.parquet.before"))
+    s.write(spark.range(3), str(path))
+    assert s.read(str(path)).count() == 3 and not path.with_name(".t.parquet.before").exists()
+
+
+def test_views_in_a_new_session(spark, tmp_path):
+    w = make(tmp_path)
+    w.graph({"summary": "1.0.0"}).run()
+    w.save(tmp_path / "w.json")
+    spark.sql("DROP VIEW summary.out")
+    other = spark.newSession()
+    Workspace.load(tmp_path / "w.json", spark=other)
+    assert other.sql("SELECT total FROM summary.out").first().total == 13
+    assert "staging" not in [r.viewName for r in other.sql("SHOW VIEWS IN summary").collect()]
+
+
+def test_home_of_a_remote_root(tmp_path):
+    with pytest.raises(ValueError):
+        Workspace("s3a://bucket/tables").home
+    assert Workspace("s3a://bucket/tables", home=tmp_path).home == tmp_path
+    assert str(Workspace("file:///data/x").home) == "/data/x" and Workspace(tmp_path).home == tmp_path
+
+
+GROWING = """
+from loomline import Module
+def module():
+    m = Module("growing", "1.0.0")
+    old = m.previous("log")
+    n = 0 if old is None else old.count()
+    new = m.spark.createDataFrame([(n, "new"), (0, f"seen {n}")], "id long, what string")
+    m.sink({"log": new}, mode="append", order=["id"])
+    m.sink({"state": new.dropDuplicates(["id"])}, mode="merge", keys=["id"])
+    return m
+"""
+
+
+def test_append_merge_and_in_place_runs(spark, tmp_path):
+    (tmp_path / "module.py").write_text(GROWING)
+    w = Workspace(tmp_path / "ws")
+    w.set_module("growing@1.0.0", tmp_path)
+    w.set_profile("local", SparkProfile())
+    w.set_default_profile("local")
+    for n in (2, 4):
+        w.graph({"growing": "1.0.0"}).run()
+        assert spark.sql("SELECT id FROM growing.log").count() == n
+    state = spark.sql("SELECT id, what FROM growing.state").collect()
+    assert sorted(r.id for r in state) == [0, 2] and {r.id: r.what for r in state}[0] == "seen 2"
+    box = Sandbox(str(tmp_path), w, "growing", "1.0.0", sink=Workspace(tmp_path / "box"))
+    box.sink(box.downstream("log"))
+    box.materialize(registry=tmp_path / "r.json")
+    box.flow()
+    assert box.get("log").count() == 6 and box.get("log").where("what = 'seen 4'").count() == 1
+    box.flow()
+    assert box.get("log").count() == 8
+    box.flow(in_place=False)
+    assert box.get("log").count() == 2
+    m = Module("m", "1.0.0", spark=spark)
+    for how in ({"mode": "merge"}, {"mode": "replace", "keys": ["id"]}, {"mode": "upsert"}):
+        with pytest.raises(ValueError):
+            m.sink({"t": spark.range(1)}, **how)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_catalogue(spark, name):
     d = "/root/testdata/sf0.001"
