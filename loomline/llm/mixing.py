@@ -15,7 +15,7 @@ The predictors' logits are combined by weights chosen by a gate (how often two o
 deep the bit is). The weights are learned online: a chunk's texts are coded in order, a batch of tokens at a time, and each
 batch is first coded by the weights so far and then, as far as it is of training texts, learned from. A last stage refines the
 mixed probability by an adaptive map of how often a probability of that size has been right. Counts are of the whole corpus;
-weights and maps (some hundreds of numbers) are a chunk's own, and move by every fourth of its tokens. The score is the sum of log10 probabilities of all decisions.
+weights and maps (some hundreds of numbers) are a chunk's own. The score is the sum of log10 probabilities of all decisions.
 
 A training text is scored by what the other training texts say: its own occurrences are taken out of its tokens' counts,
 so that texts which were learned from and texts which were not can be compared, and a text with a copy stands out.
@@ -65,8 +65,6 @@ GATES = WORD_GATES + SPELL_GATES
 FINE, BINS = 1024, 64
 #: Tokens worked on at a time: few at first, while weights move fast.
 STEPS = (512, 1024, 2048, 4096, 8192, 16384)
-#: Weights move by one in so many tokens.
-RATE = 4
 SLICES = 64
 LN10 = float(np.log(10))
 _NAMED = np.uint64((1 << 64) - (1 << 64 - WORD_BITS))
@@ -573,10 +571,12 @@ class Coder:
         x, seen = [], []
         for at, (known, total) in zip(t.spelled(rare), self.model.spelled, strict=True):
             # sums over the bytes that share a context and the bits so far, by their place in the sorted table
+            at, back, _ = _groups(at)
             bound = np.empty((9, len(at)), dtype=np.float32)
             for d in range(9):
                 low = at >> (8 - d) << (8 - d)
                 bound[d] = total[np.searchsorted(known, low + (1 << 8 - d))] - total[np.searchsorted(known, low)]
+            bound = bound.take(back, axis=1)
             x.append(_stretch(np.maximum(bound[1:] - own, 0), bound[:-1] - bound[1:]))
             seen.append(bound[:-1] - own)
         trust = lambda s, a, b: (s > a).astype(np.uint8) + (s > b)
@@ -602,7 +602,7 @@ class Coder:
         m = self.model
         at = m.fine(m.mixed(x, gate))
         out = (m.logs().reshape(-1).take(gate * np.int32(FINE) + at) * live).sum(axis=0)
-        m.learn([v[:, ::RATE] for v in x], gate[:, ::RATE], at[:, ::RATE], (live & learned)[:, ::RATE])
+        m.learn(x, gate, at, live & learned)
         return out
 
     def log10(self) -> np.ndarray:
