@@ -6,7 +6,8 @@ split into substrings of 16 bits and each substring has a table of the vectors b
 query's agree with it, in one substring at least, but for R // substrings bits: probing all such values of every table
 retrieves every code within R, and the floats of these are compared exactly, in double precision.
 
-The index is kept in blocks of vectors, and every block of queries meets every block of the index.
+The index is kept in blocks of vectors, and every block of queries meets every block of the index. A query that finds
+fewer than k vectors within the radius in the whole index is searched anew by all floats; blocks decide nothing by themselves.
 """
 
 from __future__ import annotations
@@ -110,7 +111,9 @@ class Tables:
         return at[np.bitwise_count(self.codes[at] ^ code).sum(axis=1) <= radius]
 
 
-def _search(codes: Codes, k: int, dim: int):
+def _search(codes: Codes, k: int, dim: int, whole: bool):
+    """The k best of each block for each query, of those within the radius or, with ``whole``, of all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = masks(SUBSTRING, codes.radius // (codes.rotation.shape[1] // SUBSTRING))
         for _, rows in by_bucket(batches):
@@ -123,16 +126,14 @@ def _search(codes: Codes, k: int, dim: int):
             x = np.concatenate([read(r[2], np.float64).reshape(-1, dim) for r in items])
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
-            table = Tables(codes.of(x, False))
+            table = None if whole else Tables(codes.of(x, False))
             for r in queries:
                 own, q = read(r[1], np.int64), read(r[2], np.float64).reshape(-1, dim)
                 code = codes.of(q, True)
-                out = []
+                out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
                 for i in range(len(own)):
-                    at = table.within(code[i], codes.radius, probe)
+                    at = table.within(code[i], codes.radius, probe) if table else np.arange(len(ids))
                     at = at[ids[at] != own[i]]
-                    if len(at) < k:  # too few within the radius: the whole block
-                        at = np.flatnonzero(ids != own[i])
                     s = np.einsum("ij,j->i", x[at], q[i])
                     best = np.lexsort((ids[at], -s))[:k]
                     out.append((np.full(len(best), own[i]), ids[at][best], s[best]))
@@ -162,7 +163,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     vectors, queries: vec_id, embedding (array of numbers); other columns are ignored. A query's own vec_id is no
     candidate. Fewer than k candidates are all returned; ties go to the smaller vec_id. Vectors that are null or zero,
-    hold null or non-finite components, have a null vec_id, or are not of the most common length take no part.
+    hold null or non-finite components, have a null vec_id, or are not of the most common length take no part. Rows of
+    queries that share a vec_id are one query, with the least of their vectors; each row of vectors is a candidate.
     """
     vectors, queries = _valid(vectors), _valid(queries)
     dims = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)).alias("longest"))
@@ -171,21 +173,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total, scale = first.dim, first.n, float(np.sqrt(first.longest))
     vectors, queries = (t.where(F.size("embedding") == dim) for t in (vectors, queries))
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     wanted = vectors.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     sample = sorted(vectors.join(wanted, "vec_id", "left_semi").collect())
     codes = learn(np.array([r.embedding for r in sample], dtype=np.float64), scale, k, total)
     blocks = -(-total // INDEX_BLOCK)
     put = lambda t, n, size: t.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), "vec_id", "embedding").mapInArrow(_blobs(dim, size), "block int, ids binary, vectors binary")
     items = put(vectors, blocks, QUERY_BLOCK).select("block", F.lit(False).alias("query"), "ids", "vectors")
-    asked = put(queries, 1, QUERY_BLOCK // 8).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "ids", "vectors")
     # a block is searched by several tasks, each with a share of the queries and the block's vectors
     shares = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // (2 * blocks))
     items = items.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    asked = asked.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
-    both = items.union(asked.select(*items.columns)).select((F.col("block") * shares + F.col("share")).alias("task"), "query", "ids", "vectors")
-    found = both.repartition("task").sortWithinPartitions("task").mapInArrow(_search(codes, k, dim), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def search(some: DataFrame, whole: bool) -> DataFrame:
+        asked = put(some, 1, QUERY_BLOCK // 8).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "ids", "vectors")
+        asked = asked.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
+        both = items.union(asked.select(*items.columns)).select((F.col("block") * shares + F.col("share")).alias("task"), "query", "ids", "vectors")
+        found = both.repartition("task").sortWithinPartitions("task").mapInArrow(_search(codes, k, dim, whole), "query_id long, vec_id long, score double")
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = materialize(search(queries, False), "nearest")
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = queries.join(full, queries["vec_id"] == full["query_id"], "left_anti")
+    if short.isEmpty():
+        return found
+    return found.join(full, "query_id", "left_semi").select(*found.columns).union(search(short, True))
 
 
 def _valid(t: DataFrame) -> DataFrame:

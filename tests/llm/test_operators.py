@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers as P
@@ -348,11 +349,32 @@ def test_nearest(spark):
         assert [(-r.score, r.vec_id) for r in own] == sorted((-r.score, r.vec_id) for r in own)
         hit += len({r.vec_id for r in own} & set(sorted(s, key=lambda i: (-s[i], i))[:20]))
     assert hit >= 0.9 * 400 and {r.query_id for r in got} == set(range(0, 400, 20))
+    # repeated queries are one; a column beside the two changes nothing
+    again = nearest.nearest(v.withColumn("block", F.lit(1)), v.union(v).where("vec_id % 20 = 0").withColumn("rank", F.lit("x"))).collect()
+    assert sorted(again) == sorted(got)
     few = nearest.nearest(v.where("vec_id < 4"), v.where("vec_id = 0")).collect()
     assert len(few) == 3
     assert nearest.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_nearest_beyond_the_radius(spark, monkeypatch):
+    """A query with too few codes within the radius gets its exact nearest, in whatever blocks these are."""
+    monkeypatch.setattr(nearest, "INDEX_BLOCK", 100)
+    learn = nearest.learn
+    monkeypatch.setattr(nearest, "learn", lambda *a: replace(learn(*a), radius=0))
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 16))
+    x[40:80] = x[20]  # query 20, 40 and 60 find enough equal codes, the others do not
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.nearest(v, v.where("vec_id % 20 = 0"), 5).collect()
+    for q in range(0, 300, 20):
+        s = {i: float(np.dot(x[q], x[i])) for i in range(300) if i != q}
+        own = [r for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
+        assert [r.rank for r in own] == [1, 2, 3, 4, 5]
+        if q not in (20, 40, 60):
+            assert [r.vec_id for r in own] == sorted(s, key=lambda i: (-round(s[i], 9), i))[:5]
+
+
 def test_url_rules(spark):
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
     urls = ["http://A.Example.NET/en/1?x=1", "https://example.net", "http://example.net/de/#f", "http://badexample.net/en/2", "ftp://x.org/fr/a//b", "x.example.com/de/", "http://www.example.com/de/z", None, "", "http://example.com/en/", "http://h?q=/net/"]
