@@ -152,7 +152,7 @@ def _pieces(p: Pack, at: np.ndarray, h: np.ndarray, answers: list[dict], n: int,
     k, start, count = k[order], start[order], count[order]
     doc = np.searchsorted(p.starts, start, side="right") - 1
     name = span_hashes(p.bytes, start, start + count + length - 1) ^ mix(k)
-    place = np.lexsort((start, p.ids[doc], name))  # equal pieces are sent once, from the earliest place
+    place = np.lexsort((start - p.starts[doc], p.ids[doc], name))  # equal pieces are sent once, from the earliest place
     new = np.ones(len(place), dtype=bool)
     new[1:] = name[place[1:]] != name[place[:-1]]
     same = np.empty(len(start), dtype=np.int64)
@@ -251,7 +251,9 @@ def _first_places(length: int):
                 later[x] = early[a : a + c]
         out, i = [], 0
         for pl in places:
-            rows = [later[x] if standing[x] == x else np.ones(every[x, 2], dtype=bool) for x in range(i, i + len(pl))]
+            # an equal piece is a copy, unless it stands at the same place of a row with the same doc_id
+            tied = (every[i : i + len(pl), :2] == every[standing[i : i + len(pl)], :2]).all(axis=1)
+            rows = [later[standing[x]] if t else np.ones(every[x, 2], dtype=bool) for x, t in zip(range(i, i + len(pl)), tied.tolist(), strict=True)]
             out.append(np.concatenate(rows))
             i += len(pl)
         return out
@@ -272,8 +274,15 @@ def _kept(n: int, length: int):
                     bits = {x["bucket"]: np.frombuffer(x["bits"], dtype=np.uint8) for x in batch["later"][i].as_py() or ()}
                     full, a = np.unique(bucket, return_index=True)
                     early = [np.unpackbits(bits[b], count=int(count[sent[x:y]].sum())).astype(bool) for b, x, y in zip(full.tolist(), a, np.append(a[1:], len(sent)), strict=True)]
-                    copies = same != np.arange(len(same))  # an equal piece stands earlier in this very chunk
-                    where = np.concatenate((_spread(start[sent], count[sent])[np.concatenate(early)], _spread(start[copies], count[copies])))
+                    early = np.concatenate(early)
+                    begins = np.cumsum(count[sent]) - count[sent]
+                    doc = np.searchsorted(p.starts, start, side="right") - 1
+                    inner = start - p.starts[doc]
+                    # an equal piece stands earlier in this very chunk, or at the same place of a row with the same doc_id
+                    copies = (p.ids[doc] != p.ids[doc[same]]) | (inner != inner[same])
+                    tied = np.flatnonzero(~copies)
+                    bit = _spread(begins[np.searchsorted(sent, same[tied])], count[tied])
+                    where = np.concatenate((_spread(start[tied], count[tied])[early[bit]], _spread(start[copies], count[copies])))
                     np.add.at(gone, where, 1)
                     np.add.at(gone, where + length, -1)
                 drop = np.cumsum(gone[:-1]) > 0
@@ -303,7 +312,8 @@ def byte_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     docs: doc_id, text; other columns are ignored. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs)
     and kept (binary: the other bytes in order). Texts are taken as UTF-8; matches never cross documents and may
     overlap; strings are judged on the input. A null text is an empty one; a text shorter than ``length`` is kept
-    whole; rows with a null doc_id are left out, and doc_id must otherwise be unique.
+    whole; rows with a null doc_id are left out. Every other row gives one row: rows that share a doc_id are judged each by
+    its own text, and a string at the same start of another such row is not earlier.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")

@@ -119,6 +119,27 @@ def test_byte_dedup(spark, texts):
     assert bytededup.byte_dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_byte_dedup_of_repeated_ids(spark, parts):
+    r = random.Random(3)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(4)]
+    # equal rows, and rows of one doc_id that share strings at equal and at other starts
+    rows = [(5, base[0]), (5, base[0]), (5, base[0][:200] + base[1]), (5, "xx" + base[1]), (2, base[2]), (2, base[2]), (9, base[1] + base[2]), (9, base[3]), (9, base[3]), (9, base[3][:150]), (None, base[3])]
+    rows += [(20 + i, base[i % 4][i : i + 250]) for i in range(8)] + [(20, base[0][:250])]
+    first: dict[str, tuple[int, int]] = {}
+    for d, t in rows:
+        for i in range(len(t) - 99) if d is not None else ():
+            first[t[i : i + 100]] = min(first.get(t[i : i + 100], (d, i)), (d, i))
+    want = []
+    for d, t in rows:
+        if d is not None:
+            gone = {i + j for i in range(len(t) - 99) if first[t[i : i + 100]] < (d, i) for j in range(100)}
+            want.append((d, len(gone), "".join(c for i, c in enumerate(t) if i not in gone).encode()))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = [(x.doc_id, x.n_removed, bytes(x.kept)) for x in bytededup.byte_dedup(table).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_run_index():
     r = random.Random(1)
     for t in range(100):
