@@ -26,7 +26,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import SENT, answered, buckets, chunked, encode, read_bits, send, unpack
+from .chunks import SENT, answered, buckets, chunked, encode, key_ranges, read_bits, send, unpack
 from .scratch import materialize_by
 from .text import Pack, Words, mix, windows, word_hashes, words
 
@@ -168,9 +168,16 @@ def _send_windows(n: int, width: int, bits: int):
 def _earlier(keys: list[np.ndarray], payloads: list[memoryview]) -> list[np.ndarray]:
     """For each key of each row whether another row has it with a smaller document."""
     z = zstandard.ZstdDecompressor()
-    own = np.concatenate([np.frombuffer(z.decompress(p), dtype=np.int64) for p in payloads])
-    _, inverse, least, _ = _least_most(np.concatenate(keys), own)
-    return np.split(least[inverse] < own, np.cumsum([len(k) for k in keys])[:-1])
+    own = [np.frombuffer(z.decompress(p), dtype=np.int64) for p in payloads]
+    out = [np.empty(len(k), dtype=bool) for k in keys]
+    for spans in key_ranges(keys):
+        part = np.concatenate([k[a:b] for k, (a, b) in zip(keys, spans, strict=True)])
+        ids = np.concatenate([v[a:b] for v, (a, b) in zip(own, spans, strict=True)])
+        _, inverse, least, _ = _least_most(part, ids)
+        flag, done = least[inverse] < ids, 0
+        for o, (a, b) in zip(out, spans, strict=True):
+            o[a:b], done = flag[done : done + b - a], done + b - a
+    return out
 
 
 def _cover(length: int, start: np.ndarray, width: int) -> np.ndarray:

@@ -100,6 +100,23 @@ def test_substring_dedup(spark, texts):
     assert recompression.substring_dedup(docs(spark, [])).count() == 0
 
 
+def test_a_bucket_of_windows_needs_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    pool = np.unique(r.integers(0, 1 << 63, 600_000, dtype=np.uint64))
+    at = [np.union1d(r.integers(0, len(pool), 20_000), np.arange(3)) for _ in range(60)] + [np.zeros(0, dtype=np.int64)]
+    keys, ids = [pool[a] for a in at], [r.integers(0, 1000, len(a)) for a in at]
+    least = np.full(len(pool), 1000)
+    np.minimum.at(least, np.concatenate(at), np.concatenate(ids))
+    payloads = [recompression.zstandard.ZstdCompressor(level=1).compress(i.tobytes()) for i in ids]
+    tracemalloc.start()
+    got = recompression._earlier(keys, payloads)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+    assert all((g == (least[a] < i)).all() for g, a, i in zip(got, at, ids, strict=True))
+
+
 def test_byte_dedup(spark, texts):
     raw = [(t or "").encode() for t in texts]
     first = {}
