@@ -342,6 +342,68 @@ def test_lm_counts_are_exact(spark, texts):
     assert checked > 5000
 
 
+def lm_bucket(rows):
+    """A bucket's rows of context pairs, of groups that rows share, and the layout."""
+    r, lay = np.random.default_rng(4), mixing.Layout(1, 18, 24, 29)
+    sent = []
+    for chunk in range(rows):
+        group = r.integers(0, 1 << 29, 20_000) * (r.random(20_000) < 0.7) + r.integers(0, 3000, 20_000)
+        key = np.unique(group.astype(np.uint64) % np.uint64(1 << 29) << np.uint64(mixing.NAME_BITS) | r.integers(0, 9, 20_000).astype(np.uint64))
+        sent.append(mixing._rows(chunk, np.zeros(len(key), dtype=np.int64), key, r.integers(0, 40, len(key))))
+    return sent, lay
+
+
+def test_lm_bucket_needs_little_memory():
+    import tracemalloc
+
+    sent, lay = lm_bucket(60)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in mixing._answer_contexts(lay)(iter(sent))) == 60
+    assert tracemalloc.get_traced_memory()[1] < 70_000_000
+    tracemalloc.stop()
+
+
+def test_lm_bucket_in_ranges(monkeypatch):
+    """A bucket's answers are the same in however many ranges of keys they are worked out."""
+    sent, lay = lm_bucket(5)
+    words_ = [mixing._rows(i, np.zeros(900, dtype=np.int64), np.unique(np.random.default_rng(i).integers(0, 1 << 40, 990, dtype=np.uint64) << np.uint64(16))[:900], np.arange(900)) for i in range(4)]
+    got = []
+    for size in (1 << 30, 5000, 37):
+        monkeypatch.setattr("loomline.llm.chunks.RANGE_KEYS", size)
+        answers = [*mixing._answer_contexts(lay)(iter(sent)), *mixing._answer_words(lay)(iter(words_))]
+        got.append([(r["chunk"], r["bucket"], mixing.zstandard.ZstdDecompressor().decompress(r["blob"])) for b in answers for r in b.to_pylist()])
+    assert got[0] == got[1] == got[2] and len(got[0]) == 5 + 4 + 1
+
+
+def test_lm_decides_no_more_than_there_is(spark, texts):
+    """Below the cell a word has bits to decide only as far as another word shares its name."""
+    both, lay, model, *_ = mixing.fitted(docs(spark, texts), F.col("doc_id") % 7 != 2)
+    lay_bits = lay.code_bits - lay.cell_bits
+    for _, t, c in lm_coders(both, lay, model):
+        at = np.flatnonzero(c.known)
+        at = at[np.argsort(-c.deep[t.of[at]], kind="stable")]
+        x, gate, live, *_ = c.word_decisions(at)
+        assert len(live) == len(gate) == len(x[0]) < lay.cell_bits * len(at) + lay_bits * len(at)
+        assert len(live) == lay.cell_bits * len(at) + int(c.deep[t.of[at]].astype(int).sum())
+        for word, deep in zip(c.below, c.deep, strict=True):
+            assert not word[deep:-1].any() and (deep == 0 or word[deep - 1] > 0)
+
+
+def test_word_hashes():
+    """By the definition, with long words, long gaps and words that end a text."""
+    r = np.random.default_rng(6)
+    for share in (0.2, 0.01, 0.003, 0.97):
+        buf = np.where(r.random(4000) < share, 32, r.integers(65, 123, 4000)).astype(np.uint8)
+        p = text.Pack(np.arange(3), buf, np.array([0, 700, 701, 4000]))
+        w = text.words(p)
+        for lower in (False, True):
+            got = text.word_hashes(buf, w, lower=lower)
+            for a, b, h in zip(w.start.tolist(), w.end.tolist(), got, strict=True):
+                value = (text._BYTE[text._LOWER] if lower else text._BYTE)[buf[a:b]] * text._POWER[np.minimum(np.arange(b - a), 255)]
+                value[256:] = text.mix(value[256:] ^ text.mix(np.arange(256, max(256, b - a)).astype(np.uint64)))
+                assert h == text.mix(np.add.reduce(value, keepdims=True) ^ text.mix(np.array([b - a]).astype(np.uint64)))[0]
+
+
 def test_lm_probabilities_sum_to_one(spark):
     """After one and the same text, the probabilities of all known words and of the end make up that of a known token."""
     r = random.Random(8)
