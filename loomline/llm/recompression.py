@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import SENT, answered, buckets, chunked, encode, key_ranges, read_bits, send, unpack
-from .scratch import materialize_by
+from .scratch import materialize_by, release
 from .text import Pack, Words, mix, windows, word_hashes, words
 
 #: Words a window must have: below, two rounds do not leave a shared symbol in every window.
@@ -240,7 +240,9 @@ def substring_dedup(docs: DataFrame, window: int = LEAST_WINDOW, layout: bool =
     n = buckets(chunks)
     bits = symbol_bits(int(chunks.agg(F.sum("size")).first()[0] or 0))
     shared = materialize_by(answered(chunks.mapInArrow(_send_symbols(n, bits), SENT), n, _shared), "symbols", "chunk")
+    release(docs.sparkSession)
     near = chunks.join(shared, "chunk", "left")
     later = materialize_by(answered(near.mapInArrow(_send_windows(n, window, bits), SENT), n, _earlier).withColumnRenamed("answers", "later"), "windows", "chunk")
+    release(docs.sparkSession)
     both = chunks.join(shared, "chunk", "left").join(later, "chunk", "left")
     return both.mapInArrow(_kept(n, window, bits, layout), "doc_id long, n_words long, n_removed long, text string, source long")
